@@ -18,6 +18,7 @@ from .joins import BROADCAST_ROWS, is_small, lookup_join
 HOT_TOKENS = 100_000  # most frequent tokens kept for the token order: the bound of a broadcast
 BUCKET_LIMIT = 64  # larger buckets take the bucket-minimum route of greedy_dedup
 SALTS = 16
+SALT_ABOVE = 1_000  # tokens seen more often than this are salted
 
 
 def prefix_size(n: Column, threshold: float) -> Column:
@@ -26,11 +27,18 @@ def prefix_size(n: Column, threshold: float) -> Column:
     return (n - needed + 1).cast("int")
 
 
+def frequent_tokens(tokens: DataFrame, column: str) -> DataFrame:
+    """The most frequent tokens with their counts, at most ``HOT_TOKENS`` rows."""
+    counts = tokens.groupBy(column).agg(F.count("*").alias("df")).filter("df > 1")
+    return counts.orderBy(F.desc("df"), column).limit(HOT_TOKENS)
+
+
 def template_index(templates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(sets, prefixes)`` of ``templates(tpl_id, shingles)``.
 
     Equal sets are folded onto their smallest id. Tokens shared by few templates
-    come first, which keeps the prefixes selective.
+    come first, which keeps the prefixes selective. Both tables are written once,
+    because every scoring plan reads them more than once.
     """
     sets = (
         templates.filter(F.size("shingles") > 0)
@@ -38,16 +46,16 @@ def template_index(templates: DataFrame, threshold: float) -> tuple[DataFrame, D
         .agg(F.min("tpl_id").alias("tpl_id"))
         .withColumn("tpl_size", F.size("tpl_shingles"))
     )
+    sets = cut(sets)
     tokens = sets.select("tpl_id", "tpl_size", F.explode("tpl_shingles").alias("shingle"))
-    spread = tokens.groupBy("shingle").agg(F.count("*").alias("df"))
     ordered = (
-        lookup_join(tokens, spread, ["shingle"])
+        tokens.join(F.broadcast(frequent_tokens(tokens, "shingle")), "shingle", "left")
         .groupBy("tpl_id", "tpl_size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle"))).alias("ordered"))
     )
     prefix = F.slice("ordered", F.lit(1), prefix_size(F.col("tpl_size"), threshold))
     prefixes = ordered.select("tpl_id", F.explode(prefix).alias("t")).select("tpl_id", F.col("t.shingle").alias("shingle"))
-    return sets, prefixes
+    return sets, cut(prefixes)
 
 
 def template_matches(
@@ -110,36 +118,39 @@ def fold_equal_sets(df: DataFrame) -> DataFrame:
 
 
 def distinct_sets(df: DataFrame) -> DataFrame:
-    """One row ``(id, shingles)`` per distinct non-empty shingle set, with the smallest id."""
+    """One row ``(id, h)`` per distinct non-empty shingle set: smallest id, hashed shingles.
+
+    Written once: prefixes and verification both read it, and eight bytes per
+    shingle are far less than the text they come from.
+    """
     digest = F.sha2(F.concat_ws("\u001f", F.array_sort("shingles")), 256)
-    keyed = df.filter(F.size("shingles") > 0).select("id", digest.alias("digest"))
+    hashed = F.transform("shingles", lambda s: F.xxhash64(s))
+    keyed = cut(df.filter(F.size("shingles") > 0).select("id", digest.alias("digest"), hashed.alias("h")))
     first = keyed.groupBy("digest").agg(F.min("id").alias("id")).select("id")
-    return df.join(first, "id", "left_semi").select("id", "shingles")
+    return keyed.join(first, "id", "left_semi").select("id", "h")
 
 
 def prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(token, id, n, pos)``: prefix tokens of each set, rare tokens first.
+    """``(token, df, id, n, pos)``: prefix tokens of each set, rare tokens first.
 
     The token order is (how often it occurs if it is among the most frequent, its
     hash). Any fixed order keeps the join exact; this one keeps frequent tokens
     out of the prefixes and needs only a bounded table of frequent tokens.
     """
-    tokens = sets.select("id", F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("token"))
-    frequent = (
-        tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").orderBy(F.desc("df"), "token").limit(HOT_TOKENS)
-    )
-    ranked = tokens.join(F.broadcast(frequent), "token", "left").groupBy("id").agg(
+    tokens = sets.select("id", F.explode("h").alias("token"))
+    frequent = F.broadcast(frequent_tokens(tokens, "token"))
+    ranked = tokens.join(frequent, "token", "left").groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ordered")
     )
     n = F.size("ordered")
     prefix = F.slice("ordered", F.lit(1), prefix_size(n, threshold))
     return ranked.select("id", n.alias("n"), F.posexplode(prefix).alias("pos", "t")).select(
-        F.col("t.token").alias("token"), "id", "n", "pos"
+        F.col("t.token").alias("token"), F.col("t.df").alias("df"), "id", "n", "pos"
     )
 
 
 def _may_reach(threshold: float) -> Column:
-    """Size and position bounds of a candidate pair (a earlier, b later)."""
+    """Size and position bounds of a candidate pair."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     seen = F.least("a.pos", "b.pos")
@@ -148,11 +159,16 @@ def _may_reach(threshold: float) -> Column:
 
 
 def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs ``(id_a < id_b)`` that share a prefix token; buckets are salted by the left id."""
-    a = prefixes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).alias("a")
-    b = prefixes.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    ).alias("b")
+    """Distinct pairs ``(id_a < id_b)`` that share a prefix token.
+
+    Only frequent tokens are salted: their left rows are spread by id, their
+    right rows repeated once per salt.
+    """
+    zero, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
+    frequent = F.col("df") > SALT_ABOVE
+    a = prefixes.withColumn("salt", F.when(frequent, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(zero)).alias("a")
+    every = F.when(frequent, F.sequence(zero, last)).otherwise(F.array(zero))
+    b = prefixes.withColumn("salt", F.explode(every)).alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt"))
     joined = a.join(b, same & (F.col("a.id") < F.col("b.id")) & _may_reach(threshold))
     return joined.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
@@ -160,11 +176,12 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose whole sets reach the threshold, with their similarity."""
-    hashed = sets.select("id", F.transform("shingles", lambda s: F.xxhash64(s)).alias("h"))
-    a = hashed.select(F.col("id").alias("id_a"), F.col("h").alias("h_a"))
-    b = hashed.select(F.col("id").alias("id_b"), F.col("h").alias("h_b"))
+    a = sets.select(F.col("id").alias("id_a"), F.col("h").alias("h_a"))
+    b = sets.select(F.col("id").alias("id_b"), F.col("h").alias("h_b"))
     shared = F.size(F.array_intersect("h_a", "h_b"))
-    both = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", shared.alias("s"), F.size("h_a").alias("n"), F.size("h_b").alias("m"))
+    both = pairs.join(a, "id_a").join(b, "id_b").select(
+        "id_a", "id_b", shared.alias("s"), F.size("h_a").alias("n"), F.size("h_b").alias("m")
+    )
     score = F.col("s") / (F.col("n") + F.col("m") - F.col("s"))
     return both.select("id_a", "id_b", score.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
@@ -177,7 +194,8 @@ def near_pairs(df: DataFrame, threshold: float = fv.NEAR_DUPLICATE_JACCARD) -> D
     its members.
     """
     sets = distinct_sets(df)
-    return _verify(_candidates(prefix_tokens(sets, threshold), threshold), sets, threshold)
+    prefixes = cut(prefix_tokens(sets, threshold))
+    return _verify(_candidates(prefixes, threshold), sets, threshold)
 
 
 def fingerprint_matches(
@@ -196,22 +214,21 @@ def fingerprint_matches(
         n = F.size(fp)
         return F.slice(fp, F.lit(1), prefix_size(n, threshold))
 
-    targets = known.select(F.array_sort(F.array_distinct("fp")).alias("known_fp")).filter(F.size("known_fp") > 0).distinct()
-    index = targets.select("known_fp", F.explode(prefix(F.col("known_fp"))).alias("token"))
+    targets = known.select(F.array_sort(F.array_distinct("fp")).alias("known_fp")).filter(F.size("known_fp") > 0)
+    targets = targets.distinct().withColumn("known_id", F.sha2(F.array_join("known_fp", ""), 256))
+    index = targets.select("known_id", F.explode(prefix(F.col("known_fp"))).alias("token"))
     own = df.select("id", F.array_sort(F.array_distinct("fp")).alias("own_fp")).filter(F.size("own_fp") > 0)
     shared = F.size(F.array_intersect("own_fp", "known_fp"))
-    score = shared / (F.size("own_fp") + F.size("known_fp") - shared)
+    near = shared / (F.size("own_fp") + F.size("known_fp") - shared) >= threshold
     if is_small(index, max_index_rows):
         probes = own.select("id", "own_fp", F.explode(prefix(F.col("own_fp"))).alias("token"))
-        return probes.join(F.broadcast(index), "token").filter(score >= threshold).select("id").distinct()
-    numbered = targets.withColumn("known_id", F.sha2(F.array_join("known_fp", ""), 256))
-    keys = numbered.select("known_id", F.explode(prefix(F.col("known_fp"))).alias("token"))
+        found = probes.join(F.broadcast(index), "token").join(F.broadcast(targets), "known_id")
+        return found.filter(near).select("id").distinct()
     probes = own.select("id", F.explode(prefix(F.col("own_fp"))).alias("token"))
     salted = probes.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    repeated = keys.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    repeated = index.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     pairs = salted.join(repeated, ["token", "s"]).select("id", "known_id").distinct()
-    checked = pairs.join(own, "id").join(numbered, "known_id").filter(score >= threshold)
-    return checked.select("id").distinct()
+    return pairs.join(own, "id").join(targets, "known_id").filter(near).select("id").distinct()
 
 
 def greedy_dedup(
@@ -277,3 +294,15 @@ def greedy_dedup(
         undecided = cut(undecided.join(decided.distinct(), "id", "left_anti"))
     kept = undecided if kept is None else kept
     return kept.unionByName(empty)
+
+
+def near_sets(
+    df: DataFrame,
+    known: DataFrame,
+    threshold: float = fv.NEAR_DUPLICATE_JACCARD,
+    max_index_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Ids of ``df(id, shingles)`` that are near any set of ``known(shingles)``."""
+    own = df.select("id", F.transform("shingles", lambda s: F.xxhash64(s).cast("string")).alias("fp"))
+    other = known.select(F.transform("shingles", lambda s: F.xxhash64(s).cast("string")).alias("fp"))
+    return fingerprint_matches(own, other, threshold, max_index_rows)
