@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -10,8 +10,8 @@ from ..functions.similarity import fingerprint, fingerprint_of, shingles, tokens
 from ..functions.text import contains_keyword, evidence_excerpt, has_vietnamese_letter, is_warning, quotes, template_text
 from ..functions.urls import domain, domains, suffixes
 from ..operators.ids import assign_ids
-from ..operators.joins import domain_set, first_by, listed_keys, lookup_join
-from ..operators.similarity import fingerprint_matches, greedy_dedup
+from ..operators.joins import first_by, listed_keys, lookup_join
+from ..operators.similarity import fingerprint_matches, greedy_dedup, near_sets
 from ..sources.html import visible_text
 
 
@@ -34,11 +34,15 @@ def article_links(items: DataFrame, order: str = "pos", empty_links_first: bool
 
 
 def max_items(df: DataFrame, group: str, limit: str, order: str) -> DataFrame:
-    """First ``limit`` rows per group; the rank filter keeps each task's state to the limit."""
-    from pyspark.sql import Window
+    """First ``limit`` rows per group.
 
+    The largest limit is read first, one number. With it as a literal every task
+    cuts its groups before the shuffle, so a hot group sends a few rows per task.
+    """
+    largest = df.agg(F.coalesce(F.max(limit), F.lit(0)).alias("n")).first()["n"]
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= F.col(limit)).drop("_rank")
+    ranked = df.withColumn("_rank", rank).filter(F.col("_rank") <= F.lit(largest))
+    return ranked.filter(F.col("_rank") <= F.col(limit)).drop("_rank")
 
 
 def warned_domains(paragraph_rows: DataFrame) -> DataFrame:
@@ -158,14 +162,9 @@ def merge_templates(
     has by then taken its place, so it still blocks later near copies.
     """
     candidates = template_candidates(texts, filter_texts).withColumn("sh", shingles(F.col("text")))
-    old = existing.select(
-        F.struct(F.lit(0).alias("age"), F.lit(0).cast("long").alias("ord"), F.col("id").alias("name")).alias("id"),
-        shingles(F.col("text")).alias("shingles"),
-    )
-    arrival = F.struct(F.lit(1).alias("age"), F.col("ord").cast("long").alias("ord"), F.lit("").alias("name"))
-    fresh = candidates.select(arrival.alias("id"), F.col("sh").alias("shingles"))
-    # known templates come first and always stay, so they are folded among themselves without a loss
-    kept = dedup_against(old, fresh).select(F.col("id.ord").alias("ord"))
+    old = existing.select(shingles(F.col("text")).alias("shingles"))
+    fresh = candidates.select(F.col("ord").cast("long").alias("id"), F.col("sh").alias("shingles"))
+    kept = dedup_against(old, fresh).withColumnRenamed("id", "ord")
     survivors = candidates.withColumn("ord", F.col("ord").cast("long")).join(kept, "ord", "left_semi")
     prints = survivors.select(F.col("ord").alias("id"), fingerprint_of(F.col("sh")).alias("fp"))
     barred = fingerprint_matches(prints, rejected.select(fingerprint_set(F.col("fingerprint")).alias("fp"))).withColumnRenamed("id", "ord")
@@ -177,8 +176,6 @@ def merge_templates(
 
 def dedup_against(old: DataFrame, fresh: DataFrame, threshold: float = fv.NEAR_DUPLICATE_JACCARD) -> DataFrame:
     """Ids of ``fresh(id, shingles)`` kept by arrival order, all of ``old`` counting as kept."""
-    from ..operators.similarity import near_sets
-
     beaten = near_sets(fresh, old, threshold)
     left = fresh.join(beaten, "id", "left_anti")
     return greedy_dedup(left, threshold)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import collapse, let
+from ..functions.text import collapse, let, quotes
 
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 RAW_ELEMENTS = ["script", "style"]
@@ -193,6 +193,4 @@ def class_texts(pages: DataFrame, class_name: str) -> DataFrame:
 
 def quotes_of(paragraph_rows: DataFrame) -> DataFrame:
     """``(page_id, url, pos, quote_pos, quote)`` of quoted passages."""
-    from ..functions.text import quotes
-
     return paragraph_rows.select("page_id", "url", "pos", F.posexplode(quotes(F.col("paragraph"))).alias("quote_pos", "quote"))
