@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse
+from ..schemas import fields
 from .html import unescape
 
-RSS_ITEM = T.StructType.fromDDL("title string, link string, pubDate string, description string")
+RSS_ITEM = fields("title string, link string, pubDate string, description string")
 ATOM_ENTRY = T.StructType(
     [
         T.StructField("title", T.StringType()),
@@ -19,7 +20,7 @@ ATOM_ENTRY = T.StructType(
         T.StructField("summary", T.StringType()),
     ]
 )
-ITEM = T.StructType.fromDDL("title string, link string, published string, summary string")
+ITEM = fields("title string, link string, published string, summary string")
 
 
 def clean_feed_text(c: Column) -> Column:
