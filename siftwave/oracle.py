@@ -1,0 +1 @@
+ORACLE: dict[str, str] = {}

@@ -24,13 +24,11 @@ def build_session(app: str = "siftwave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once to the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``. Only a local test session without that
-    setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: the rows are written once to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
