@@ -74,8 +74,9 @@ def listed_keys(
     df: DataFrame, host: str, domains: DataFrame, key: list[str], include_tld: bool = False
 ) -> DataFrame:
     """Distinct keys of the rows whose host or parent is in the domain list."""
-    exploded = df.select(*key, F.explode(suffixes(F.col(host), include_tld)).alias("domain"))
-    return lookup_join(exploded, domain_set(domains), ["domain"], "left_semi").select(*key).distinct()
+    exploded = df.select(*key, F.explode(suffixes(F.col(host), include_tld)).alias("_parent"))
+    listed = domain_set(domains).withColumnRenamed("domain", "_parent")
+    return lookup_join(exploded, listed, ["_parent"], "left_semi").select(*key).distinct()
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

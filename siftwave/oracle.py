@@ -1 +1,443 @@
+"""DuckDB SQL for the registered queries, written from the rules and not from the Spark plans.
+
+RE2 has no look-around, so the number masks have no SQL here; they are covered by
+golden cases in the tests. Unicode word characters are spelled out as classes.
+"""
+
+from __future__ import annotations
+
+from .functions import fixed_values as fv
+
 ORACLE: dict[str, str] = {}
+
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}"
+SPACE = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+HIDDEN = r"[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]"
+TAIL = r"""[.,;:!?)\]}"'']+$"""
+URL = rf"(?i:https?://|www\.)[^\s<>\"]+"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def norm(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(nfc_normalize({c}), '{HIDDEN}', '', 'g'), '{SPACE}+', ' ', 'g'))"
+
+
+def fold(c: str) -> str:
+    return f"lower(trim(regexp_replace({c}, '{SPACE}+', ' ', 'g')))"
+
+
+def key(c: str) -> str:
+    return f"substr(sha256({fold(c)}), 1, 16)"
+
+
+def tokens(c: str) -> str:
+    return (
+        f"list_transform(regexp_extract_all(nfc_normalize({c}), '<[A-Z]+>|[{WORD}]+'), "
+        "lambda t: CASE WHEN t[1] = '<' THEN t ELSE lower(t) END)"
+    )
+
+
+def shingle_cte(name: str, table: str, id_sql: str, text_sql: str) -> str:
+    """CTE ``name(id, sh)`` with the distinct word trigrams."""
+    return f"""{name}_t AS (SELECT {id_sql} AS id, {tokens(text_sql)} AS w FROM {table}),
+{name} AS (SELECT id, CASE
+    WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS sh FROM {name}_t)"""
+
+
+DOCS = shingle_cte("d", "documents", "doc_id", "text")
+TPLS = shingle_cte("b", "benchmark", "printf('tpl_%06d', item_id)", "text")
+
+
+def covered(threshold: float) -> str:
+    return f"""WITH {DOCS}, {TPLS},
+reps AS (SELECT min(id) AS id, any_value(list_sort(sh)) AS sh FROM b WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+dx AS (SELECT id, unnest(sh) AS s FROM d), bx AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM reps),
+m AS (SELECT dx.id AS doc_id, bx.id AS tpl_id, count(*) / any_value(bx.n)::DOUBLE AS coverage
+      FROM dx JOIN bx USING (s) GROUP BY 1, 2 HAVING count(*) / any_value(bx.n)::DOUBLE >= {threshold})"""
+
+
+ORACLE["template_best_match"] = covered(0.6) + """
+SELECT doc_id, tpl_id, round(coverage, 9) AS coverage FROM m
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, tpl_id) = 1"""
+ORACLE["template_coverage"] = covered(0.3) + " SELECT doc_id, tpl_id, round(coverage, 9) AS coverage FROM m"
+
+REPS = f"""{DOCS},
+r AS (SELECT min(id) AS id, any_value(sh) AS sh FROM d WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+x AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM r),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
+      FROM x a JOIN x b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT id_a, id_b, c / (n + m - c)::DOUBLE AS jaccard FROM p WHERE c / (n + m - c)::DOUBLE >= 0.8)"""
+ORACLE["near_duplicate_pairs"] = f"WITH {REPS} SELECT id_a, id_b, round(jaccard, 9) AS jaccard FROM e"
+ORACLE["copy_groups"] = f"""WITH {DOCS}
+SELECT id, min(id) OVER (PARTITION BY list_sort(sh)) AS rep FROM d WHERE len(sh) > 0"""
+ORACLE["greedy_dedup"] = f"""WITH RECURSIVE {REPS},
+linked AS (SELECT id, row_number() OVER (ORDER BY id) AS k
+           FROM (SELECT id_a AS id FROM e UNION SELECT id_b FROM e)),
+near AS (SELECT l.k, l.id, list(e.id_a) FILTER (e.id_a IS NOT NULL) AS before
+         FROM linked l LEFT JOIN e ON e.id_b = l.id GROUP BY 1, 2),
+walk(k, kept) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT near.k, CASE WHEN list_has_any(walk.kept, coalesce(near.before, []::BIGINT[])) THEN walk.kept ELSE list_append(walk.kept, near.id) END
+    FROM walk JOIN near ON near.k = walk.k + 1)
+SELECT id FROM r WHERE id NOT IN (SELECT id FROM linked)
+UNION ALL SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1)
+UNION ALL SELECT id FROM d WHERE len(sh) = 0"""
+FP = "list_sort(list_distinct(list_transform(sh, lambda s: substr(sha256(s), 1, 12))))"
+ORACLE["fingerprints"] = f"""WITH {DOCS}, f AS (SELECT id, {FP} AS fp FROM d)
+SELECT id AS doc_id, len(fp) AS n, md5(array_to_string(fp, ' ')) AS digest FROM f"""
+ORACLE["rejected_near_copies"] = f"""WITH {DOCS}, f AS (SELECT id, {FP} AS fp FROM d),
+x AS (SELECT id, len(fp) AS n, unnest(fp) AS h FROM f),
+t AS (SELECT x.* FROM x JOIN labels l ON l.doc_id = x.id AND l.toxic = 1),
+p AS (SELECT x.id, t.id AS k, count(*) AS c, any_value(x.n) AS n, any_value(t.n) AS m FROM x JOIN t USING (h) GROUP BY 1, 2)
+SELECT DISTINCT id AS doc_id FROM p WHERE c / (n + m - c)::DOUBLE >= 0.8"""
+TURNS = shingle_cte("c", "conversations", "(conv_id, turn)", "text")
+ORACLE["turn_similarity"] = f"""WITH {TURNS},
+q AS (SELECT a.id[1] AS conv_id, a.id[2] AS turn, len(list_intersect(a.sh, b.sh)) AS c, len(a.sh) AS n, len(b.sh) AS m
+      FROM c a JOIN c b ON b.id[1] = a.id[1] AND b.id[2] = a.id[2] + 1)
+SELECT conv_id, turn, round(CASE WHEN n + m - c > 0 THEN c / (n + m - c)::DOUBLE ELSE 0 END, 9) AS jaccard,
+       round(CASE WHEN n > 0 THEN c / n::DOUBLE ELSE 0 END, 9) AS coverage FROM q"""
+ORACLE["token_counts"] = f"""WITH {DOCS} SELECT d.id AS doc_id, len(w) AS n_tokens, len(sh) AS n_shingles
+FROM d JOIN d_t USING (id)"""
+ORACLE["neighbour_words"] = """WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
+p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i+1]})) AS x FROM t WHERE len(w) > 1)
+SELECT x.a AS a, x.b AS b, true AS near FROM p WHERE damerau_levenshtein(x.a, x.b) <= 1"""
+
+# --- text ---------------------------------------------------------------------------
+ORACLE["normalize_text"] = f"SELECT doc_id, length({norm('text')}) AS n, md5({norm('text')}) AS digest FROM documents"
+ORACLE["message_errors"] = f"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[^\\s]') THEN 'classification.empty_text'
+ELSE 'classification.text_too_long' END AS error FROM documents
+WHERE NOT regexp_matches(text, '[^\\s]') OR length({norm('text')}) > 2000"""
+ORACLE["text_keys"] = f"SELECT doc_id, {key('text')} AS key FROM documents"
+ORACLE["repeated_texts"] = f"""WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {fold('text')}) AS first FROM documents)
+SELECT doc_id::VARCHAR AS doc_id, first::VARCHAR AS first_id FROM f WHERE doc_id <> first"""
+EMAIL = rf"[{WORD}_.+-]+@[{WORD}_-]+(?:\.[{WORD}_-]+)+"
+ORACLE["mask_email"] = f"""WITH m AS (SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g') AS t FROM documents WHERE text LIKE '%@%')
+SELECT doc_id, md5(t) AS digest, len(regexp_extract_all(t, '<EMAIL>')) AS n FROM m"""
+ORACLE["email_texts"] = f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{EMAIL}')"
+LINKS = """links AS (SELECT page_id AS msg_id, url AS page_url,
+    replace(replace(url, '.example.com', '-vietcornbank.xyz'), '.example.net', '[.]example[.]net') AS raw FROM pages),
+fixed AS (SELECT msg_id, page_url, raw, replace(raw, '[.]', '.') AS url, contains(raw, '[.]') AS hidden,
+    regexp_extract(replace(raw, '[.]', '.'), '^https?://([^/?#]+)', 1) AS host FROM links)"""
+ORACLE["refang_text"] = f"WITH {LINKS} SELECT msg_id, 'Check ' || url || ' now' AS text FROM fixed"
+ORACLE["restore_links"] = ORACLE["refang_text"]
+ORACLE["mask_links"] = f"WITH {LINKS} SELECT msg_id, 'Check <URL> now' AS text FROM fixed"
+ORACLE["mask_keeping_links"] = f"WITH {LINKS} SELECT msg_id, 'Check ' || regexp_replace(url, '[?#].*$', '') || ' now' AS text FROM fixed"
+ORACLE["links_present"] = "SELECT page_id AS msg_id, true AS has_url FROM pages"
+ORACLE["name_candidates"] = """SELECT conv_id, turn FROM conversations
+WHERE regexp_matches(text, '^\\p{Lu}') AND regexp_matches(text, '^\\p{L}')"""
+ORACLE["keyword_texts"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'und ') OR contains(lower(text), 'para ')"
+ORACLE["quoted_passages"] = """WITH q AS (SELECT doc_id, regexp_extract_all('“' || replace(text, chr(10), '” “') || '”', '[“"«]([^”"»]{30,600})[”"»]', 1) AS l FROM documents)
+SELECT doc_id, p.o - 1 AS pos, md5(regexp_replace(p.v, '^\\s+|\\s+$', '', 'g')) AS digest FROM q, unnest(l) WITH ORDINALITY AS p(v, o)"""
+ORACLE["page_blocks"] = f"SELECT conv_id, turn FROM conversations WHERE length(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))) BETWEEN 20 AND 2000"
+ORACLE["parsed_codes"] = """SELECT doc_id, CASE WHEN toxic = 1 THEN 'scam' WHEN quality = 1 THEN 'normal' END AS label,
+CASE WHEN toxic = 1 THEN 'telegram' END AS channel FROM labels"""
+
+# --- links and hosts ----------------------------------------------------------------
+ORACLE["url_hosts"] = "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages"
+ORACLE["literal_links"] = """SELECT page_id, 0::BIGINT AS pos, url FROM pages UNION ALL SELECT page_id, 1, 'www.x.vn/a' FROM pages"""
+LINK = "regexp_replace(url, '[?#].*$', '')"
+ORACLE["inspectable_links"] = f"SELECT page_id, {LINK} AS link FROM pages"
+ORACLE["distinct_links"] = f"SELECT DISTINCT {LINK} AS link FROM pages"
+ORACLE["unwrapped_redirects"] = "SELECT page_id, url AS target FROM pages"
+ORACLE["normalized_domains"] = r"SELECT page_id, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www\.', '') AS domain FROM pages"
+ORACLE["text_domains"] = rf"WITH {LINKS} SELECT msg_id, regexp_replace(host, '^www\.', '') AS domain FROM fixed"
+
+
+def skeleton(c: str) -> str:
+    return f"translate(replace(replace(lower({c}), 'rn', 'm'), 'vv', 'w'), '01i345', 'olleas')"
+
+
+HOSTS = r"""hosts AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang,
+    regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
+    regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^(www|m|blog)\.', '') AS parent FROM pages)"""
+JUNK = "junk AS (SELECT DISTINCT parent AS domain FROM hosts WHERE contains(parent, '-'))"
+FRENCH = "french AS (SELECT DISTINCT parent AS domain FROM hosts WHERE lang = 'fr')"
+ORACLE["skeletons"] = f"""WITH {HOSTS}, t AS (SELECT DISTINCT unnest(regexp_split_to_array(host, '[.-]')) AS token FROM hosts)
+SELECT token, {skeleton('token')} AS skeleton FROM t"""
+
+
+def parents(host: str, fewest: int) -> str:
+    return (
+        f"list_transform(range(1, len(string_split({host}, '.')) + {2 - fewest}), "
+        f"lambda i: array_to_string(string_split({host}, '.')[i:], '.'))"
+    )
+
+
+ORACLE["blocked_links"] = f"""WITH {HOSTS}, {JUNK} SELECT DISTINCT page_id, host FROM hosts
+WHERE list_has_any({parents('host', 2)}, (SELECT list(domain) FROM junk))"""
+ORACLE["not_allowed_links"] = f"""WITH {HOSTS}, {FRENCH} SELECT DISTINCT page_id, host FROM hosts
+WHERE NOT list_has_any({parents('host', 1)}, (SELECT list(domain) FROM french))"""
+BRAND = f"""kw AS (SELECT k, {skeleton('k')} AS s FROM unnest([{quoted(fv.BRAND_KEYWORDS)}]) AS t(k)),
+brands AS (SELECT host, bool_or(coalesce({skeleton('tok')} = s OR (length(k) >= 5 AND contains({skeleton('tok')}, s))
+        OR (length(k) >= 8 AND damerau_levenshtein({skeleton('tok')}, s) <= 1), false)) AS brand
+    FROM (SELECT DISTINCT host, unnest(regexp_split_to_array(host, '[._-]')) AS tok FROM fixed) CROSS JOIN kw
+    WHERE tok <> '' GROUP BY host)"""
+ORACLE["brand_imitations"] = f"""WITH {LINKS.replace("replace(raw, '[.]', '.')", "replace(raw, '[.]', '.')")}, {BRAND} SELECT host, brand FROM brands"""
+BY_HOST = f"""list_filter([CASE WHEN hidden THEN 'url_obfuscated' END,
+    CASE WHEN list_contains([{quoted(fv.SHORTENER_HOSTS)}], host) THEN 'url_shortener' END,
+    CASE WHEN regexp_matches(host, '(^|\\.)xn--') THEN 'url_punycode' END,
+    CASE WHEN list_contains([{quoted(fv.SUSPICIOUS_TLDS)}], string_split(host, '.')[-1]) THEN 'url_suspicious_tld' END],
+    lambda r: r IS NOT NULL)"""
+ORACLE["url_findings"] = f"WITH {LINKS} SELECT msg_id, 0::BIGINT AS pos, url, unnest({BY_HOST}) AS reason FROM fixed"
+ORACLE["described_reasons"] = f"""WITH {LINKS}, f AS (SELECT DISTINCT msg_id, unnest({BY_HOST}) AS reason FROM fixed),
+t AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in fv.REASON_DESCRIPTIONS.items())}) AS v(code, text))
+SELECT reason, msg_id, coalesce(t.text, reason) AS description FROM f LEFT JOIN t ON t.code = reason"""
+TRUST = "CASE r " + " ".join(f"WHEN '{k}' THEN 1 - {v}" for k, v in fv.REASON_WEIGHTS.items()) + " ELSE 1 END"
+
+
+def risk(reasons: str) -> str:
+    return f"(1 - list_aggregate(list_append(list_transform(list_distinct({reasons}), lambda r: ({TRUST})::DOUBLE), 1::DOUBLE), 'product'))"
+
+
+ORACLE["url_risk"] = f"WITH {LINKS} SELECT msg_id, round({risk(BY_HOST)}, 9) AS risk FROM fixed"
+THREATS = f"""{LINKS}, {BRAND}, {HOSTS}, {JUNK}, {FRENCH},
+th AS (SELECT f.msg_id, f.url, list_has_any({parents('f.host', 2)}, (SELECT list(domain) FROM junk)) AS blocked,
+    list_concat({BY_HOST.replace('host', 'f.host')}, CASE WHEN b.brand
+        AND NOT list_has_any({parents('f.host', 2)}, (SELECT list(domain) FROM junk))
+        AND NOT list_has_any({parents('f.host', 2)}, (SELECT list(domain) FROM french)) THEN ['url_brand_impersonation'] ELSE [] END) AS reasons
+    FROM fixed f JOIN brands b ON b.host = f.host),
+ri AS (SELECT *, {risk('reasons')} AS risk, CASE WHEN blocked THEN ['url_blocklisted'] ELSE [] END AS listed FROM th)"""
+ORACLE["link_verdicts"] = f"""WITH {THREATS} SELECT msg_id AS link_id,
+CASE WHEN blocked OR risk >= 0.7 - 1e-9 THEN 'dangerous' WHEN len(reasons) > 0 THEN 'suspicious' ELSE 'safe' END AS verdict,
+array_to_string(list_concat(listed, reasons), ',') AS reasons FROM ri"""
+ORACLE["link_request_errors"] = """WITH t AS (SELECT user_id || '/' || event_type AS request_id, count(*) AS n, max(event_type) AS k FROM events GROUP BY 1)
+SELECT request_id, CASE WHEN n > 50 THEN 'link_inspection.too_many_links' ELSE 'link_inspection.invalid_link' END AS error
+FROM t WHERE n > 50 OR k = 'error'"""
+
+# --- decision -----------------------------------------------------------------------
+
+
+def fuse(normal: str, spam: str, scam: str, risk_sql: str, reasons: str) -> tuple[str, str, str]:
+    """Label, confidence and reasons of the fusion rule."""
+    p = f"(1 - (1 - {scam}) * (1 - {risk_sql}))"
+    scam_case = f"{p} >= 0.7 - 1e-9"
+    kept = f"(CASE WHEN {spam} > {normal} THEN {spam} ELSE {normal} END)"
+    label = f"CASE WHEN {scam_case} THEN 'scam' WHEN {spam} > {normal} THEN 'spam' ELSE 'normal' END"
+    confidence = f"CASE WHEN {scam_case} THEN {p} ELSE {kept} END"
+    why = f"""CASE WHEN {scam_case} THEN list_concat(CASE WHEN {scam} >= 0.7 - 1e-9 THEN ['model_predicted_scam'] ELSE [] END, {reasons})
+ELSE list_concat(list_concat(CASE WHEN {spam} > {normal} THEN ['model_predicted_spam'] ELSE [] END,
+     CASE WHEN {p} > {kept} THEN ['scam_probability_below_threshold'] ELSE [] END), {reasons}) END"""
+    return label, confidence, why
+
+
+PREDICTED = """pr AS (SELECT page_id AS msg_id, (length(url) * 7) % 50 / 100.0::DOUBLE AS a, (length(url) * 3) % 50 / 100.0::DOUBLE AS b,
+    (length(url) * 11) % 100 / 100.0::DOUBLE AS c FROM pages)"""
+_l, _c, _w = fuse("a", "b", "c", "risk", "reasons")
+ORACLE["score_link_messages"] = f"""WITH {THREATS}, {PREDICTED} SELECT msg_id, 'ok' AS status,
+CASE WHEN blocked THEN 'scam' ELSE {_l} END AS label, round(CASE WHEN blocked THEN 0.99 ELSE {_c} END, 9) AS confidence,
+array_to_string(CASE WHEN blocked THEN list_concat(listed, reasons) ELSE {_w} END, ',') AS reasons FROM ri JOIN pr USING (msg_id)"""
+ORACLE["score_without_model"] = f"""WITH {THREATS}, s AS (SELECT *, blocked OR risk >= 0.7 - 1e-9 AS sure FROM ri)
+SELECT msg_id, CASE WHEN sure THEN 'ok' ELSE 'classification.model_unavailable' END AS status, CASE WHEN sure THEN 'scam' END AS label,
+round(CASE WHEN blocked THEN 0.99 WHEN sure THEN risk END, 9) AS confidence,
+CASE WHEN sure THEN array_to_string(list_concat(listed, reasons), ',') END AS reasons FROM s"""
+ORACLE["stream_scores"] = ORACLE["score_without_model"]
+ORACLE["model_queue"] = f"WITH {THREATS} SELECT msg_id, 'Check <URL> now' AS masked FROM ri WHERE NOT blocked"
+_r = """list_filter([CASE WHEN toxic = 1 THEN 'url_suspicious_tld' END, CASE WHEN quality = 0 THEN 'url_shortener' END], lambda r: r IS NOT NULL)"""
+_l, _c, _w = fuse("a", "b", "c", risk("rs"), "rs")
+ORACLE["fused_labels"] = f"""WITH q AS (SELECT doc_id, (n_chars % 40 / 100.0)::DOUBLE AS a, (n_chars % 30 / 100.0)::DOUBLE AS b, (n_chars % 100 / 100.0)::DOUBLE AS c,
+{_r} AS rs FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, {_l} AS label, round({_c}, 9) AS confidence, array_to_string({_w}, ',') AS reasons FROM q"""
+ORACLE["fallback_predictions"] = f"""WITH {PREDICTED} SELECT msg_id, CASE WHEN c >= 0.5 THEN a ELSE 1 END::DOUBLE AS normal,
+CASE WHEN c >= 0.5 THEN b ELSE 0 END::DOUBLE AS spam, CASE WHEN c >= 0.5 THEN c ELSE 0 END::DOUBLE AS scam FROM pr"""
+ORACLE["softmax_scores"] = """WITH e AS (SELECT vec_id, exp(embedding[1]::DOUBLE) AS a, exp(embedding[2]::DOUBLE) AS b, exp(embedding[3]::DOUBLE) AS c FROM embeddings)
+SELECT vec_id, round(a / (a + b + c), 9) AS normal, round(b / (a + b + c), 9) AS spam, round(c / (a + b + c), 9) AS scam FROM e"""
+ORACLE["argmax_labels"] = """SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 'normal'
+WHEN embedding[2] >= embedding[3] THEN 'spam' ELSE 'scam' END AS label FROM embeddings"""
+ORACLE["llm_verdicts"] = """WITH v AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'scam' WHEN 'view' THEN 'spam' ELSE 'normal' END AS l,
+least(greatest(value / 10, 0.5), 1) AS c FROM events WHERE event_type <> 'error')
+SELECT event_id, round(CASE WHEN l = 'normal' THEN c ELSE (1 - c) / 2 END, 9) AS normal, round(CASE WHEN l = 'spam' THEN c ELSE (1 - c) / 2 END, 9) AS spam,
+round(CASE WHEN l = 'scam' THEN c ELSE (1 - c) / 2 END, 9) AS scam FROM v"""
+
+# --- dataset quality, split, evaluation -----------------------------------------------
+LABELLED = """la AS (SELECT d.doc_id AS ord, 'msg_' || lpad(d.doc_id::VARCHAR, 6, '0') AS id, d.text,
+    CASE WHEN l.toxic = 1 THEN 'scam' WHEN l.quality = 1 THEN 'normal' ELSE 'spam' END AS label,
+    CASE WHEN l.toxic = 1 THEN 'job_scam' WHEN d.lang = 'fr' THEN 'other' ELSE '' END AS scam_type,
+    CASE WHEN d.lang = 'de' THEN 'fax' ELSE 'sms' END AS channel, CASE WHEN d.source = 'src0' THEN 'synthetic' ELSE 'collected' END AS source,
+    CASE WHEN d.lang = 'es' THEN '2026-02-30' ELSE '2026-02-28' END AS collected_at, CASE WHEN d.source = 'src1' THEN '' ELSE 'a1' END AS annotator
+    FROM documents d JOIN labels l USING (doc_id))"""
+
+
+def finding(rule: str, detail: str, where: str) -> str:
+    return f"SELECT 'dataset' AS \"table\", id AS key, '{rule}' AS rule, 'error' AS severity, {detail} AS detail FROM la WHERE {where}"
+
+
+ORACLE["category_findings"] = f"WITH {LABELLED} " + " UNION ALL ".join(
+    [
+        finding("scam_type_without_scam", "scam_type", "label <> 'scam' AND scam_type <> ''"),
+        finding("channel", "channel", "channel = 'fax'"),
+    ]
+)
+ORACLE["metadata_findings"] = f"WITH {LABELLED} " + " UNION ALL ".join(
+    [finding("collected_at", "collected_at", "collected_at = '2026-02-30'"), finding("annotator", "''", "annotator = ''")]
+)
+ORACLE["uniqueness_findings"] = f"""WITH {LABELLED}, s AS (SELECT ord, substr(id, 1, 8) AS id, {fold('text')} AS f FROM la),
+u AS (SELECT ord, id, first_value(ord) OVER (PARTITION BY id ORDER BY ord) AS fo,
+      first_value(ord) OVER t AS ft, first_value(id) OVER t AS fid FROM s WINDOW t AS (PARTITION BY f ORDER BY ord))
+SELECT id AS key, 'duplicate_id' AS rule, id AS detail FROM u WHERE ord <> fo
+UNION ALL SELECT id, 'duplicate_text', fid FROM u WHERE ord <> ft"""
+ORACLE["label_shares"] = f"""WITH {LABELLED} SELECT v.label, count(la.id) AS n, round(count(la.id) / (SELECT count(*) FROM la)::DOUBLE, 9) AS share
+FROM (VALUES ('normal'), ('spam'), ('scam')) AS v(label) LEFT JOIN la ON la.label = v.label GROUP BY 1"""
+ORACLE["distribution_findings"] = f"""WITH {LABELLED}, c AS (SELECT v.label, count(la.id) / (SELECT count(*) FROM la)::DOUBLE AS share
+FROM (VALUES ('normal'), ('spam'), ('scam')) AS v(label) LEFT JOIN la ON la.label = v.label GROUP BY 1)
+SELECT label AS key, 'label_share' AS rule, 'warning' AS severity FROM c WHERE share < 0.15
+UNION ALL SELECT 'synthetic', 'synthetic_share', 'warning' FROM la HAVING avg(CASE WHEN source = 'synthetic' THEN 1.0 ELSE 0 END) > 0.2"""
+ORACLE["repeated_ids"] = f"WITH {LABELLED} SELECT substr(id, 1, 9) AS key, count(*)::VARCHAR AS detail FROM la GROUP BY 1 HAVING count(*) > 1"
+ORACLE["blocked_domain_findings"] = f"""WITH {HOSTS}, {FRENCH}, g AS (SELECT parent, min(lang) AS lang FROM hosts GROUP BY 1),
+r AS (SELECT CASE WHEN lang = 'de' THEN upper(parent) ELSE parent END AS domain, lang FROM g)
+SELECT domain AS key, 'not_canonical' AS rule FROM r WHERE lang = 'de'
+UNION ALL SELECT domain, 'source_missing' FROM r WHERE lang = 'es'
+UNION ALL SELECT domain, 'allowlisted' FROM r WHERE list_has_any({parents('domain', 1)}, (SELECT list(domain) FROM french))"""
+CONV = shingle_cte("c", "conversations", "printf('c%08d_%04d', conv_id, turn)", "text")
+ORACLE["near_template_findings"] = f"""WITH {CONV},
+g AS (SELECT id, min(id) OVER (PARTITION BY list_sort(sh)) AS rep, sh FROM c WHERE len(sh) > 0),
+x AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM g WHERE id = rep),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT rep AS key, id AS detail FROM g WHERE id <> rep UNION ALL SELECT id_a, id_b FROM p WHERE c / (n + m - c)::DOUBLE >= 0.8"""
+ORACLE["source_findings"] = f"""WITH {HOSTS} SELECT parent AS key, 'kind' AS rule FROM hosts WHERE lang = 'fr'
+UNION ALL SELECT parent, 'https' FROM hosts WHERE NOT starts_with(url, 'https://')
+UNION ALL SELECT parent, 'duplicate_name' FROM hosts GROUP BY parent HAVING count(*) > 1"""
+ORACLE["allowlist_findings"] = rf"WITH {HOSTS} SELECT DISTINCT host AS key, 'not_canonical' AS rule FROM hosts WHERE starts_with(host, 'www.')"
+
+
+def ranked(name: str, source: str, where: str, seed: str) -> str:
+    return f"""{name} AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('{seed}:' || id)) AS k,
+    count(*) OVER (PARTITION BY label) AS size FROM {source} WHERE {where})"""
+
+
+ORACLE["stratified_split"] = f"""WITH {LABELLED}, tot AS (SELECT label, count(*) AS total FROM la GROUP BY 1),
+{ranked('re', 'la', "source <> 'synthetic'", '42-test')},
+te AS (SELECT re.id FROM re JOIN tot USING (label) WHERE re.k <= round_even(tot.total * 0.15, 0)),
+{ranked('rest', 'la', 'id NOT IN (SELECT id FROM te)', '42-train-val')}
+SELECT id, CASE WHEN k <= round_even(size * (0.15::DOUBLE / 0.85::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM rest
+UNION ALL SELECT id, 'test' FROM te"""
+ORACLE["split_with_fixed_test"] = f"""WITH {LABELLED}, {ranked('rest', 'la', "label <> 'scam'", '42-train-val')}
+SELECT id, CASE WHEN k <= round_even(size * (0.15::DOUBLE / 0.85::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM rest
+UNION ALL SELECT id, 'test' FROM la WHERE label = 'scam'"""
+ORACLE["fixed_test_errors"] = f"""WITH {LABELLED} SELECT id || 'x' AS id, 'missing' AS error FROM la WHERE channel = 'fax'
+UNION ALL SELECT id, CASE WHEN source <> 'synthetic' THEN 'changed' ELSE 'synthetic' END FROM la
+WHERE channel <> 'fax' AND (source = 'synthetic' OR label = 'spam')"""
+ORACLE["labels_without_test"] = f"WITH {LABELLED} SELECT DISTINCT label FROM la WHERE label <> 'scam'"
+ORACLE["label_metrics"] = """WITH s AS (SELECT l, count(*) FILTER (quality = l AND toxic = l) AS tp, count(*) FILTER (toxic = l) AS p, count(*) FILTER (quality = l) AS e
+FROM labels, (VALUES (0), (1), (2)) AS v(l) GROUP BY l),
+f AS (SELECT l, CASE WHEN tp = 0 THEN 0 ELSE 2.0 * (tp / p::DOUBLE) * (tp / e::DOUBLE) / (tp / p::DOUBLE + tp / e::DOUBLE) END AS f1 FROM s)
+SELECT round(avg(f1), 9) AS macro_f1, round(max(f1) FILTER (l = 2), 9) AS scam_f1, (SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0 END), 9) FROM labels) AS accuracy FROM f"""
+ORACLE["confusion_counts"] = "SELECT quality AS expected, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2"
+ORACLE["largest_logit_gap"] = "SELECT round(max(abs(x::DOUBLE - x::DOUBLE * 0.75)), 9) AS max_abs_diff FROM (SELECT unnest(embedding) AS x FROM embeddings)"
+
+# --- threat table update --------------------------------------------------------------
+SEEN = f"""{HOSTS}, seen AS (SELECT lang AS source, ascii(lang) AS o, parent AS domain, min(page_id) AS ord, arg_min(url, page_id) AS source_url,
+    arg_min(host, page_id) AS evidence FROM hosts GROUP BY 1, 2, 3),
+ex AS (SELECT parent AS domain, min(url) AS source_url FROM hosts WHERE host LIKE 'm.%' GROUP BY 1),
+al AS (SELECT DISTINCT parent AS domain FROM hosts WHERE url LIKE '%.html%'), rj AS (SELECT DISTINCT parent AS domain FROM hosts WHERE url LIKE '%utm_source%'),
+oc AS (SELECT *, CASE WHEN domain IN (SELECT domain FROM ex) THEN 'known' WHEN domain IN (SELECT domain FROM rj) THEN 'rejected'
+    WHEN list_has_any({parents('domain', 1)}, (SELECT list(domain) FROM al)) THEN 'allowed'
+    WHEN o > min(o) OVER (PARTITION BY domain) THEN 'duplicate' ELSE 'new' END AS outcome FROM seen)"""
+ORACLE["domain_outcomes"] = f"WITH {SEEN} SELECT source, domain, ord, outcome FROM oc"
+ORACLE["merged_domains"] = f"""WITH {SEEN} SELECT domain, 'old' AS source, source_url, '2025-01-01' AS first_seen, '' AS evidence FROM ex
+UNION ALL SELECT domain, source, source_url, '2026-01-01', evidence FROM oc WHERE outcome = 'new'"""
+ORACLE["domain_counters"] = f"""WITH {SEEN} SELECT count(*) FILTER (outcome = 'new') AS new_domains, count(*) FILTER (outcome = 'allowed') AS skipped_allowed,
+count(*) FILTER (outcome = 'rejected') AS skipped_rejected FROM oc"""
+ORACLE["rejected_domains"] = f"""WITH {SEEN}, ask AS (SELECT DISTINCT parent AS domain FROM hosts WHERE lang = 'fr')
+SELECT domain, 'active' AS place FROM ex WHERE domain NOT IN (SELECT domain FROM ask)
+UNION ALL SELECT domain, 'rejected' FROM rj UNION ALL SELECT domain, 'rejected' FROM ask WHERE domain IN (SELECT domain FROM ex)
+UNION ALL SELECT domain, 'unknown_domain' FROM ask WHERE domain NOT IN (SELECT domain FROM ex)"""
+ORACLE["rejected_templates"] = f"""WITH {TPLS}, f AS (SELECT id, {FP} AS fp FROM b)
+SELECT md5(array_to_string(fp, ' ')) AS digest, 'not a fraud text' AS reason, '2026-01-02' AS rejected_at
+FROM f JOIN labels l ON f.id = printf('tpl_%06d', l.doc_id) WHERE l.toxic = 1"""
+ORACLE["warned_page_domains"] = rf"""WITH {LINKS}, n AS (SELECT msg_id, regexp_replace(host, '^www\.', '') AS domain,
+    regexp_replace(regexp_extract(page_url, '^https?://([^/?#]+)', 1), '^www\.', '') AS own FROM fixed)
+SELECT msg_id AS page_id, domain FROM n WHERE domain <> own"""
+ORACLE["list_page_domains"] = rf"""WITH {LINKS}, n AS (SELECT msg_id, regexp_replace(host, '^www\.', '') AS domain,
+    regexp_replace(regexp_extract(page_url, '^https?://([^/?#]+)', 1), '^www\.', '') AS own FROM fixed)
+SELECT msg_id AS page_id, domain FROM n WHERE domain <> own UNION ALL SELECT msg_id, 'shop.example.org' FROM n"""
+ORACLE["crawl_report"] = f"""WITH {HOSTS} SELECT lang AS source, count(*) AS articles, count(DISTINCT parent) AS domains,
+count(*) FILTER (url LIKE '%html%') AS texts, count(*) FILTER (url LIKE '%#top') AS errors FROM hosts GROUP BY 1"""
+ORACLE["domain_list_entries"] = rf"""WITH {HOSTS} SELECT page_id::VARCHAR AS source, regexp_replace(host, '^www\.', '') AS domain FROM hosts
+UNION ALL SELECT page_id::VARCHAR, 'shop.vn' FROM hosts WHERE NOT starts_with(url, 'https')"""
+
+# --- pages, feeds, robots --------------------------------------------------------------
+ATTR = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+
+
+def without(c: str, tags: list[str]) -> str:
+    for tag in tags:
+        c = f"regexp_replace({c}, '(?is)<{tag}(?:[\\s/]{ATTR})?>.*?(?:</{tag}\\s*>|\\z)', ' ', 'g')"
+    return c
+
+
+def decoded(c: str) -> str:
+    for name, value in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{value}')"
+    return c
+
+
+BODY = without(f"regexp_replace({without('html', ['script', 'style'])}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')", fv.SKIPPED_TAGS[2:])
+ANY_TAG = f"<[/a-zA-Z!?]{ATTR}>"
+ORACLE["page_texts"] = f"""WITH t AS (SELECT page_id, trim(regexp_replace({decoded(f"regexp_replace({BODY}, '{ANY_TAG}', ' ', 'g')")}, '{SPACE}+', ' ', 'g')) AS x FROM pages)
+SELECT page_id, length(x) AS n, md5(x) AS digest FROM t"""
+ORACLE["page_anchors"] = rf"""WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS origin,
+    list_transform(regexp_extract_all(regexp_replace({without('html', ['script', 'style'])}, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '<a\s[^>]*?href="([^"]+)"', 1), lambda h: {decoded('h')}) AS l FROM pages),
+u AS (SELECT page_id, p.o, CASE WHEN starts_with(p.v, '/') THEN origin || p.v ELSE p.v END AS link FROM a, unnest(l) WITH ORDINALITY AS p(v, o)),
+f AS (SELECT page_id, link, min(o) AS o FROM u GROUP BY 1, 2)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS pos, link FROM f"""
+_cut = "|".join(fv.CONTENT_TAGS)
+_blocks = f"regexp_replace(regexp_replace(regexp_replace({BODY}, '(?i)</?(?:{_cut})(?:[\\s/]{ATTR})?>', chr(1), 'g'), '(?i)<br(?:[\\s/]{ATTR})?>', ' ', 'g'), '{ANY_TAG}', '', 'g')"
+ORACLE["page_block_paragraphs"] = f"""WITH s AS (SELECT page_id, list_filter(list_transform(string_split({_blocks}, chr(1)),
+    lambda b: trim(regexp_replace({decoded('b')}, '{SPACE}+', ' ', 'g'))), lambda b: length(b) >= 20) AS l FROM pages)
+SELECT page_id, p.o - 1 AS pos, md5(p.v) AS digest FROM s, unnest(l) WITH ORDINALITY AS p(v, o)"""
+ORACLE["feed_items"] = "SELECT page_id::VARCHAR AS source, 'News & more' AS title, url AS link, 'Cảnh báo' AS summary FROM pages"
+ITEMS = f"""{HOSTS}, it AS (SELECT lang AS source, page_id AS pos, CASE WHEN starts_with(url, 'https') THEN url ELSE '' END AS link FROM hosts
+    WHERE contains(host, 'example.com') OR contains(host, 'example.net'))"""
+ORACLE["feed_articles"] = f"""WITH {ITEMS}, k AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos) <= 7) SELECT * FROM k WHERE link <> ''"""
+ORACLE["feed_articles_training"] = f"WITH {ITEMS} SELECT * FROM it WHERE link <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos) <= 7"
+ORACLE["robots_policy"] = f"""WITH {HOSTS}, j AS (SELECT page_id::VARCHAR AS host, starts_with(url, 'http:') AS sig,
+    CASE lang WHEN 'fr' THEN 'gptbot' WHEN 'de' THEN 'ccbot' ELSE '' END AS bot FROM hosts)
+SELECT host, NOT sig AND bot = '' AS allowed, CASE WHEN sig THEN 'content_signal' WHEN bot <> '' THEN 'agents_barred' ELSE 'unrestricted' END AS reason,
+CASE WHEN sig THEN '' ELSE bot END AS agents FROM j"""
+
+# --- curation and reports ---------------------------------------------------------------
+ORACLE["known_text_keys"] = f"""SELECT {key('text')} AS key FROM documents UNION SELECT {key('text')} FROM conversations UNION SELECT {key('text')} FROM benchmark"""
+CAND = f"""{LABELLED}, ca AS (SELECT 'cand_' || lpad(ord::VARCHAR, 6, '0') AS id, text, CASE WHEN channel = 'fax' THEN 'radio' ELSE 'news' END AS origin, source,
+    CASE WHEN label = 'spam' THEN '' ELSE label END AS label, scam_type, channel FROM la),
+se AS (SELECT *, CASE WHEN label = '' THEN 'label' WHEN label <> 'scam' AND scam_type <> '' THEN 'scam_type_without_scam' WHEN channel = 'fax' THEN 'channel' END AS error FROM ca)"""
+ORACLE["suggestion_errors"] = f"""WITH {CAND} SELECT id || '?' AS id, 'unknown_id' AS error FROM se WHERE source = 'synthetic'
+UNION ALL SELECT id, error FROM se WHERE source <> 'synthetic' AND error IS NOT NULL"""
+ORACLE["capped_sources"] = f"""WITH {LABELLED}, o AS (SELECT la.ord, substr(d.source, 4)::INTEGER AS source_ord, CASE WHEN label = 'normal' THEN 'added' ELSE 'duplicate' END AS outcome
+    FROM la JOIN documents d ON d.doc_id = la.ord),
+n AS (SELECT source_ord, coalesce(sum(count(*) FILTER (outcome = 'added')) OVER (ORDER BY source_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o GROUP BY 1)
+SELECT ord, source_ord, outcome FROM o WHERE source_ord IN (SELECT source_ord FROM n WHERE before < 100)"""
+ORACLE["first_items_per_source"] = "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= length(source) * 2"
+ORACLE["applied_suggestions"] = "SELECT conv_id::VARCHAR AS id, arg_max(role, turn) AS suggested_label, max(turn)::VARCHAR AS note FROM conversations GROUP BY 1"
+ORACLE["unlabelled_candidates"] = f"WITH {CAND} SELECT id FROM ca WHERE label = '' ORDER BY id LIMIT 40"
+REV = f"""{LABELLED}, rv AS (SELECT 'cand_' || lpad(ord::VARCHAR, 6, '0') AS candidate_id, text, source, label, ord,
+    source = 'collected' AS judged, source = 'collected' AND annotator <> '' AND channel <> 'fax' AS accepted FROM la)"""
+ORACLE["accepted_messages"] = f"""WITH {REV} SELECT candidate_id, label, CASE WHEN label = 'scam' THEN 'job_scam' ELSE '' END AS scam_type, 'other' AS channel,
+source, 'a7' AS annotator FROM rv WHERE accepted"""
+ORACLE["reviewed_keys"] = f"""WITH {REV} SELECT {key('text')} AS key, CASE WHEN accepted THEN 'accepted' ELSE 'rejected' END AS decision, '2026-01-01' AS decided_at FROM rv WHERE judged"""
+ORACLE["remaining_candidates"] = f"WITH {REV} SELECT candidate_id AS id FROM rv WHERE NOT judged"
+ORACLE["appended_messages"] = f"""WITH {REV}, top AS (SELECT max(ord) AS m FROM la WHERE label = 'scam')
+SELECT id, label, annotator FROM la WHERE label = 'scam'
+UNION ALL SELECT 'msg_' || lpad(((SELECT m FROM top) + row_number() OVER (ORDER BY candidate_id))::VARCHAR, 6, '0'), label, 'a7' FROM rv WHERE accepted"""
+ORACLE["sequential_ids"] = """SELECT doc_id, 'msg_' || lpad(((SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY source, doc_id))::VARCHAR, 6, '0') AS id FROM documents"""
+ORACLE["next_id_number"] = "SELECT max(doc_id) + 1 AS next FROM labels"
+ORACLE["label_mapped_rows"] = """SELECT doc_id::VARCHAR AS text, CASE lang WHEN 'en' THEN 'normal' WHEN 'fr' THEN 'spam' ELSE '' END AS hint_label, 'sms' AS hint_channel FROM documents"""
+REPORTS = """rq AS (SELECT event_id, event_type || ' ' || props AS masked_text, CASE WHEN event_type = 'view' THEN 'spam' ELSE 'scam' END AS reported_label,
+    CASE WHEN event_type = 'click' THEN 'telegram' ELSE 'api' END AS channel, ts, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS ms FROM events WHERE event_type <> 'error'),
+rh AS (SELECT *, sha256(event_id::VARCHAR || chr(31) || masked_text) AS h FROM rq),
+rp AS (SELECT *, substr(ms, 1, 8) || '-' || substr(ms, 9, 4) || '-7' || substr(h, 1, 3) || '-8' || substr(h, 4, 3) || '-' || substr(h, 7, 12) AS id FROM rh)"""
+STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at"
+ORACLE["submitted_reports"] = f"WITH {REPORTS} SELECT id, masked_text, reported_label, channel, {STAMP} FROM rp"
+ORACLE["stream_reports"] = ORACLE["submitted_reports"]
+ORACLE["listed_reports"] = f"WITH {REPORTS} SELECT id, {STAMP} FROM rp WHERE ts >= TIMESTAMP '2024-01-15' ORDER BY ts, id LIMIT 500"
+ORACLE["review_file_rows"] = f"""WITH {REPORTS} SELECT id AS report_id, masked_text AS text, reported_label AS label, '' AS scam_type,
+CASE WHEN channel = 'telegram' THEN 'telegram' ELSE 'other' END AS channel, 'contributed' AS source, strftime(ts, '%Y-%m-%d') AS collected_at, '' AS annotator FROM rp"""
+ORACLE["requests_over_limit"] = """SELECT user_id AS client, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) - 3 AS refused
+FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(*) > 3"""
+ORACLE["refused_requests"] = "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) > 3"
+ORACLE["stream_first_texts"] = f"SELECT DISTINCT {key("event_type || ' ' || props")} AS key FROM events"
+ORACLE["stream_newest_texts"] = f"""WITH f AS (SELECT min(doc_id) AS ord, {key('text')} AS key FROM documents GROUP BY 2) SELECT ord, key FROM f ORDER BY ord DESC LIMIT 10"""

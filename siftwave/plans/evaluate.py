@@ -63,7 +63,7 @@ def training_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", mask_normalized(F.col("text")).alias("text"), index.alias("label_id"))
 
 
-def classifier(features: int = 1 << 18, regularisation: float = 0.0) -> Pipeline:
+def classifier(features: int = 1 << 13, regularisation: float = 0.0) -> Pipeline:
     """Word unigrams and bigrams, TF-IDF, multinomial logistic regression."""
     return Pipeline(
         stages=[
@@ -73,7 +73,7 @@ def classifier(features: int = 1 << 18, regularisation: float = 0.0) -> Pipeline
             VectorAssembler(inputCols=["word_tf", "bigram_tf"], outputCol="tf"),
             IDF(inputCol="tf", outputCol="features"),
             LogisticRegression(
-                featuresCol="features", labelCol="label_id", family="multinomial", regParam=regularisation, maxIter=50
+                featuresCol="features", labelCol="label_id", family="multinomial", regParam=regularisation, maxIter=30
             ),
         ]
     )

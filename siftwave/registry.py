@@ -167,7 +167,7 @@ def token_counts(spark, d):
 
 @query
 def neighbour_words(spark, d):
-    words = sets.tokens(F.col("text"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     pairs = load(spark, d, "conversations", "conv_id").select(words.alias("w")).select(
         F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, 1_000_000).alias("b"))).alias("p")
     )
