@@ -65,17 +65,13 @@ SELECT doc_id, tpl_id, round(coverage, 9) AS coverage FROM m
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, tpl_id) = 1"""
 ORACLE["template_coverage"] = covered(0.3) + " SELECT doc_id, tpl_id, round(coverage, 9) AS coverage FROM m"
 
-REPS = f"""{DOCS},
-r AS (SELECT min(id) AS id, any_value(sh) AS sh FROM d WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+NEAR = """r AS (SELECT min(id) AS id, any_value(sh) AS sh FROM d WHERE len(sh) > 0 GROUP BY list_sort(sh)),
 x AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM r),
 p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
       FROM x a JOIN x b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
 e AS (SELECT id_a, id_b, c / (n + m - c)::DOUBLE AS jaccard FROM p WHERE c / (n + m - c)::DOUBLE >= 0.8)"""
-ORACLE["near_duplicate_pairs"] = f"WITH {REPS} SELECT id_a, id_b, round(jaccard, 9) AS jaccard FROM e"
-ORACLE["copy_groups"] = f"""WITH {DOCS}
-SELECT id, min(id) OVER (PARTITION BY list_sort(sh)) AS rep FROM d WHERE len(sh) > 0"""
-ORACLE["greedy_dedup"] = f"""WITH RECURSIVE {REPS},
-linked AS (SELECT id, row_number() OVER (ORDER BY id) AS k
+REPS = f"{DOCS}, {NEAR}"
+WALK = """linked AS (SELECT id, row_number() OVER (ORDER BY id) AS k
            FROM (SELECT id_a AS id FROM e UNION SELECT id_b FROM e)),
 near AS (SELECT l.k, l.id, list(e.id_a) FILTER (e.id_a IS NOT NULL) AS before
          FROM linked l LEFT JOIN e ON e.id_b = l.id GROUP BY 1, 2),
@@ -83,7 +79,11 @@ walk(k, kept) AS (
     SELECT 0::BIGINT, []::BIGINT[]
     UNION ALL
     SELECT near.k, CASE WHEN list_has_any(walk.kept, coalesce(near.before, []::BIGINT[])) THEN walk.kept ELSE list_append(walk.kept, near.id) END
-    FROM walk JOIN near ON near.k = walk.k + 1)
+    FROM walk JOIN near ON near.k = walk.k + 1)"""
+ORACLE["near_duplicate_pairs"] = f"WITH {REPS} SELECT id_a, id_b, round(jaccard, 9) AS jaccard FROM e"
+ORACLE["copy_groups"] = f"""WITH {DOCS}
+SELECT id, min(id) OVER (PARTITION BY list_sort(sh)) AS rep FROM d WHERE len(sh) > 0"""
+ORACLE["greedy_dedup"] = f"""WITH RECURSIVE {REPS}, {WALK}
 SELECT id FROM r WHERE id NOT IN (SELECT id FROM linked)
 UNION ALL SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1)
 UNION ALL SELECT id FROM d WHERE len(sh) = 0"""
@@ -177,7 +177,7 @@ brands AS (SELECT host, bool_or(coalesce({skeleton('tok')} = s OR (length(k) >=
         OR (length(k) >= 8 AND damerau_levenshtein({skeleton('tok')}, s) <= 1), false)) AS brand
     FROM (SELECT DISTINCT host, unnest(regexp_split_to_array(host, '[._-]')) AS tok FROM fixed) CROSS JOIN kw
     WHERE tok <> '' GROUP BY host)"""
-ORACLE["brand_imitations"] = f"""WITH {LINKS.replace("replace(raw, '[.]', '.')", "replace(raw, '[.]', '.')")}, {BRAND} SELECT host, brand FROM brands"""
+ORACLE["brand_imitations"] = f"""WITH {LINKS}, {BRAND} SELECT host, brand FROM brands"""
 BY_HOST = f"""list_filter([CASE WHEN hidden THEN 'url_obfuscated' END,
     CASE WHEN list_contains([{quoted(fv.SHORTENER_HOSTS)}], host) THEN 'url_shortener' END,
     CASE WHEN regexp_matches(host, '(^|\\.)xn--') THEN 'url_punycode' END,
@@ -275,9 +275,9 @@ ORACLE["category_findings"] = f"WITH {LABELLED} " + " UNION ALL ".join(
 ORACLE["metadata_findings"] = f"WITH {LABELLED} " + " UNION ALL ".join(
     [finding("collected_at", "collected_at", "collected_at = '2026-02-30'"), finding("annotator", "''", "annotator = ''")]
 )
-ORACLE["uniqueness_findings"] = f"""WITH {LABELLED}, s AS (SELECT ord, substr(id, 1, 8) AS id, {fold('text')} AS f FROM la),
-u AS (SELECT ord, id, first_value(ord) OVER (PARTITION BY id ORDER BY ord) AS fo,
-      first_value(ord) OVER t AS ft, first_value(id) OVER t AS fid FROM s WINDOW t AS (PARTITION BY f ORDER BY ord))
+REPEATED = """u AS (SELECT ord, id, first_value(ord) OVER (PARTITION BY id ORDER BY ord) AS fo,
+      first_value(ord) OVER t AS ft, first_value(id) OVER t AS fid FROM s WINDOW t AS (PARTITION BY f ORDER BY ord))"""
+ORACLE["uniqueness_findings"] = f"""WITH {LABELLED}, s AS (SELECT ord, substr(id, 1, 8) AS id, {fold('text')} AS f FROM la), {REPEATED}
 SELECT id AS key, 'duplicate_id' AS rule, id AS detail FROM u WHERE ord <> fo
 UNION ALL SELECT id, 'duplicate_text', fid FROM u WHERE ord <> ft"""
 ORACLE["label_shares"] = f"""WITH {LABELLED} SELECT v.label, count(la.id) AS n, round(count(la.id) / (SELECT count(*) FROM la)::DOUBLE, 9) AS share
@@ -441,3 +441,105 @@ FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(*) > 3"""
 ORACLE["refused_requests"] = "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) > 3"
 ORACLE["stream_first_texts"] = f"SELECT DISTINCT {key("event_type || ' ' || props")} AS key FROM events"
 ORACLE["stream_newest_texts"] = f"""WITH f AS (SELECT min(doc_id) AS ord, {key('text')} AS key FROM documents GROUP BY 2) SELECT ord, key FROM f ORDER BY ord DESC LIMIT 10"""
+
+# --- masked texts ---------------------------------------------------------------------
+# RE2 has no look-around: the character before and after a number is taken into the match
+# and put back, and each step runs twice for numbers that share such a character. Amounts
+# of money are fenced with chr(1) first. The documents hold no OTP and no ID keyword.
+PHONE = (
+    r"(^|[^\d.,/])((?:\(\+?84\)|\+?84|0)[ .\-]?(?:\d{9,10}|\d{2,4}(?:[ .\-]\d{3,4}){2,3}|\d(?:[ .\-]\d{2}){4})"
+    r"|\(0\d{1,3}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4})($|[^\d.,/]|[.,/]$|[.,/][^\d])"
+)
+MONEY = r"(^|[^\d\x01])(\d{9,19}\s?(?i:đồng|dong|vnđ|vnd|đ|d)(?:[^\p{L}\p{M}]|$))"
+ACCOUNT = r"(^|[^\d\x01])(?:\d{4}(?:[ .\-]\d{4}){2,3}(?:[ .\-]\d{1,3})?|\d{9,19})($|[^\d])"
+
+
+def twice(c: str, pattern: str, to: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '{pattern}', '{to}', 'g'), '{pattern}', '{to}', 'g')"
+
+
+def sql_email(c: str) -> str:
+    return f"regexp_replace({c}, '{EMAIL}', '<EMAIL>', 'g')"
+
+
+def sql_phone(c: str) -> str:
+    return twice(c, PHONE, r"\1<PHONE>\3")
+
+
+def sql_account(c: str) -> str:
+    fenced = twice(c, MONEY, r"\1" + "' || chr(1) || '" + r"\2")
+    return f"replace({twice(fenced, ACCOUNT, chr(92) + '1<ACCOUNT>' + chr(92) + '2')}, chr(1), '')"
+
+
+def sql_mask(c: str) -> str:
+    return sql_account(sql_phone(sql_email(c)))
+
+
+def mask_steps(name: str, select: str) -> str:
+    """CTEs ending in ``name`` with the text after each step; ``select`` gives ``t0`` and other columns."""
+    return (
+        f"{name}0 AS ({select}), {name}1 AS (SELECT *, {sql_email('t0')} AS t1 FROM {name}0), "
+        f"{name}2 AS (SELECT *, {sql_phone('t1')} AS t2 FROM {name}1), {name} AS (SELECT *, {sql_account('t2')} AS t3 FROM {name}2)"
+    )
+
+
+KINDS = """list_filter([CASE WHEN t1 <> t0 THEN 'email' END, CASE WHEN t2 <> t1 THEN 'phone' END, CASE WHEN t3 <> t2 THEN 'account' END], lambda k: k IS NOT NULL)"""
+NAMED = rf"""list_bool_or(list_append(list_transform(regexp_extract_all(t3, '(?:^|[^{WORD}_])(?i:anh|chị|chi|em|ông|ong|bà|cô|chú|chu|bác|bac|bạn|ban|mr|mrs|ms)\.?\s+([\p{{L}}\p{{M}}]+)', 1),
+    lambda w: w[1] <> lower(w[1])), false))"""
+BARE = rf"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?\.)+(?:{fv.URL_TLDS}|{fv.URL_TLDS.upper()})($|[^{WORD}_])"
+MASKED = mask_steps("m", f"SELECT doc_id, source, {norm('text')} AS t0 FROM documents")
+
+ORACLE["mask_documents"] = f"WITH {MASKED} SELECT doc_id, md5(t3) AS digest, length(t3) AS n FROM m"
+ORACLE["pii_kind_counts"] = f"WITH {MASKED} SELECT kind, count(*) AS rows FROM (SELECT unnest({KINDS}) AS kind FROM m) GROUP BY 1"
+ORACLE["evidence_excerpts"] = f"WITH {MASKED} SELECT doc_id, CASE WHEN length(t3) <= 240 THEN t3 ELSE substr(t3, 1, 239) || '…' END AS evidence FROM m"
+ORACLE["anonymized_rows"] = f"""WITH {MASKED} SELECT 'msg_' || lpad((row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') AS id,
+'normal' AS label, source, CASE WHEN regexp_matches(t3, '{BARE}') THEN 'true' ELSE 'false' END AS has_url, md5(t3) AS digest FROM m"""
+OUTCOMES = f"""{MASKED}, pr AS (SELECT doc_id AS ord, source, t3, {key('t3')} AS key, CASE WHEN NOT length(t3) BETWEEN 5 AND 2000 THEN 'invalid' WHEN {NAMED} THEN 'name' END AS problem FROM m),
+oc AS (SELECT *, CASE WHEN problem IS NOT NULL THEN problem WHEN ord = min(ord) FILTER (problem IS NULL) OVER (PARTITION BY key)
+    AND key NOT IN (SELECT {key('text')} FROM benchmark) THEN 'added' ELSE 'duplicate' END AS outcome FROM pr)"""
+ORACLE["collected_texts"] = f"WITH {OUTCOMES} SELECT ord, key, outcome FROM oc"
+ORACLE["collection_report"] = f"""WITH {OUTCOMES} SELECT source AS source_name, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'duplicate') AS duplicate,
+count(*) FILTER (outcome = 'name') AS name, count(*) FILTER (outcome = 'invalid') AS invalid FROM oc GROUP BY 1"""
+ORACLE["new_candidate_rows"] = f"""WITH {OUTCOMES}, so AS (SELECT *, substr(source, 4)::INTEGER AS so FROM oc),
+n AS (SELECT so, coalesce(sum(count(*) FILTER (outcome = 'added')) OVER (ORDER BY so ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM so GROUP BY 1),
+k AS (SELECT so.*, row_number() OVER (ORDER BY so.so, ord) AS r FROM so JOIN n USING (so) WHERE before < 300 AND outcome = 'added')
+SELECT 'cand_' || lpad(((SELECT max(doc_id) FROM labels) + r)::VARCHAR, 6, '0') AS id, source, md5(t3) AS digest FROM k WHERE r <= 300"""
+FRAUD = mask_steps("fr", f"SELECT doc_id AS ord, source, 'Quý khách vui lòng truy cập ' || array_to_string(({tokens('text')})[1:8], ' ') || ' để xác minh tài khoản' AS t0 FROM documents")
+ORACLE["template_candidate_texts"] = f"WITH {FRAUD} SELECT ord, md5(t3) AS digest FROM fr WHERE length(t3) <= 600"
+ORACLE["template_additions"] = f"""WITH RECURSIVE {FRAUD}, ok AS (SELECT ord, source, t3 FROM fr WHERE length(t3) <= 600),
+{shingle_cte('d', 'ok', 'ord', 't3')}, {NEAR}, {WALK},
+stay AS (SELECT id FROM r WHERE id NOT IN (SELECT id FROM linked) UNION ALL SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))
+SELECT 'tpl_' || lpad((row_number() OVER (ORDER BY ord))::VARCHAR, 6, '0') AS id, md5(t3) AS digest, source FROM ok JOIN stay ON stay.id = ok.ord"""
+ORACLE["synthetic_candidates"] = f"""WITH {FRAUD}, g AS (SELECT min(ord) AS ord, {key('t3')} AS key FROM fr GROUP BY 2)
+SELECT 'cand_' || lpad(((SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY fr.ord))::VARCHAR, 6, '0') AS id, 'scam' AS suggested_label, md5(t3) AS digest
+FROM fr JOIN g USING (ord) WHERE key NOT IN (SELECT {key('text')} FROM benchmark)"""
+ORACLE["score_documents"] = f"""WITH {MASKED}, {shingle_cte('d', 'm', 'doc_id', 't3')}, {TPLS},
+bx AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM b), dx AS (SELECT id, unnest(sh) AS s FROM d),
+c AS (SELECT dx.id, bx.id AS tpl, count(*) / any_value(bx.n)::DOUBLE AS cov FROM dx JOIN bx USING (s) GROUP BY 1, 2),
+best AS (SELECT id, max(cov) AS cov FROM c WHERE cov >= 0.6 GROUP BY 1)
+SELECT doc_id AS msg_id, CASE WHEN length(t0) > 2000 THEN 'classification.text_too_long' WHEN cov IS NULL THEN 'classification.model_unavailable' ELSE 'ok' END AS status,
+CASE WHEN length(t0) <= 2000 AND cov IS NOT NULL THEN 'scam' END AS label, CASE WHEN length(t0) <= 2000 THEN round(cov, 9) END AS confidence,
+CASE WHEN length(t0) <= 2000 AND cov IS NOT NULL THEN 'matches_known_scam_template' END AS reasons FROM m LEFT JOIN best ON best.id = m.doc_id"""
+ORACLE["candidate_findings"] = f"""WITH {CAND}, {mask_steps('cm', "SELECT *, text AS t0 FROM se")}
+SELECT id AS key, 'origin' AS rule FROM se WHERE origin = 'radio' UNION ALL SELECT id, 'suggestion' FROM se WHERE label <> '' AND error IS NOT NULL
+UNION ALL SELECT id, 'text_pii' FROM cm WHERE len({KINDS}) > 0"""
+_trimmed = f"length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g'))"
+ORACLE["dataset_findings"] = f"""WITH {LABELLED}, {mask_steps('lm', "SELECT id, text AS t0 FROM la")},
+kinds AS (SELECT id, unnest({KINDS}) AS k FROM lm), s AS (SELECT ord, id, {fold('text')} AS f FROM la), {REPEATED}
+{" UNION ALL ".join([
+    finding('text_length', f'{_trimmed}::VARCHAR', f'NOT {_trimmed} BETWEEN 5 AND 2000'),
+    "SELECT 'dataset', id, 'text_pii', 'error', k FROM kinds",
+    finding('scam_type_without_scam', 'scam_type', "label <> 'scam' AND scam_type <> ''"),
+    finding('channel', 'channel', "channel = 'fax'"),
+    finding('has_url', "'true'", f"regexp_matches(text, '{BARE}')"),
+    finding('collected_at', 'collected_at', "collected_at = '2026-02-30'"),
+    finding('annotator', "''", "annotator = ''"),
+    "SELECT 'dataset', id, 'duplicate_text', 'error', fid FROM u WHERE ord <> ft",
+])}
+UNION ALL SELECT 'dataset', label, 'label_share', 'error', round(share, 4)::VARCHAR FROM (
+    SELECT v.label, count(la.id) / (SELECT count(*) FROM la)::DOUBLE AS share FROM (VALUES ('normal'), ('spam'), ('scam')) AS v(label) LEFT JOIN la ON la.label = v.label GROUP BY 1) WHERE share < 0.15"""
+ORACLE["template_findings"] = f"""SELECT 'scam_templates' AS "table", printf('tpl_%06d', item_id) AS key, 'not_a_candidate' AS rule, 'error' AS severity, '' AS detail FROM benchmark
+UNION ALL SELECT 'scam_templates', printf('tpl_%06d', item_id), 'not_normalized', 'error', '' FROM benchmark WHERE {norm('text')} <> text"""
+ORACLE["page_ads"] = f"""SELECT page_id, 0 AS pos, trim(regexp_replace({decoded("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")}, '[ \\t\\r]+', ' ', 'g')) AS text FROM pages
+WHERE regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) <> ''"""
+ORACLE["stream_over_limit"] = ORACLE["requests_over_limit"] + " AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)"
