@@ -54,4 +54,4 @@ def fingerprint(c: Column) -> Column:
 
 def fingerprint_of(shingle_array: Column) -> Column:
     short = F.transform(shingle_array, lambda s: F.substring(F.sha2(s, 256), 1, fv.FINGERPRINT_HEX))
-    return F.array_sort(F.array_distinct(short))
+    return F.sort_array(F.array_distinct(short))

@@ -43,9 +43,15 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | c.rlike(r"(?U)^\s*$")
 
 
+def when_may(c: Column, possible: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """Run a costly step only on texts that pass a cheap test, which every affected text passes."""
+    return let(c, lambda x: F.when(possible(x), step(x)).otherwise(x))
+
+
 def restore(c: Column) -> Column:
     """Undo bracketed dots and defanged schemes; keeps http and https apart."""
-    return F.regexp_replace(F.regexp_replace(c, fv.BRACKETED_DOT, "."), fv.DEFANGED_SCHEME, "http$1://")
+    dotted = when_may(c, lambda x: x.rlike(r"[\[({]"), lambda x: F.regexp_replace(x, fv.BRACKETED_DOT, "."))
+    return when_may(dotted, lambda x: x.contains("//"), lambda x: F.regexp_replace(x, fv.DEFANGED_SCHEME, "http$1://"))
 
 
 def refang(c: Column) -> Column:
@@ -55,14 +61,23 @@ def refang(c: Column) -> Column:
 
 
 def mask_email(c: Column) -> Column:
-    return F.regexp_replace(c, fv.EMAIL, "<EMAIL>")
+    return when_may(c, lambda x: x.contains("@"), lambda x: F.regexp_replace(x, fv.EMAIL, "<EMAIL>"))
+
+
+def may_hold_url(c: Column) -> Column:
+    """A scheme, or a dot between two other characters."""
+    return c.contains("://") | c.rlike(r"\S\.\S")
 
 
 def mask_url(c: Column) -> Column:
     """URLs become ``<URL>``; punctuation at their end stays in the text."""
-    fenced = F.regexp_replace(F.translate(c, OPEN + CLOSE, ""), fv.URL, f"{OPEN}$0{CLOSE}")
     tail = f"{OPEN}[^{OPEN}{CLOSE}]*?({fv.URL_TAIL_PUNCTUATION}*){CLOSE}"
-    return F.regexp_replace(fenced, tail, "<URL>$1")
+
+    def replaced(x: Column) -> Column:
+        fenced = F.regexp_replace(F.translate(x, OPEN + CLOSE, ""), fv.URL, f"{OPEN}$0{CLOSE}")
+        return F.regexp_replace(fenced, tail, "<URL>$1")
+
+    return when_may(c, may_hold_url, replaced)
 
 
 def mask_otp(c: Column) -> Column:
@@ -82,7 +97,7 @@ def mask_account(c: Column) -> Column:
 
 
 def _mask_numbers(c: Column) -> Column:
-    return mask_account(mask_phone(mask_id(mask_otp(c))))
+    return when_may(c, lambda x: x.rlike(r"\p{Nd}"), lambda x: mask_account(mask_phone(mask_id(mask_otp(x)))))
 
 
 def _mask_restored(restored: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import let, refang, restore
+from .text import let, may_hold_url, refang, restore
 
 LABEL = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}_-]{0,62}"
 HOST_NAME = rf"^{LABEL}(?:\.{LABEL})*\.?$"
@@ -28,7 +28,8 @@ def to_ascii(host: Column) -> Column:
 
 def urls(c: Column) -> Column:
     """Links of the text in order, without the punctuation that follows them."""
-    found = F.regexp_extract_all(c, F.lit(fv.URL), F.lit(0))
+    none = F.array().cast("array<string>")
+    found = let(c, lambda x: F.when(may_hold_url(x), F.regexp_extract_all(x, F.lit(fv.URL), F.lit(0))).otherwise(none))
     return F.transform(found, lambda u: F.regexp_replace(u, f"{fv.URL_TAIL_PUNCTUATION}+$", ""))
 
 
@@ -82,7 +83,8 @@ def domain(value: Column) -> Column:
 
 def domains(c: Column) -> Column:
     """Distinct valid domains of a (possibly defanged) text, in order of appearance."""
-    found = F.regexp_extract_all(refang(c), F.lit(fv.DOMAIN), F.lit(1))
+    none = F.array().cast("array<string>")
+    found = let(refang(c), lambda x: F.when(x.rlike(r"\S\.\S"), F.regexp_extract_all(x, F.lit(fv.DOMAIN), F.lit(1))).otherwise(none))
     return F.array_distinct(F.array_compact(F.transform(found, domain)))
 
 

@@ -42,7 +42,7 @@ def template_index(templates: DataFrame, threshold: float) -> tuple[DataFrame, D
     """
     sets = (
         templates.filter(F.size("shingles") > 0)
-        .groupBy(F.array_sort("shingles").alias("tpl_shingles"))
+        .groupBy(F.sort_array("shingles").alias("tpl_shingles"))
         .agg(F.min("tpl_id").alias("tpl_id"))
         .withColumn("tpl_size", F.size("tpl_shingles"))
     )
@@ -51,7 +51,7 @@ def template_index(templates: DataFrame, threshold: float) -> tuple[DataFrame, D
     ordered = (
         tokens.join(F.broadcast(frequent_tokens(tokens, "shingle")), "shingle", "left")
         .groupBy("tpl_id", "tpl_size")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle"))).alias("ordered"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle"))).alias("ordered"))
     )
     prefix = F.slice("ordered", F.lit(1), prefix_size(F.col("tpl_size"), threshold))
     prefixes = ordered.select("tpl_id", F.explode(prefix).alias("t")).select("tpl_id", F.col("t.shingle").alias("shingle"))
@@ -111,7 +111,7 @@ def fold_equal_sets(df: DataFrame) -> DataFrame:
     being copies of one text costs one row per task. Empty sets match nothing.
     """
     keyed = df.filter(F.size("shingles") > 0).select(
-        "id", F.sha2(F.concat_ws("\u001f", F.array_sort("shingles")), 256).alias("digest")
+        "id", F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256).alias("digest")
     )
     first = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
     return lookup_join(keyed, first, ["digest"]).select("id", "rep")
@@ -123,7 +123,7 @@ def distinct_sets(df: DataFrame) -> DataFrame:
     Written once: prefixes and verification both read it, and eight bytes per
     shingle are far less than the text they come from.
     """
-    digest = F.sha2(F.concat_ws("\u001f", F.array_sort("shingles")), 256)
+    digest = F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256)
     hashed = F.transform("shingles", lambda s: F.xxhash64(s))
     keyed = cut(df.filter(F.size("shingles") > 0).select("id", digest.alias("digest"), hashed.alias("h")))
     first = keyed.groupBy("digest").agg(F.min("id").alias("id")).select("id")
@@ -140,7 +140,7 @@ def prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
     tokens = sets.select("id", F.explode("h").alias("token"))
     frequent = F.broadcast(frequent_tokens(tokens, "token"))
     ranked = tokens.join(frequent, "token", "left").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ordered")
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ordered")
     )
     n = F.size("ordered")
     prefix = F.slice("ordered", F.lit(1), prefix_size(n, threshold))
@@ -204,7 +204,7 @@ def fingerprint_matches(
     threshold: float = fv.NEAR_DUPLICATE_JACCARD,
     max_index_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Ids of ``df(id, fp)`` whose fingerprint is near a known one ``known(fp)``.
+    """Ids of ``df(id, fp)`` whose set of hashes is near a known one ``known(fp)``.
 
     The order of the hashes is the token order, so prefixes are cut row by row
     without a shuffle; the known side is broadcast while its index is small.
@@ -214,12 +214,14 @@ def fingerprint_matches(
         n = F.size(fp)
         return F.slice(fp, F.lit(1), prefix_size(n, threshold))
 
-    targets = known.select(F.array_sort(F.array_distinct("fp")).alias("known_fp")).filter(F.size("known_fp") > 0)
-    targets = targets.distinct().withColumn("known_id", F.sha2(F.array_join("known_fp", ""), 256))
+    targets = known.filter(F.size("fp") > 0).select(F.sort_array(F.array_distinct("fp")).alias("known_fp"))
+    targets = cut(targets.distinct().withColumn("known_id", F.sha2(F.array_join(F.col("known_fp").cast("array<string>"), " "), 256)))
     index = targets.select("known_id", F.explode(prefix(F.col("known_fp"))).alias("token"))
-    own = df.select("id", F.array_sort(F.array_distinct("fp")).alias("own_fp")).filter(F.size("own_fp") > 0)
-    shared = F.size(F.array_intersect("own_fp", "known_fp"))
-    near = shared / (F.size("own_fp") + F.size("known_fp") - shared) >= threshold
+    own = df.filter(F.size("fp") > 0).select("id", F.sort_array(F.array_distinct("fp")).alias("own_fp"))
+    n, m = F.size("own_fp"), F.size("known_fp")
+    alike = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-6)  # sizes first: cheap
+    # shared / (n + m - shared) >= threshold, solved for shared so that the sets meet once
+    near = alike & (F.size(F.array_intersect("own_fp", "known_fp")) * F.lit(1 + threshold) >= (n + m) * F.lit(threshold) - F.lit(1e-9))
     if is_small(index, max_index_rows):
         probes = own.select("id", "own_fp", F.explode(prefix(F.col("own_fp"))).alias("token"))
         found = probes.join(F.broadcast(index), "token").join(F.broadcast(targets), "known_id")
@@ -303,6 +305,6 @@ def near_sets(
     max_index_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Ids of ``df(id, shingles)`` that are near any set of ``known(shingles)``."""
-    own = df.select("id", F.transform("shingles", lambda s: F.xxhash64(s).cast("string")).alias("fp"))
-    other = known.select(F.transform("shingles", lambda s: F.xxhash64(s).cast("string")).alias("fp"))
+    own = df.select("id", F.transform("shingles", lambda s: F.xxhash64(s)).alias("fp"))
+    other = known.select(F.transform("shingles", lambda s: F.xxhash64(s)).alias("fp"))
     return fingerprint_matches(own, other, threshold, max_index_rows)

@@ -61,7 +61,7 @@ def warned_domains(paragraph_rows: DataFrame) -> DataFrame:
 def listed_page_domains(pages: DataFrame) -> DataFrame:
     """Domains on a list page ``(page_id, url, html)``, without the page's own host family."""
     own = F.coalesce(page_host(F.col("url")), F.lit(""))
-    found = pages.select("page_id", "url", F.explode(F.array_sort(domains(visible_text(F.col("html"))))).alias("domain"))
+    found = pages.select("page_id", "url", F.explode(F.sort_array(domains(visible_text(F.col("html"))))).alias("domain"))
     return found.filter(~F.array_contains(suffixes(F.col("domain"), include_tld=True), own))
 
 
@@ -166,8 +166,9 @@ def merge_templates(
     fresh = candidates.select(F.col("ord").cast("long").alias("id"), F.col("sh").alias("shingles"))
     kept = dedup_against(old, fresh).withColumnRenamed("id", "ord")
     survivors = candidates.withColumn("ord", F.col("ord").cast("long")).join(kept, "ord", "left_semi")
-    prints = survivors.select(F.col("ord").alias("id"), fingerprint_of(F.col("sh")).alias("fp"))
-    barred = fingerprint_matches(prints, rejected.select(fingerprint_set(F.col("fingerprint")).alias("fp"))).withColumnRenamed("id", "ord")
+    prints = survivors.select(F.col("ord").alias("id"), as_numbers(fingerprint_of(F.col("sh"))).alias("fp"))
+    old_prints = rejected.select(as_numbers(fingerprint_set(F.col("fingerprint"))).alias("fp"))
+    barred = fingerprint_matches(prints, old_prints).withColumnRenamed("id", "ord")
     accepted = survivors.join(barred, "ord", "left_anti")
     numbered = assign_ids(accepted, existing, "tpl_", [F.col("ord")])
     new = numbered.select("id", "text", "source", "source_url", F.lit(today).alias("first_seen"))
@@ -186,10 +187,15 @@ def fingerprint_set(value: Column) -> Column:
     return F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(value, " "))
 
 
+def as_numbers(prints: Column) -> Column:
+    """Hashes of 12 hex digits as numbers: the same sets, cheaper to compare."""
+    return F.transform(prints, lambda h: F.conv(h, 16, 10).cast("long"))
+
+
 def rejected_match(texts: DataFrame, rejected: DataFrame) -> DataFrame:
     """Ids of ``texts(id, text)`` that are near a rejected fingerprint."""
-    own = texts.select("id", fingerprint(F.col("text")).alias("fp"))
-    return fingerprint_matches(own, rejected.select(fingerprint_set(F.col("fingerprint")).alias("fp")))
+    own = texts.select("id", as_numbers(fingerprint(F.col("text"))).alias("fp"))
+    return fingerprint_matches(own, rejected.select(as_numbers(fingerprint_set(F.col("fingerprint"))).alias("fp")))
 
 
 def _reason_error(reason: Column) -> Column:

@@ -48,7 +48,7 @@ def barred_agents(text: Column) -> Column:
             state(acc["agents"], F.lit(False), more)
         )
 
-    return F.array_sort(F.aggregate(steps, state(names, F.lit(False), names), step, lambda acc: acc["barred"]))
+    return F.sort_array(F.aggregate(steps, state(names, F.lit(False), names), step, lambda acc: acc["barred"]))
 
 
 def training_policy(robots: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def is_date(c: Column) -> Column:
 
 def text_rules(text: Column) -> tuple[list[Column], list[Column]]:
     length = F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    unknown = F.array_except(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(fv.UNKNOWN_PLACEHOLDER), F.lit(1)))), F.array(*[F.lit(p) for p in fv.PLACEHOLDERS]))
+    unknown = F.array_except(F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(fv.UNKNOWN_PLACEHOLDER), F.lit(1)))), F.array(*[F.lit(p) for p in fv.PLACEHOLDERS]))
     single = [
         rule("text_not_nfc", nfc(text) != text),
         rule("text_length", ~length.between(fv.MIN_TEXT_LENGTH, fv.MAX_MESSAGE_LENGTH), length),

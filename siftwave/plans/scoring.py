@@ -134,7 +134,7 @@ def score_messages(
     matched = _with_threats(links, intel).drop("links", "brand_links")
     joined = _join_template(matched, base.filter("error is null"), intel, min_coverage)
     if findings is not None:
-        extra = findings.groupBy("msg_id").agg(F.array_sort(F.collect_set("reason")).alias("extra"))
+        extra = findings.groupBy("msg_id").agg(F.sort_array(F.collect_set("reason")).alias("extra"))
         joined = joined.join(extra, "msg_id", "left").withColumn(
             "url_reasons", F.array_distinct(F.concat("url_reasons", F.coalesce("extra", none)))
         )
