@@ -24,6 +24,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def starts_with_bom(spark: SparkSession, path: str) -> bool:
+    """First bytes of the table's (first) file; Spark's line reader would hide a byte order mark."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [s for s in system.listStatus(hadoop) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if not files:
+        return False
+    stream = system.open(min(files, key=lambda s: s.getPath().getName()).getPath())
+    try:
+        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+    finally:
+        stream.close()
+
+
 def _csv(spark: SparkSession, multi_line: bool):
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", False)
     return reader.option("encoding", "UTF-8").option("multiLine", multi_line)
@@ -50,7 +64,7 @@ def read_table(
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Header cells of a CSV table, byte order mark included."""
+    """Header cells of a CSV table."""
     line = spark.read.text(path).limit(1).collect()
     return line[0][0].split(",") if line else []
 
@@ -73,7 +87,7 @@ def read_dataset(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     not have stay NULL; cells beyond the header set ``_extra``.
     """
     header = header_of(spark, path)
-    if header and header[0].startswith(BOM):
+    if starts_with_bom(spark, path):
         raise TableError("file starts with a byte order mark")
     missing = [c for c in schemas.MESSAGES.names if c not in header]
     if missing:
