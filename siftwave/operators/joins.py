@@ -9,6 +9,8 @@ from ..functions.urls import suffixes
 
 BROADCAST_ROWS = 500_000
 SALTS = 32
+HOT_ROWS = 100_000  # groups above this size may be salted
+HOT_GROUPS = 10_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -39,6 +41,23 @@ def lookup_join(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_groups(left: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join rows with an aggregate of themselves, ``count`` being the rows per group.
+
+    The largest groups (at most ``HOT_GROUPS`` of them, a bounded broadcast) are
+    salted on both sides, so no group is read by one task alone. Other groups take
+    the plain shuffle join. The aggregate is shuffled once and read twice.
+    """
+    hot = groups.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), *keys).limit(HOT_GROUPS)
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    zero, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c in _atomic(left)]), F.lit(SALTS))
+    a = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(zero)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
+    b = groups.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def _atomic(df: DataFrame) -> set[str]:
     """Columns cheap enough to hash for a salt."""
     kinds = ("bigint", "int", "string", "double", "boolean", "date", "timestamp")

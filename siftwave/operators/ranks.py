@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ids import row_numbers
 from .joins import lookup_join
 
@@ -17,8 +18,8 @@ def stratum_rank(df: DataFrame, stratum: str, order: Column, column: str = "rank
     large stratum into many ranges, and the stratum's first number is taken off.
     """
     numbered = row_numbers(df, [F.col(stratum), order], start=1, column="_n")
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("stratum_size"))
-    before = Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)  # one row per stratum
+    sizes = cut(df.groupBy(stratum).agg(F.count("*").alias("stratum_size")))  # one row per stratum
+    before = Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("stratum_size").over(before), F.lit(0)))
     ranked = lookup_join(numbered, starts, [stratum])
     return ranked.withColumn(column, F.col("_n") - F.col("_before")).drop("_n", "_before")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..session import cut
-from .joins import BROADCAST_ROWS, is_small, lookup_join
+from .joins import BROADCAST_ROWS, is_small, join_groups, lookup_join
 
 HOT_TOKENS = 100_000  # most frequent tokens kept for the token order: the bound of a broadcast
 BUCKET_LIMIT = 64  # larger buckets take the bucket-minimum route of greedy_dedup
@@ -113,8 +113,8 @@ def fold_equal_sets(df: DataFrame) -> DataFrame:
     keyed = df.filter(F.size("shingles") > 0).select(
         "id", F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256).alias("digest")
     )
-    first = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
-    return lookup_join(keyed, first, ["digest"]).select("id", "rep")
+    first = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    return join_groups(keyed, first, ["digest"], "n").select("id", "rep")
 
 
 def distinct_sets(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions.text import has_url, has_vietnamese_letter, mask_normalized, may_contain_name, normalize, pii_kinds, text_key
 from ..operators.ids import assign_ids, format_id, row_numbers
 from ..operators.joins import first_by, lookup_join
+from ..session import cut
 
 SYNTHETIC_NOTE = "Tin sinh tổng hợp theo yêu cầu, cần người duyệt"  # fixed value
 SUGGESTED = ["suggested_label", "suggested_scam_type", "suggested_channel", "confidence", "note"]
@@ -90,7 +91,7 @@ def within_cap(outcomes: DataFrame, cap: int = fv.MAX_NEW_CANDIDATES) -> DataFra
 
     ``outcomes`` hold ``source_ord``. The running sum is over one row per source.
     """
-    added = outcomes.groupBy("source_ord").agg(F.count_if(F.col("outcome") == "added").alias("n"))
+    added = cut(outcomes.groupBy("source_ord").agg(F.count_if(F.col("outcome") == "added").alias("n")))
     before = Window.orderBy("source_ord").rowsBetween(Window.unboundedPreceding, -1)
     read = added.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < cap)
     return lookup_join(outcomes, read.select("source_ord"), ["source_ord"], "left_semi")

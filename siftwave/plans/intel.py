@@ -108,7 +108,9 @@ def domain_outcomes(
     firsts = sightings.groupBy("domain").agg(F.min("source_ord").alias("first_ord"))
     labels = judged.select("domain", verdict.alias("verdict")).join(firsts, "domain")
     later = (F.col("verdict") == "new") & (F.col("source_ord") > F.col("first_ord"))
-    return lookup_join(sightings, labels, ["domain"]).withColumn("outcome", F.when(later, "duplicate").otherwise(F.col("verdict"))).drop("verdict", "first_ord")
+    # a domain has at most one row per source here, so no key is hot
+    outcome = F.when(later, "duplicate").otherwise(F.col("verdict"))
+    return sightings.join(labels, "domain").withColumn("outcome", outcome).drop("verdict", "first_ord")
 
 
 def domain_table(df: DataFrame) -> DataFrame:

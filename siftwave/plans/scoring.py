@@ -12,7 +12,7 @@ from ..functions import fixed_values as fv
 from ..functions.similarity import shingles
 from ..functions.text import is_blank, mask, message_error, normalize
 from ..functions.urls import link_facts, noisy_or, suffixes
-from ..operators.joins import domain_set, is_small, lookup_join
+from ..operators.joins import domain_set, is_small, join_groups, lookup_join
 from ..operators.similarity import best_template
 
 
@@ -178,16 +178,22 @@ def fill_predictions(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return a.join(b, "msg_id", "full").select("msg_id", F.coalesce("p", "q").alias("p")).select("msg_id", "p.*")
 
 
-def request_errors(links: DataFrame) -> DataFrame:
-    """``(request_id, error)`` of requests ``links(request_id, url)`` that fail as a whole."""
+def _failed_requests(links: DataFrame) -> DataFrame:
     bad = is_blank(F.col("url")) | (F.length("url") > fv.MAX_LINK_LENGTH)
-    totals = links.groupBy("request_id").agg(F.count("url").alias("n"), F.max(bad.cast("int")).alias("bad"))
+    totals = links.groupBy("request_id").agg(
+        F.count("url").alias("n"), F.max(bad.cast("int")).alias("bad"), F.count("*").alias("rows")
+    )
     error = (
         F.when(F.col("n") == 0, F.lit("link_inspection.no_links"))
         .when(F.col("n") > fv.MAX_LINKS_PER_REQUEST, F.lit("link_inspection.too_many_links"))
         .when(F.col("bad") == 1, F.lit("link_inspection.invalid_link"))
     )
-    return totals.select("request_id", error.alias("error")).filter("error is not null")
+    return totals.select("request_id", error.alias("error"), "rows").filter("error is not null")
+
+
+def request_errors(links: DataFrame) -> DataFrame:
+    """``(request_id, error)`` of requests ``links(request_id, url)`` that fail as a whole."""
+    return _failed_requests(links).drop("rows")
 
 
 def inspect_links(links: DataFrame, intel: Intel, threshold: float = fv.SCAM_THRESHOLD) -> DataFrame:
@@ -214,8 +220,8 @@ def inspect_links(links: DataFrame, intel: Intel, threshold: float = fv.SCAM_THR
 
 def inspect_requests(links: DataFrame, intel: Intel, threshold: float = fv.SCAM_THRESHOLD) -> DataFrame:
     """Requests ``links(request_id, pos, url)``: one row per link, or one error row per failed request."""
-    failed = request_errors(links)
-    good = lookup_join(links.select("request_id", "pos", "url"), failed.select("request_id"), ["request_id"], "left_anti")
+    failed = _failed_requests(links)
+    good = join_groups(links.select("request_id", "pos", "url"), failed.select("request_id", "rows"), ["request_id"], "rows", "left_anti")
     keyed = good.withColumn("link_id", F.struct("request_id", "pos"))
     done = inspect_links(keyed, intel, threshold).select(
         "link_id.request_id", "link_id.pos", "url", "verdict", "reasons", F.lit(None).cast("string").alias("error")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..operators.joins import lookup_join
 from ..operators.ranks import stratum_rank
+from ..session import cut
 
 
 def shuffle_key(seed: str, key: Column) -> Column:
@@ -17,7 +18,7 @@ def shuffle_key(seed: str, key: Column) -> Column:
 
 def new_test(rows: DataFrame, stratum: str = "label", seed: str = "42-test", share: float = fv.TEST_SHARE) -> DataFrame:
     """Ids of a new test set: per stratum a fixed share of all rows, synthetic rows never."""
-    totals = rows.groupBy(stratum).agg(F.count("*").alias("total"))
+    totals = cut(rows.groupBy(stratum).agg(F.count("*").alias("total")))  # one row per stratum
     real = rows.filter(F.col("source") != "synthetic").select("id", stratum)
     ranked = stratum_rank(real, stratum, shuffle_key(seed, F.col("id")))
     wanted = F.bround(F.col("total") * F.lit(share), 0)

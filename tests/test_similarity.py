@@ -112,3 +112,25 @@ def test_known_sets_match_on_both_paths(spark):
     for limit in (100_000, 0):
         out = similar.near_sets(frame(spark, texts), frame(spark, known).select("shingles"), max_index_rows=limit)
         assert {r.id for r in out.collect()} == expected
+
+
+def test_join_groups_salts_hot_groups(spark, monkeypatch):
+    from siftwave.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    rows = spark.range(600).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"))
+    groups = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    out = joins.join_groups(rows, groups, ["key"], "n")
+    assert out.count() == 600 and out.filter("key = 'hot'").select("first").distinct().collect()[0].first == 0
+    assert joins.join_groups(rows, groups.filter("n > 50").select("key", "n"), ["key"], "n", "left_anti").count() == 300
+
+
+def test_lookup_join_gives_the_same_rows_on_both_paths(spark):
+    from siftwave.operators import joins
+
+    left = spark.range(200).select("id", (F.col("id") % 7).alias("k"))
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        small = joins.lookup_join(left, right, ["k"], how).select("id", "k")
+        salted = joins.lookup_join(left, right, ["k"], how, max_rows=1).select("id", "k")
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
