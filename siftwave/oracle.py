@@ -292,8 +292,8 @@ r AS (SELECT CASE WHEN lang = 'de' THEN upper(parent) ELSE parent END AS domain,
 SELECT domain AS key, 'not_canonical' AS rule FROM r WHERE lang = 'de'
 UNION ALL SELECT domain, 'source_missing' FROM r WHERE lang = 'es'
 UNION ALL SELECT domain, 'allowlisted' FROM r WHERE list_has_any({parents('domain', 1)}, (SELECT list(domain) FROM french))"""
-CONV = shingle_cte("c", "conversations", "printf('c%08d_%04d', conv_id, turn)", "text")
-ORACLE["near_template_findings"] = f"""WITH {CONV},
+NAMED_DOCS = shingle_cte("c", "documents", "printf('tpl_%06d', doc_id)", "text")
+ORACLE["near_template_findings"] = f"""WITH {NAMED_DOCS},
 g AS (SELECT id, min(id) OVER (PARTITION BY list_sort(sh)) AS rep, sh FROM c WHERE len(sh) > 0),
 x AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM g WHERE id = rep),
 p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)

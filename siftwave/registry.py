@@ -531,7 +531,7 @@ def blocked_domain_findings(spark, d):
 
 @query
 def near_template_findings(spark, d):
-    rows = load(spark, d, "conversations", "conv_id").select(F.format_string("c%08d_%04d", "conv_id", "turn").alias("id"), "text")
+    rows = documents(spark, d).select(F.format_string("tpl_%06d", "doc_id").alias("id"), "text")
     return quality.check_near_templates(rows).select("key", "detail")
 
 
