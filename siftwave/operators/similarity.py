@@ -110,9 +110,8 @@ def fold_equal_sets(df: DataFrame) -> DataFrame:
     Copies are folded by a digest with a map-side minimum, so a third of all rows
     being copies of one text costs one row per task. Empty sets match nothing.
     """
-    keyed = df.filter(F.size("shingles") > 0).select(
-        "id", F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256).alias("digest")
-    )
+    digest = F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256)
+    keyed = cut(df.filter(F.size("shingles") > 0).select("id", digest.alias("digest")))
     first = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     return join_groups(keyed, first, ["digest"], "n").select("id", "rep")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.text import has_url, has_vietnamese_letter, mask_normalized, may_contain_name, normalize, pii_kinds, text_key
 from ..operators.ids import assign_ids, format_id, row_numbers
-from ..operators.joins import first_by, lookup_join
+from ..operators.joins import BROADCAST_ROWS, first_by, lookup_join
 from ..session import cut
 
 SYNTHETIC_NOTE = "Tin sinh tổng hợp theo yêu cầu, cần người duyệt"  # fixed value
@@ -99,7 +99,11 @@ def within_cap(outcomes: DataFrame, cap: int = fv.MAX_NEW_CANDIDATES) -> DataFra
 
 def new_candidates(outcomes: DataFrame, existing: DataFrame, today: str, cap: int = fv.MAX_NEW_CANDIDATES) -> DataFrame:
     """Candidate rows for the first ``cap`` added texts, ids continuing after the existing ones."""
-    added = within_cap(outcomes, cap).filter("outcome = 'added'").orderBy("source_ord", "ord").limit(cap)
+    # decide on narrow rows, written once; then fetch the texts of the chosen rows, at most ``cap``
+    narrow = cut(outcomes.select("ord", "source_ord", "outcome"))
+    chosen = within_cap(narrow, cap).filter("outcome = 'added'").orderBy("source_ord", "ord").limit(cap).select("ord")
+    picked = F.broadcast(chosen) if cap <= BROADCAST_ROWS else chosen
+    added = outcomes.join(picked, "ord", "left_semi")
     numbered = assign_ids(added, existing, "cand_", [F.col("source_ord"), F.col("ord")])
     blank = F.lit("")
     hints = [F.col(c) if c in outcomes.columns else blank.alias(c) for c in ("hint_label", "hint_channel")]

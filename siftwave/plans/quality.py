@@ -15,6 +15,7 @@ from ..functions.text import duplicate_text, has_url, nfc, normalize, pii_kinds,
 from ..functions.urls import domain
 from ..operators.joins import join_groups, listed_keys, lookup_join
 from ..operators.similarity import fold_equal_sets, near_pairs
+from ..session import cut
 from .curation import bool_text, suggestion_error
 from .intel import is_template_candidate, rejected_match
 
@@ -97,8 +98,11 @@ def check_rows(rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def duplicates(rows: DataFrame, key: Column, order: str, table: str, name: str) -> DataFrame:
-    """Every row after the first of its key, with the first row's ``id`` as detail."""
-    keyed = rows.select(F.col(order).alias("_ord"), "id", key.alias("_key"))
+    """Every row after the first of its key, with the first row's ``id`` as detail.
+
+    Long keys travel as digests, written once for the two uses.
+    """
+    keyed = cut(rows.select(F.col(order).alias("_ord"), "id", F.sha2(key.cast("string"), 256).alias("_key")))
     first = keyed.groupBy("_key").agg(F.min(F.struct("_ord", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     joined = join_groups(keyed, first, ["_key"], "n").filter(F.col("_ord") != F.col("first._ord"))
     return _group_findings(joined, table, name, F.col("id"), F.col("first.id"))

@@ -49,7 +49,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return load(spark, d, "events", "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
