@@ -104,14 +104,21 @@ def best_template(
     )
 
 
+def hashed_sets(df: DataFrame) -> DataFrame:
+    """``(id, h, digest)`` of the non-empty sets: hashed shingles and a digest of the whole set."""
+    h = F.transform("shingles", lambda s: F.xxhash64(s))
+    sets = df.filter(F.size("shingles") > 0).select("id", F.sort_array(h).alias("h"))
+    return sets.select("id", "h", F.sha2(F.array_join(F.col("h").cast("array<string>"), ","), 256).alias("digest"))
+
+
 def fold_equal_sets(df: DataFrame) -> DataFrame:
     """``(id, rep)``: every text with the first text that has the same shingle set.
 
     Copies are folded by a digest with a map-side minimum, so a third of all rows
     being copies of one text costs one row per task. Empty sets match nothing.
     """
-    digest = F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256)
-    keyed = cut(df.filter(F.size("shingles") > 0).select("id", digest.alias("digest")))
+    hashed = hashed_sets(df)
+    keyed = cut(hashed.select("id", "digest"))
     first = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     return join_groups(keyed, first, ["digest"], "n").select("id", "rep")
 
@@ -122,9 +129,7 @@ def distinct_sets(df: DataFrame) -> DataFrame:
     Written once: prefixes and verification both read it, and eight bytes per
     shingle are far less than the text they come from.
     """
-    digest = F.sha2(F.concat_ws("\u001f", F.sort_array("shingles")), 256)
-    hashed = F.transform("shingles", lambda s: F.xxhash64(s))
-    keyed = cut(df.filter(F.size("shingles") > 0).select("id", digest.alias("digest"), hashed.alias("h")))
+    keyed = cut(hashed_sets(df))
     first = keyed.groupBy("digest").agg(F.min("id").alias("id")).select("id")
     return keyed.join(first, "id", "left_semi").select("id", "h")
 
