@@ -185,7 +185,15 @@ def link_facts(normalized: Column, keywords: list[str] | None = None) -> Column:
 
         return let(host(url), build)
 
-    return let(urls(normalized), lambda literal: F.transform(restored_urls(normalized), lambda u: fact(u, literal)))
+    def facts(both: Column) -> Column:
+        found = urls(both["restored"])
+        # a text that restoring leaves alone is searched once
+        literal = F.when(both["restored"] == both["text"], F.lit(None).cast("array<string>")).otherwise(urls(both["text"]))
+        return let(F.struct(found.alias("found"), literal.alias("literal")), lambda x: F.transform(
+            x["found"], lambda u: fact(u, F.coalesce(x["literal"], F.array(u)))
+        ))
+
+    return let(F.struct(normalized.alias("text"), restore(normalized).alias("restored")), facts)
 
 
 def inspectable_link(url: Column) -> Column:

@@ -40,10 +40,6 @@ def next_number(df: DataFrame, prefix: str, column: str = "id") -> DataFrame:
 
 def assign_ids(new: DataFrame, existing: DataFrame, prefix: str, order: list[Column]) -> DataFrame:
     """New rows with ids that continue after the existing ones, in arrival order."""
-    numbered = row_numbers(new, order, start=0, column="_n")
-    last = F.broadcast(next_number(existing, prefix))  # an aggregate without keys: one row
-    return (
-        numbered.join(last, F.lit(True))
-        .withColumn("id", format_id(prefix, F.col("next") + F.col("_n")))
-        .drop("next", "_n")
-    )
+    start = next_number(existing, prefix).first()["next"]  # one number
+    numbered = row_numbers(new, order, start=start, column="_n")
+    return numbered.withColumn("id", format_id(prefix, F.col("_n"))).drop("_n")

@@ -13,6 +13,7 @@ from ..functions import fixed_values as fv
 from ..functions.decision import argmax_label
 from ..functions.similarity import tokens
 from ..functions.text import mask_normalized
+from ..session import cut
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -20,12 +21,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("expected", "predicted").agg(F.count("*").alias("n"))
 
 
-def label_scores(pairs: DataFrame, n_labels: int = len(fv.LABELS)) -> DataFrame:
-    """``(label, f1)`` for labels ``0 .. n_labels-1``; 0 without a true positive.
-
-    Computed from the confusion counts, at most ``n_labels`` squared rows.
-    """
-    cells = confusion(pairs)
+def _scores(cells: DataFrame, n_labels: int) -> DataFrame:
     labels = cells.sparkSession.range(n_labels).select(F.col("id").cast("int").alias("label"))
     hits = cells.filter("expected = predicted").select(F.col("expected").alias("label"), F.col("n").alias("tp"))
     said = cells.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("said"))
@@ -35,18 +31,31 @@ def label_scores(pairs: DataFrame, n_labels: int = len(fv.LABELS)) -> DataFrame:
     return joined.select("label", f1.alias("f1"))
 
 
+def label_scores(pairs: DataFrame, n_labels: int = len(fv.LABELS)) -> DataFrame:
+    """``(label, f1)`` for labels ``0 .. n_labels-1``; 0 without a true positive.
+
+    Computed from the confusion counts, at most ``n_labels`` squared rows.
+    """
+    return _scores(confusion(pairs), n_labels)
+
+
 def metrics(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """One row ``(macro_f1, scam_f1, accuracy)`` of ``pairs(id, expected, predicted)``."""
+    """One row ``(macro_f1, scam_f1, accuracy)`` of ``pairs(id, expected, predicted)``.
+
+    The rows are read once, for the confusion counts; the rest works on those.
+    """
     names = labels or fv.LABELS
-    scores = label_scores(pairs, len(names))
+    cells = cut(confusion(pairs))
     target = names.index("scam") if "scam" in names else len(names) - 1
-    f1 = scores.agg(
+    none = F.lit(None)
+    scores = _scores(cells, len(names)).select("label", "f1", none.cast("long").alias("n"), none.cast("long").alias("hit"))
+    hit = F.when(F.col("expected") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
+    counts = cells.select(none.cast("int").alias("label"), none.cast("double").alias("f1"), "n", hit.cast("long").alias("hit"))
+    return scores.unionByName(counts).agg(
         (F.sum("f1") / len(names)).alias("macro_f1"),
         F.max(F.when(F.col("label") == target, F.col("f1"))).alias("scam_f1"),
+        F.coalesce(F.try_divide(F.sum("hit"), F.sum("n")), F.lit(0.0)).alias("accuracy"),
     )
-    right = F.count_if(F.col("expected") == F.col("predicted"))
-    accuracy = pairs.agg(F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"))
-    return f1.join(F.broadcast(accuracy), F.lit(True))  # both sides are one row
 
 
 def max_abs_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ shuffle; only uniqueness and distribution rules group rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -115,25 +115,27 @@ def check_unique(rows: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
+def _label_counts(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """``(label, n, total)`` of the wanted labels; the total is a window over one row per label."""
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    wanted = rows.sparkSession.createDataFrame([(x, True) for x in labels], "label string, wanted boolean")
+    every = counts.join(wanted, "label", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    return every.withColumn("total", F.sum("n").over(Window.partitionBy())).filter("wanted").drop("wanted")
+
+
 def label_shares(rows: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """``(label, n, share)``; labels without rows show with 0."""
-    names = labels or fv.LABELS
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = rows.sparkSession.createDataFrame([(x,) for x in names], "label string")
-    total = rows.agg(F.count("*").alias("total"))
-    full = F.broadcast(wanted).join(counts, "label", "left").join(F.broadcast(total), F.lit(True))
-    n = F.coalesce("n", F.lit(0))
-    return full.select("label", n.alias("n"), F.coalesce(F.try_divide(n, F.col("total")), F.lit(0.0)).alias("share"))
+    share = F.coalesce(F.try_divide("n", "total"), F.lit(0.0))
+    return _label_counts(rows, labels or fv.LABELS).select("label", "n", share.alias("share"))
 
 
 def check_distribution(rows: DataFrame, collecting: bool = False, labels: list[str] | None = None) -> DataFrame:
     """Rare labels and too many synthetic rows; only warnings while data is being collected."""
     severity = "warning" if collecting else "error"
-    counted = label_shares(rows, labels)
-    rare = counted.filter((F.col("share") < fv.MIN_LABEL_SHARE) & (F.col("share").isNotNull()))
-    some = rows.agg(F.count("*").alias("total"), F.avg((F.col("source") == "synthetic").cast("double")).alias("synthetic"))
-    rare = rare.join(F.broadcast(some.filter("total > 0")), F.lit(True))
-    too_many = some.filter(F.col("synthetic") > fv.MAX_SYNTHETIC_SHARE)
+    counted = _label_counts(rows, labels or fv.LABELS).filter("total > 0").withColumn("share", F.col("n") / F.col("total"))
+    rare = counted.filter(F.col("share") < fv.MIN_LABEL_SHARE)
+    synthetic = rows.agg(F.avg((F.col("source") == "synthetic").cast("double")).alias("synthetic"))
+    too_many = synthetic.filter(F.col("synthetic") > fv.MAX_SYNTHETIC_SHARE)
     return _group_findings(rare, "dataset", "label_share", F.col("label"), F.round("share", 4), severity).unionByName(
         _group_findings(too_many, "dataset", "synthetic_share", F.lit("synthetic"), F.round("synthetic", 4), severity)
     )
