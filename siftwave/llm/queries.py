@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substrings
+from . import packing, substrings, suffixes, toxicity
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     judged = substrings.judge_repeats(table(spark, d, "documents"))
     return judged.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    judged = suffixes.judge_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return judged.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(table(spark, d, "documents"), tokenizer_file())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    judged = toxicity.judge_toxicity(docs, docs, table(spark, d, "labels"))
+    return judged.select("row.doc_id", "held_out", "score", "predicted")
