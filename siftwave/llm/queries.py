@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substrings, suffixes, toxicity
+from . import lines, packing, substrings, suffixes, toxicity
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,10 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     judged = toxicity.judge_toxicity(docs, docs, table(spark, d, "labels"))
     return judged.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    judged = lines.judge_lines(docs, lines.new_state(docs))
+    return judged.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
