@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, substrings, suffixes, toxicity
+from . import bloom, lines, packing, substrings, suffixes, toxicity, warc
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,19 @@ def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     judged = lines.judge_lines(docs, lines.new_state(docs))
     return judged.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return bloom.judge_urls(table(spark, d, "pages"), rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op9_warc(spark: SparkSession, d: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, d, "pages"))
+    records = warc.read_records(archive)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
