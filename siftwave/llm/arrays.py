@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20  # text handled at once: bounds the memory of one call, not the text that is read
+CHUNK_BYTES = 2 << 20  # text handled at once: bounds the memory of one call, not the text that is read
 BASE = 0x9E3779B97F4A7C15
 SPACE_BYTES = [0x20, *range(0x09, 0x0E)]
 
@@ -37,7 +37,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers ``0..n`` of the base and of its inverse."""
     have = _tables.get("powers")
     if have is None or len(have) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = (int(n) // 65536 + 2) * 65536
         for name, base in (("powers", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
             table = np.full(size, base, U64)
             table[0] = 1

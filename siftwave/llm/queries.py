@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, lines, packing, substrings, suffixes, toxicity, warc
+from . import bloom, lines, packing, pstable, substrings, suffixes, toxicity, warc
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op9_warc(spark: SparkSession, d: str) -> DataFrame:
     archive = warc.write_archive(table(spark, d, "pages"))
     records = warc.read_records(archive)
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    judged = pstable.near_vectors(table(spark, d, "embeddings"))
+    return judged.select("row.vec_id", "n_links", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))

@@ -8,15 +8,10 @@ in place by their hash.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 
 from .arrays import U64, byte_values, prefix_sums, span_hash, spread
 
-# Fixed value: the published split pattern behind byte-level tokenizer files that use their built-in pattern.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 KNOWN_PIECES = 1_500_000  # pieces a worker remembers before it starts afresh
 
 _encoders: dict[str, Encoder] = {}
@@ -39,11 +34,10 @@ class Encoder:
         self.byte_length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.byte_length[i] = len(token)  # one character stands for one byte
-        self.merger = merger(self.tokenizer)
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
-        return self.merger.encode_ordinary(text) if self.merger else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self) -> None:
         self.known, self.at, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -93,28 +87,6 @@ class Encoder:
         self.known, self.at, self.size = known[order], np.concatenate([self.at, place])[order], np.concatenate([self.size, sizes])[order]
 
 
-def merger(tokenizer):
-    """A faster encoder with the same vocabulary, or None if the file isn't plain byte-level BPE whose ids follow its merges."""
-    import tiktoken
-
-    file = json.loads(tokenizer.to_str())
-    model, split = file["model"], file["pre_tokenizer"] or {}
-    plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not file["normalizer"]
-    if not plain:
-        return None
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    order = [model["vocab"][a + b] for a, b in pairs]
-    if order != sorted(order):
-        return None
-    # Byte-level files write printable bytes as themselves, the others as characters from 256 on.
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(printable)]
-    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {t["content"] for t in file["added_tokens"]}
-    ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(start, end, row, alone)`` of the pieces. Pieces that might join their neighbours in a longer text are encoded alone."""
     n = len(data)
