@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, lines, packing, pstable, substrings, suffixes, toxicity, warc
+from . import bloom, chosenpath, lines, packing, pstable, substrings, suffixes, toxicity, warc
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op9_warc(spark: SparkSession, d: str) -> DataFrame:
 def op1_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     judged = pstable.near_vectors(table(spark, d, "embeddings"))
     return judged.select("row.vec_id", "n_links", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+@query
+def op10_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    judged = chosenpath.judge_near(table(spark, d, "documents"))
+    return judged.select("row.doc_id", "n_links", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
