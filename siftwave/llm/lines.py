@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACE_BYTES, U64, covered, lower_ascii, pieces
 from .cuckoo import Cuckoo, CuckooFull, filled
-from .tables import packed, stored, unpacked
+from .tables import as_key, packed, stored, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -168,7 +168,7 @@ def insert(state: LineState, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def delete(state: LineState, ids: DataFrame, id_col: str = "doc_id") -> LineState:
     """The state without the documents whose ids are given, as if they had never come."""
-    gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc")).distinct()
+    gone = ids.select(as_key(id_col).alias("doc")).distinct()
     left = stored(state.postings.join(gone, "doc", "left_anti").select("shard", "digest", "doc"), "postings")
     touched = stored(state.postings.join(gone, "doc", "left_semi").select("shard", "digest").distinct(), "touched")
     now = _counted(left.join(touched, ["shard", "digest"], "left_semi"))

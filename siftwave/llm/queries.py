@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, chosenpath, lines, packing, pstable, substrings, suffixes, toxicity, warc
+from . import bloom, chosenpath, lines, packing, pstable, quality, substrings, suffixes, toxicity, warc
 from .oracle import ORACLE  # noqa: F401
+from .tables import NO_ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,3 +89,13 @@ def op1_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     judged = chosenpath.judge_near(table(spark, d, "documents"))
     return judged.select("row.doc_id", "n_links", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+@query
+def op8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """A document's source stands for its host, source and language for its path."""
+    docs = table(spark, d, "documents")
+    judged = quality.judge_quality(docs, table(spark, d, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    kept = (F.col("predicted") == 1).alias("kept")
+    return judged.select(doc_id, "held_out", "host", "path", "evidence", "host_mean", "path_mean", "score", "predicted", kept)

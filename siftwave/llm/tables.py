@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+NO_ID = -(2**63)  # stands for a null id
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def as_key(column: str) -> Column:
     """Id as a non-null long that keeps the order; a null id is the smallest."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)).cast("long"))
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID).cast("long"))
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -23,11 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import as_key, stored
+from .tables import NO_ID, as_key, stored
 
 LEAST = 1000  # bytes
 EPOCH = "1970-01-01T00:00:00Z"
-NO_ID = -(2**63)
 
 
 @dataclass
