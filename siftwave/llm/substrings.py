@@ -101,8 +101,12 @@ def _emit_edges(k: int):
 
 
 def _later(df: DataFrame, by: list[str], k: int, length: Column) -> DataFrame:
-    """Rows behind the first row of their group, with that row's coordinates."""
+    """Rows behind the first row of their group, with that row's coordinates.
+
+    The first rows are written before the join, so that Spark can split a hot group's rows.
+    """
     first = df.groupBy(*by).agg(F.min(F.struct("key", "start")).alias("source"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(first.drop("n"), "first")
     joined = df.join(first, by).filter(F.struct("key", "start") > F.col("source"))
     return joined.select("key", "start", length.alias("n_words"), F.col("source.key").alias("source_key"), F.col("source.start").alias("source_start"))
 
