@@ -93,7 +93,7 @@ def telling_terms(sampled: DataFrame, size: int, least: int = 3) -> np.ndarray:
 
 
 def matrix(sampled: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, index, label)``: the sample's known terms as a sparse matrix, rows in a fixed order."""
+    """``(row, index, label)``: the sample's known terms as a sparse matrix, rows in an order of their own."""
     spark = sampled.sparkSession
     shared = spark.sparkContext.broadcast((table, term_flags(table)))
 
@@ -104,9 +104,10 @@ def matrix(sampled: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(index.astype(np.int32)))], names=["label", "terms"])
 
-    rows = sampled.mapInArrow(run, "label int, terms array<int>").orderBy(F.xxhash64("terms", "label")).toArrow().combine_chunks()
+    rows = sampled.mapInArrow(run, "label int, terms array<int>").withColumn("order", F.xxhash64("terms", "label")).toArrow().combine_chunks()
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows = rows.take(pa.array(np.argsort(np.asarray(rows.column("order").combine_chunks()), kind="stable")))
     lists = rows.column("terms").combine_chunks()
     row = np.repeat(np.arange(len(rows)), np.asarray(lists.value_lengths()))
     return row, np.asarray(lists.flatten()).astype(np.int64), np.asarray(rows.column("label").combine_chunks()).astype(float)
