@@ -1,14 +1,16 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A document is the set of its five-word shingles. A run starts at a root that holds
-all sets; a node hands a set on to the children named by the shingles that the node
-*chooses*, those of the set whose hash under the node falls below
-``1 / (SPLIT * size of the set)``: 1 / SPLIT shingles on average. Two similar sets
-choose shared shingles and meet in the same children; unlike sets part after a few
-levels. Nodes with at most ``SMALL`` sets, and larger ones whose sets are alike on average,
-are compared by brute force; the others are split on. At the deepest level all that
-still is together is compared, block by block. A pair's chance to meet in one run is known, so ``runs`` follows from the
-target recall at the threshold.
+all sets; a node hands a set on to the children named by the shingles that the set
+*chooses* there, those whose hash under the node falls below
+``1 / (SPLIT * size of the set)``: 1 / SPLIT shingles on average. Similar sets choose
+shared shingles and meet in a child. Children with at most ``SMALL`` sets, and larger
+ones whose sets are alike on average, are compared by brute force. The sets of the
+other ones (one passage in very many texts makes them) are split on by paths of
+several choices at once, each the set's smallest shingle under the node; the paths
+are the longer the more sets there are. A pair's chance to meet in one run is known
+for both steps, so the numbers of runs follow from the target recall at the
+threshold.
 
 Brute force in a node compares short min-hash sketches and keeps a spanning forest
 of what may be similar; within such a component all texts meet once, again in
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, lower_ascii, mix, pieces, prefix_sums, space_words, span_hash
@@ -44,7 +46,8 @@ SPLIT = 0.6
 SMALL = 64
 BLOCK = 512
 ALIKE = 0.5  # mean similarity from which a large node isn't split any more
-SPLIT_NODES = 1_000_000  # 8 bytes each
+UNLIKE = 0.43  # similarity of the sets that longer paths are to part
+MATES = 1024
 SKETCH = 64  # 16-bit minima
 DOUBT = 4.0  # standard deviations of a sketch below the threshold that are still compared exactly
 UNIT_BYTES = 6 << 20  # text of a shard of exact comparisons
@@ -64,41 +67,32 @@ def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def runs_for(recall: float, jaccard: float, depth: int, split: float = SPLIT) -> int:
-    """Runs after which a pair at the threshold has met with chance ``recall``, if its nodes are split ``depth`` times."""
-    mean = 2 * jaccard / (1 + jaccard) / split  # shared shingles that a node chooses, for sets of one size
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-mean * meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
-
-
-def chosen(row: np.ndarray, node: np.ndarray, h: np.ndarray, count: np.ndarray, split: float = SPLIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, parent, child)``: the children that each set is handed to from the nodes it is in."""
-    first = np.concatenate([[0], np.cumsum(count)])
-    limit = (2.0**64 / (split * np.maximum(count, 1 / split))).clip(max=2.0**64 - 2049).astype(U64)
-    sizes = count[row]
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    rows, parents, children, begin = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)], 0
-    while begin < len(row):  # about a million hashes at once
-        end = max(begin + 1, int(np.searchsorted(total, total[begin] + (1 << 20), "right")) - 1)
-        path = np.repeat(np.arange(begin, end), sizes[begin:end])
-        token = h[np.arange(len(path)) + total[begin] - total[path] + first[row[path]]]
-        drawn = mix(token ^ node[path])
-        hit = drawn < limit[row[path]]
-        rows.append(row[path[hit]])
-        parents.append(node[path[hit]])
-        children.append(mix(drawn[hit] + token[hit] * U64(5)))
-        begin = end
-    return np.concatenate(rows), np.concatenate(parents), np.concatenate(children)
-
-
-def first_nodes(h: np.ndarray, count: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, node)``: what each set chooses at the roots of all runs."""
-    row = np.repeat(np.flatnonzero(count), runs)
-    root = np.tile(mix(np.arange(1, runs + 1, dtype=U64)), int((count > 0).sum()))
-    row, _, node = chosen(row, root, h, count)
-    return row, node
+def runs_for(recall: float, meet: float) -> int:
+    """Runs after which a pair that meets in one of them with chance ``meet`` has met with chance ``recall``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
+def first_meeting(jaccard: float, split: float = SPLIT) -> float:
+    """Chance that two sets of one size at this similarity choose a shared shingle at a root."""
+    return 1 - math.exp(-2 * jaccard / (1 + jaccard) / split)
+
+
+def path_length(sets: int) -> int:
+    """Choices after which about ``MATES`` of so many half-alike sets are still together."""
+    return min(SKETCH // 4, max(2, math.ceil(math.log(max(1.0, sets / MATES)) / math.log(1 / UNLIKE))))
+
+
+def first_nodes(h: np.ndarray, count: np.ndarray, runs: int, split: float = SPLIT) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, node)``: the children that each set is handed to from the roots of all runs."""
+    row = np.repeat(np.arange(len(count)), count)
+    limit = (2.0**64 / (split * np.maximum(count, 1 / split))).clip(max=2.0**64 - 2049).astype(U64)[row]
+    rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for root in mix(np.arange(1, runs + 1, dtype=U64)):
+        drawn = mix(h ^ root)
+        hit = drawn < limit
+        rows.append(row[hit])
+        nodes.append(mix(drawn[hit] + h[hit] * U64(5)))
+    return np.concatenate(rows), np.concatenate(nodes)
 
 
 def sketches(row: np.ndarray, h: np.ndarray, count: np.ndarray, size: int = SKETCH) -> np.ndarray:
@@ -132,14 +126,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-NODES = "key long, level int, parent long, node long"
-
-
-def _nodes_batch(keys: np.ndarray, row: np.ndarray, level: int, parent: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(keys[row]), pa.array(np.full(len(row), level, np.int32)), pa.array(parent.view(np.int64)), pa.array(node.view(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "level", "parent", "node"])
-
-
 def _first(runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,27 +133,7 @@ def _first(runs: int):
             for i, j, data, offsets in pieces(batch.column("body")):
                 row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
                 row, node = first_nodes(h, np.bincount(row, minlength=j - i), runs)
-                yield _nodes_batch(keys[i:j], row, 1, np.zeros(len(row), U64), node)
-
-    return run
-
-
-def _deeper(runs: int, depth: int, split):
-    """Levels 2 to ``depth`` below the nodes in ``split``, a broadcast, or else in the column ``nodes``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.asarray(batch.column("key"))
-            wanted = split.value if split else np.unique(np.asarray(batch.column("nodes").flatten()).view(U64))
-            for i, j, data, offsets in pieces(batch.column("body")):
-                row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
-                count = np.bincount(row, minlength=j - i)
-                row, node = first_nodes(h, count, runs)
-                go = wanted[np.minimum(np.searchsorted(wanted, node), len(wanted) - 1)] == node
-                row, node = row[go], node[go]
-                for level in range(2, depth + 1):
-                    row, parent, node = chosen(row, node, h, count)
-                    yield _nodes_batch(keys[i:j], row, level, parent, node)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][row]), pa.array(node.view(np.int64))], names=["key", "node"])
 
     return run
 
@@ -216,7 +182,7 @@ def _exactly_near(threshold: float):
     return compare
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, recall: float = RECALL, depth: int | None = None) -> DataFrame:
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """``(key, n_links, component)`` of every id: other documents at ``jaccard`` or above, and the smallest id reachable by such links."""
     texts = packed(docs, id_col, text_col).select("key", "body")
     sets = stored(texts.mapInArrow(_sets, SETS), "sets")
@@ -224,10 +190,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = stored(ids.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
     members = stored(ids.join(classes, "digest").select("key", "rep", "copies"), "members")
     heads = stored(sets.join(classes, "digest").filter("key = rep").groupBy("rep").agg(F.max("copies").alias("copies"), F.max("sketch").alias("sketch")), "heads")
-    n = heads.count()
-    depth = depth or max(2, math.ceil(math.log10(max(10, n))) - 1)
-    runs = runs_for(recall, jaccard, depth)
-    pairs = _met(texts, heads, runs, depth)
+    pairs = _met(texts, heads, jaccard, recall)
     dealt = in_units(pairs.withColumn("one", F.lit(1)), "node", "size", "key", BLOCK, "one", 50_000).drop("one")
     dealt = dealt.join(heads.select(F.col("rep").alias("key"), "sketch"), "key")
     maybe = compared(dealt, _may_be_near(jaccard), "key").filter("partner IS NOT NULL")
@@ -240,33 +203,39 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return told.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
 
 
-def _met(texts: DataFrame, heads: DataFrame, runs: int, depth: int) -> DataFrame:
-    """``(key, node, size)`` of the nodes that are compared: small ones, alike ones, and those of the last level."""
+def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> DataFrame:
+    """``(key, node, size)`` of the nodes that are compared."""
     known = heads.select(F.col("rep").alias("key"), "sketch")
-    nodes = stored(texts.mapInArrow(_first(runs), NODES).join(known.select("key"), "key", "left_semi"), "nodes")
-    out, here, deeper = [], nodes, None
-    for level in range(1, depth + 1):
-        sizes = stored(here.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        large = sizes.filter(F.col("size") > SMALL)
-        if level == depth:
-            ready, split = sizes, None
-        else:
-            inside = here.select("key", "node").join(large.select("node"), "node").join(known, "key")
-            alike = stored(_alike(inside), "alike")
-            ready = sizes.filter(F.col("size") <= SMALL).unionByName(large.join(alike, "node", "left_semi"))
-            split = stored(large.join(alike, "node", "left_anti").select("node"), "split")
-        out.append(here.select("key", "node").join(ready, "node").select("key", "node", "size"))
-        if split is None or split.isEmpty():
-            break
-        if deeper is None:
-            deeper = stored(_below(texts, nodes, split, runs, depth).join(known.select("key"), "key", "left_semi"), "deeper")
-        here = deeper.filter(F.col("level") == level + 1).join(split.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    met = out[0]
-    for part in out[1:]:
-        met = met.unionByName(part)
+    nodes = texts.mapInArrow(_first(runs_for(recall, first_meeting(jaccard))), "key long, node long")
+    nodes = stored(nodes.join(known.select("key"), "key", "left_semi"), "nodes")
+    sizes = stored(_sizes(nodes), "sizes")
+    large = sizes.filter(F.col("size") > SMALL)
+    inside = stored(nodes.join(large.select("node"), "node"), "inside")
+    alike = stored(_alike(inside.join(known, "key")), "alike")
+    ready = sizes.filter(F.col("size") <= SMALL).unionByName(large.join(alike, "node", "left_semi"))
+    met = nodes.join(ready, "node").select("key", "node", "size")
+    split = stored(inside.join(alike, "node", "left_anti").select("key").distinct(), "split")
+    n = split.count()
+    if n:
+        length = path_length(n)
+        runs = runs_for(recall, jaccard**length)
+        deep = split.join(known, "key").select("key", F.explode(_paths(F.col("sketch"), runs, length)).alias("node"))
+        deep = stored(deep, "paths")
+        met = met.unionByName(deep.join(_sizes(deep), "node").select("key", "node", "size"))
     return stored(met, "met")
 
 
+def _sizes(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+
+
+def _paths(sketch: Column, runs: int, length: int) -> Column:
+    """End nodes of ``runs`` paths; each step takes a set's smallest shingle under one of the sketch's hashes."""
+    random = np.random.default_rng(29)
+    steps = [random.choice(SKETCH, length, replace=False).tolist() for _ in range(runs)]
+    return F.array(*[F.xxhash64(F.lit(i), *[F.substring(sketch, 2 * place + 1, 2) for place in places]) for i, places in enumerate(steps)])
+
+
 def _alike(inside: DataFrame) -> DataFrame:
     """Nodes whose sets, drawn two at a time, agree in a sketch's places more often than ``ALIKE``."""
     places = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("sketch", 2 * i + 1, 2).alias("value")) for i in range(0, SKETCH, SKETCH // 8)])
@@ -275,19 +244,11 @@ def _alike(inside: DataFrame) -> DataFrame:
     return values.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= ALIKE).select("node")
 
 
-def _below(texts: DataFrame, nodes: DataFrame, split: DataFrame, runs: int, depth: int) -> DataFrame:
-    """All nodes below the split ones. Up to ``SPLIT_NODES`` of these are broadcast; more go to their texts by a join."""
-    if split.count() <= SPLIT_NODES:
-        wanted = np.sort(np.asarray(split.toArrow().column("node").combine_chunks()).view(U64))
-        return texts.mapInArrow(_deeper(runs, depth, texts.sparkSession.sparkContext.broadcast(wanted)), NODES)
-    lists = nodes.join(split, "node").groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    return texts.join(lists, "key").mapInArrow(_deeper(runs, depth, None), NODES)
-
-
 def _verified(texts: DataFrame, rough: DataFrame, heads: DataFrame, jaccard: float) -> DataFrame:
     sizes = rough.groupBy("component").agg(F.count("*").alias("size"))
     placed = stored(rough.join(sizes, "component").join(heads.select(F.col("rep").alias("id"), "copies"), "id"), "placed")
-    body = texts.join(placed.withColumnRenamed("id", "key"), "key").dropDuplicates(["key"])
+    # always a merge join, whatever the size: the plan measured on little data is the one that runs on much
+    body = texts.join(placed.withColumnRenamed("id", "key").hint("merge"), "key").dropDuplicates(["key"])
     body = stored(body.select("key", "component", "size", "copies", "body", F.octet_length("body").alias("bytes")), "bodies")
     dealt = in_units(body, "component", "size", "key", BLOCK, "bytes", UNIT_BYTES)
     return stored(compared(dealt, _exactly_near(jaccard), "key", "copies"), "links")

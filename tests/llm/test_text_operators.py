@@ -121,11 +121,11 @@ def test_longest_matches(spark):
     assert got == want and want
 
 
-@pytest.mark.parametrize("small,block,nodes", [(64, 512, 1_000_000), (3, 4, 1_000_000), (3, 4, 0)])
-def test_jaccard_join(spark, monkeypatch, small, block, nodes):
+@pytest.mark.parametrize("small,block", [(64, 512), (3, 4)])
+def test_jaccard_join(spark, monkeypatch, small, block):
     monkeypatch.setattr(chosenpath, "SMALL", small)
     monkeypatch.setattr(chosenpath, "BLOCK", block)
-    monkeypatch.setattr(chosenpath, "SPLIT_NODES", nodes)
+    monkeypatch.setattr(chosenpath, "MATES", block)
     docs = corpus(7, 40)
     base = docs[5][1].split(" ")
     shared = " ".join(f"w{i}" for i in range(40))
@@ -138,7 +138,10 @@ def test_jaccard_join(spark, monkeypatch, small, block, nodes):
 
 
 def test_runs_follow_from_the_recall():
-    assert chosenpath.runs_for(0.9, 0.8, 2) < chosenpath.runs_for(0.99, 0.8, 2) <= chosenpath.runs_for(0.99, 0.8, 5)
+    meet = chosenpath.first_meeting(0.8)
+    assert 0.5 < meet < 1 and chosenpath.runs_for(0.9, meet) < chosenpath.runs_for(0.999, meet)
+    assert 1 - (1 - meet) ** chosenpath.runs_for(0.999, meet) >= 0.999
+    assert chosenpath.path_length(1_000) < chosenpath.path_length(1_000_000)
 
 
 def test_empty_tables_and_null_ids(spark):
