@@ -29,7 +29,7 @@ def in_units(rows: DataFrame, group: str, size: str, node: str, block: int, weig
     return dealt.withColumn("unit", unit).withColumn("shard", F.pmod("unit", F.lit(shards)))
 
 
-Compare = Callable[[pa.Table, np.ndarray], np.ndarray]  # (rows of a unit, rows' numbers) -> square matrix of links
+Compare = Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]  # rows of a shard -> numbers of a unit's rows -> square matrix of links
 
 
 def compared(dealt: DataFrame, compare: Compare, node: str, count: str | None = None) -> DataFrame:
@@ -47,12 +47,12 @@ def compared(dealt: DataFrame, compare: Compare, node: str, count: str | None =
         block, low, high, ids = (np.asarray(rows.column(c).combine_chunks()) for c in ("block", "low", "high", node))
         weights = np.asarray(rows.column(count).combine_chunks()) if count else np.ones(len(ids), np.int64)
         nodes, partners, links = [], [], []
-        begin = 0
+        links_of, begin = compare(rows), 0
         for end in ends:
             own, begin = order[begin:end], end
             if len(own) < 2:
                 continue
-            linked = compare(rows, own)
+            linked = links_of(own)
             if low[own[0]] != high[own[0]]:  # two blocks: only what lies between them
                 side = block[own] == low[own[0]]
                 linked &= side[:, None] != side[None, :]

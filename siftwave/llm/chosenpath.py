@@ -141,47 +141,56 @@ def _first(runs: int):
 def _may_be_near(threshold: float):
     least = threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / SKETCH)
 
-    def compare(rows: pa.Table, own: np.ndarray) -> np.ndarray:
-        column = rows.column("sketch").combine_chunks().take(pa.array(own))
-        s = np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(own), SKETCH)
-        same = np.zeros((len(own), len(own)), np.uint8)
-        for i in range(SKETCH):
-            same += s[:, i][:, None] == s[:, i][None, :]
-        return same >= least * SKETCH
+    def compare(rows: pa.Table):
+        every = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+
+        def links_of(own: np.ndarray) -> np.ndarray:
+            s = every[own]
+            if len(own) <= SMALL:
+                return (s[:, None, :] == s[None, :, :]).sum(axis=2, dtype=np.uint8) >= least * SKETCH
+            same = np.zeros((len(own), len(own)), np.uint8)
+            for i in range(SKETCH):
+                same += s[:, i][:, None] == s[:, i][None, :]
+            return same >= least * SKETCH
+
+        return links_of
 
     return compare
 
 
 def _exactly_near(threshold: float):
-    def compare(rows: pa.Table, own: np.ndarray) -> np.ndarray:
-        texts = rows.column("body").combine_chunks().take(pa.array(own))
-        row, h = [], []
-        for i, _, data, offsets in pieces(texts):
-            r, x = shingles(Words(lower_ascii(data), offsets, space_words()))
-            row.append(r + i)
-            h.append(x)
-        row, h = np.concatenate(row), np.concatenate(h)
-        n = len(own)
-        size = np.bincount(row, minlength=n)
-        _, column, times = np.unique(h, return_inverse=True, return_counts=True)
-        often = times[column] > 1
-        row, column = row[often], column[often]
-        column = np.unique(column, return_inverse=True)[1]
-        shared = np.zeros((n, n), np.float32)  # counts below 2**24 are exact
-        width = max(256, (1 << 22) // n)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, [low, low + width])
-            block = np.zeros((n, width), np.float32)
-            block[row[a:b], column[a:b] - low] = 1
-            shared += block @ block.T
-        union = size[:, None] + size[None, :] - shared
-        return (shared >= threshold * union - 1e-6) & (union > 0)
+    def compare(rows: pa.Table):
+        found = [(i, *shingles(Words(lower_ascii(data), offsets, space_words()))) for i, _, data, offsets in pieces(rows.column("body").combine_chunks())]
+        every = np.concatenate([h for _, _, h in found])
+        ends = np.cumsum(np.bincount(np.concatenate([r + i for i, r, _ in found]), minlength=len(rows)))
+        return lambda own: _near_sets([every[a:b] for a, b in zip(np.append(0, ends)[own], ends[own])], threshold)
 
     return compare
 
 
+def _near_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets reach the Jaccard similarity with each other."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    row, h = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    row, column = row[often], column[often]
+    column = np.unique(column, return_inverse=True)[1]
+    shared = np.zeros((n, n), np.float32)  # counts below 2**24 are exact
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, (1 << 22) // n))
+    for low in range(0, columns, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        block = np.zeros((n, width), np.float32)
+        block[row[a:b], column[a:b] - low] = 1
+        shared += block @ block.T
+    union = size[:, None] + size[None, :] - shared
+    return (shared >= threshold * union - 1e-6) & (union > 0)
+
+
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """``(key, n_links, component)`` of every id: other documents at ``jaccard`` or above, and the smallest id reachable by such links."""
     texts = packed(docs, id_col, text_col).select("key", "body")

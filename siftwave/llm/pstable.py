@@ -59,10 +59,12 @@ class Tables:
         self.b = random.random(tables * hashes)
         self.shape = (tables, hashes)
 
-    def buckets(self, unit: np.ndarray) -> np.ndarray:
-        """``(n, tables)`` bucket keys."""
-        cells = np.floor(unit @ self.a + self.b).astype(np.int64).view(U64).reshape(len(unit), *self.shape)
-        key = np.broadcast_to(mix(np.arange(1, self.shape[0] + 1, dtype=U64)), cells.shape[:2])
+    def buckets(self, unit: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """``(n, tables)`` bucket keys, of the first ``tables`` only if given."""
+        tables = tables or self.shape[0]
+        wide = tables * self.shape[1]
+        cells = np.floor(unit @ self.a[:, :wide] + self.b[:wide]).astype(np.int64).view(U64).reshape(len(unit), tables, self.shape[1])
+        key = np.broadcast_to(mix(np.arange(1, tables + 1, dtype=U64)), cells.shape[:2])
         for i in range(self.shape[1]):
             key = mix(key ^ cells[:, :, i]) + U64(i)
         return key
@@ -112,24 +114,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     shared = stored(placed.join(sizes, "bucket"), "shared")
     rows = _dealt(shared, heads)
-    made: dict[str, Tables] = {}
-
-    def compare(rows: pa.Table, own: np.ndarray) -> np.ndarray:
-        v = _matrix(rows.column("v").combine_chunks().take(pa.array(own)), dim)
-        length = np.sqrt((v * v).sum(axis=1))
-        linked = (v @ v.T) / (length[:, None] * length[None, :]) >= cosine
-        np.fill_diagonal(linked, False)
-        some = np.flatnonzero(linked.any(axis=1))
-        nth = int(rows.column("nth")[int(own[0])].as_py())
-        if len(some) and nth:  # links of an earlier table were counted there
-            if not made:
-                made["tables"] = Tables(dim, hashes, tables, width)
-            keys = made["tables"].buckets(unit(v[some]))[:, :nth]
-            fresh = linked[np.ix_(some, some)]
-            for t in range(nth):
-                fresh &= keys[:, t][:, None] != keys[:, t][None, :]
-            linked[np.ix_(some, some)] = fresh
-        return linked
+
+    def compare(rows: pa.Table):
+        every = _matrix(rows.column("v"), dim)
+        lengths = np.sqrt((every * every).sum(axis=1))
+        nths = np.asarray(rows.column("nth").combine_chunks())
+        projections = Tables(dim, hashes, tables, width)
+
+        def links_of(own: np.ndarray) -> np.ndarray:
+            v, length, nth = every[own], lengths[own], int(nths[own[0]])
+            linked = (v @ v.T) / (length[:, None] * length[None, :]) >= cosine
+            np.fill_diagonal(linked, False)
+            some = np.flatnonzero(linked.any(axis=1))
+            if len(some) and nth:  # links of an earlier table were counted there
+                keys = projections.buckets(unit(v[some]), nth)
+                fresh = linked[np.ix_(some, some)]
+                for t in range(nth):
+                    fresh &= keys[:, t][:, None] != keys[:, t][None, :]
+                linked[np.ix_(some, some)] = fresh
+            return linked
+
+        return links_of
 
     found = stored(compared(rows, compare, "node", "copies"), "found")
     direct = found.filter("partner IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
