@@ -93,16 +93,19 @@ URL_TLDS = (
     "com|vn|net|org|info|xyz|top|me|ly|io|cc|online|site|shop|link|club|icu|vip|live|buzz|"
     "tk|ml|ga|cf|gq|gl|gd|id|at|gy"
 )
-DOMAIN_TLDS = (
-    "com net org info biz vn xyz top me ly io cc online site shop link club icu vip live buzz "
-    "tk ml ga cf gq gl gd id at gy co app dev cn ru uk us asia pro store tech fun space website "
-    "win bid loan work click cyou sbs cfd bond lol mobi tv in ph th sg my kr jp hk tw au nz de fr "
-    "nl eu ca be ch es it pl br mx cloud today world news life one host press agency finance money "
-    "bet casino games email digital network center group company services solutions support help "
-    "global social kim ink pw su lat rest monster beauty homes autos quest best xin wang ltd vin "
-    "mom pics zone tokyo cam fit run red blue pink gold plus team trade market exchange "
-    "investments capital fund cash credit bank"
-).split()
+DOMAIN_TLDS = [
+    "com", "net", "org", "info", "biz", "vn", "xyz", "top", "me", "ly", "io", "cc", "online", "site", "shop",
+    "link", "club", "icu", "vip", "live", "buzz", "tk", "ml", "ga", "cf", "gq", "gl", "gd", "id", "at", "gy",
+    "co", "app", "dev", "cn", "ru", "uk", "us", "asia", "pro", "store", "tech", "fun", "space", "website",
+    "win", "bid", "loan", "work", "click", "cyou", "sbs", "cfd", "bond", "lol", "mobi", "tv", "in", "ph",
+    "th", "sg", "my", "kr", "jp", "hk", "tw", "au", "nz", "de", "fr", "nl", "eu", "ca", "be", "ch", "es",
+    "it", "pl", "br", "mx", "cloud", "today", "world", "news", "life", "one", "host", "press", "agency",
+    "finance", "money", "bet", "casino", "games", "email", "digital", "network", "center", "group",
+    "company", "services", "solutions", "support", "help", "global", "social", "kim", "ink", "pw", "su",
+    "lat", "rest", "monster", "beauty", "homes", "autos", "quest", "best", "xin", "wang", "ltd", "vin",
+    "mom", "pics", "zone", "tokyo", "cam", "fit", "run", "red", "blue", "pink", "gold", "plus", "team",
+    "trade", "market", "exchange", "investments", "capital", "fund", "cash", "credit", "bank",
+]
 SHARED_PLATFORM_ROOTS = [
     "blogspot.com", "wordpress.com", "github.io", "gitlab.io", "web.app", "firebaseapp.com",
     "vercel.app", "netlify.app", "pages.dev", "workers.dev", "herokuapp.com", "glitch.me",
@@ -114,13 +117,15 @@ PUBLIC_SUFFIXES = [
     "vn", "com", "net", "org", "com.vn", "net.vn", "org.vn", "edu.vn", "gov.vn", "info.vn", "biz.vn",
 ]
 REDIRECT_HOSTS = ["l.facebook.com", "lm.facebook.com", "l.messenger.com"]
-BRAND_KEYWORDS = (
-    "vietcombank vcb techcombank vietinbank agribank bidv sacombank vpbank mbbank tpbank hdbank "
-    "seabank eximbank lpbank pvcombank namabank abbank bacabank kienlongbank baovietbank "
-    "saigonbank vietabank acb ocb msb shb vib napas momo zalopay vnpay shopeepay viettelmoney "
-    "shopee lazada tiktok sendo viettelpost vnpost ghtk jtexpress bocongan bca dichvucong dvc "
-    "vneid chinhphu evn vtp viettel vinaphone mobifone vnpt facebook zalo telegram messenger"
-).split()
+BRAND_KEYWORDS = [
+    "vietcombank", "vcb", "techcombank", "vietinbank", "agribank", "bidv", "sacombank", "vpbank", "mbbank",
+    "tpbank", "hdbank", "seabank", "eximbank", "lpbank", "pvcombank", "namabank", "abbank", "bacabank",
+    "kienlongbank", "baovietbank", "saigonbank", "vietabank", "acb", "ocb", "msb", "shb", "vib", "napas",
+    "momo", "zalopay", "vnpay", "shopeepay", "viettelmoney", "shopee", "lazada", "tiktok", "sendo",
+    "viettelpost", "vnpost", "ghtk", "jtexpress", "bocongan", "bca", "dichvucong", "dvc", "vneid",
+    "chinhphu", "evn", "vtp", "viettel", "vinaphone", "mobifone", "vnpt", "facebook", "zalo", "telegram",
+    "messenger",
+]
 AI_TRAINING_AGENTS = [
     "gptbot", "ccbot", "claudebot", "anthropic-ai", "google-extended", "applebot-extended",
     "bytespider", "meta-externalagent",
@@ -136,6 +141,8 @@ VOID_TAGS = ["br", "img", "hr", "input", "meta", "link", "source", "wbr"]
 BLOCK_TAGS = ["p", "div", "li", "blockquote", "tr"]
 
 # --- fixed values: patterns -------------------------------------------------------
+URL_USER_PART = r"(?i)^((?:[a-z][a-z0-9+.-]*://)?)[^/@\s]*@"
+URL_QUERY_AND_FRAGMENT = r"[?#].*$"
 URL_TAIL_PUNCTUATION = "[.,;:!?)\\]}\"']"
 INVISIBLE = "[\\u00ad\\u200b-\\u200d\\u2060\\ufeff]"
 BRACKETED_DOT = (

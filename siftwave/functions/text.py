@@ -39,6 +39,11 @@ def normalize(c: Column) -> Column:
     return collapse(F.regexp_replace(nfc(c), fv.INVISIBLE, ""))
 
 
+def stripped(c: Column) -> Column:
+    """Text without white space at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | c.rlike(r"(?U)^\s*$")
 
@@ -153,8 +158,9 @@ def text_key(c: Column) -> Column:
 
 
 def _clean_kept_url(url: Column) -> Column:
-    no_user = F.regexp_replace(url, r"(?i)^((?:[a-z][a-z0-9+.-]*://)?)[^/@\s]*@", "$1")
-    return mask_account(mask_phone(F.regexp_replace(no_user, r"[?#].*$", "")))
+    """A readable link without user part, query and fragment, its numbers masked."""
+    bare = F.regexp_replace(F.regexp_replace(url, fv.URL_USER_PART, "$1"), fv.URL_QUERY_AND_FRAGMENT, "")
+    return mask_account(mask_phone(bare))
 
 
 def mask_keep_urls(c: Column) -> Column:

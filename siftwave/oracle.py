@@ -244,10 +244,11 @@ ORACLE["fused_labels"] = f"""WITH q AS (SELECT doc_id, (n_chars % 40 / 100.0)::D
 SELECT doc_id, {_l} AS label, round({_c}, 9) AS confidence, array_to_string({_w}, ',') AS reasons FROM q"""
 ORACLE["fallback_predictions"] = f"""WITH {PREDICTED} SELECT msg_id, CASE WHEN c >= 0.5 THEN a ELSE 1 END::DOUBLE AS normal,
 CASE WHEN c >= 0.5 THEN b ELSE 0 END::DOUBLE AS spam, CASE WHEN c >= 0.5 THEN c ELSE 0 END::DOUBLE AS scam FROM pr"""
-ORACLE["softmax_scores"] = """WITH e AS (SELECT vec_id, exp(embedding[1]::DOUBLE) AS a, exp(embedding[2]::DOUBLE) AS b, exp(embedding[3]::DOUBLE) AS c FROM embeddings)
+THIRDS = ", ".join(f"list_sum(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: i % 3 = {k % 3}), lambda i: embedding[i]::DOUBLE)) AS {x}" for k, x in ((1, "a"), (2, "b"), (3, "c")))
+ORACLE["softmax_scores"] = f"""WITH t AS (SELECT vec_id, {THIRDS} FROM embeddings), e AS (SELECT vec_id, exp(a) AS a, exp(b) AS b, exp(c) AS c FROM t)
 SELECT vec_id, round(a / (a + b + c), 9) AS normal, round(b / (a + b + c), 9) AS spam, round(c / (a + b + c), 9) AS scam FROM e"""
-ORACLE["argmax_labels"] = """SELECT vec_id, CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 'normal'
-WHEN embedding[2] >= embedding[3] THEN 'spam' ELSE 'scam' END AS label FROM embeddings"""
+ORACLE["argmax_labels"] = f"""WITH t AS (SELECT vec_id, {THIRDS} FROM embeddings)
+SELECT vec_id, CASE WHEN a >= b AND a >= c THEN 'normal' WHEN b >= c THEN 'spam' ELSE 'scam' END AS label FROM t"""
 ORACLE["llm_verdicts"] = """WITH v AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'scam' WHEN 'view' THEN 'spam' ELSE 'normal' END AS l,
 least(greatest(value / 10, 0.5), 1) AS c FROM events WHERE event_type <> 'error')
 SELECT event_id, round(CASE WHEN l = 'normal' THEN c ELSE (1 - c) / 2 END, 9) AS normal, round(CASE WHEN l = 'spam' THEN c ELSE (1 - c) / 2 END, 9) AS spam,
@@ -315,9 +316,9 @@ te AS (SELECT re.id FROM re JOIN tot USING (label) WHERE re.k <= round_even(tot.
 {ranked('rest', 'la', 'id NOT IN (SELECT id FROM te)', '42-train-val')}
 SELECT id, CASE WHEN k <= round_even(size * (0.15::DOUBLE / 0.85::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM rest
 UNION ALL SELECT id, 'test' FROM te"""
-ORACLE["split_with_fixed_test"] = f"""WITH {LABELLED}, {ranked('rest', 'la', "label <> 'scam'", '42-train-val')}
+ORACLE["split_with_fixed_test"] = f"""WITH {LABELLED}, {ranked('rest', 'la', "label <> 'scam' OR source = 'synthetic'", '42-train-val')}
 SELECT id, CASE WHEN k <= round_even(size * (0.15::DOUBLE / 0.85::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM rest
-UNION ALL SELECT id, 'test' FROM la WHERE label = 'scam'"""
+UNION ALL SELECT id, 'test' FROM la WHERE label = 'scam' AND source <> 'synthetic'"""
 ORACLE["fixed_test_errors"] = f"""WITH {LABELLED} SELECT id || 'x' AS id, 'missing' AS error FROM la WHERE channel = 'fax'
 UNION ALL SELECT id, CASE WHEN source <> 'synthetic' THEN 'changed' ELSE 'synthetic' END FROM la
 WHERE channel <> 'fax' AND (source = 'synthetic' OR label = 'spam')"""
@@ -336,7 +337,7 @@ ex AS (SELECT parent AS domain, min(url) AS source_url FROM hosts WHERE host LIK
 al AS (SELECT DISTINCT parent AS domain FROM hosts WHERE url LIKE '%.html%'), rj AS (SELECT DISTINCT parent AS domain FROM hosts WHERE url LIKE '%utm_source%'),
 oc AS (SELECT *, CASE WHEN domain IN (SELECT domain FROM ex) THEN 'known' WHEN domain IN (SELECT domain FROM rj) THEN 'rejected'
     WHEN list_has_any({parents('domain', 1)}, (SELECT list(domain) FROM al)) THEN 'allowed'
-    WHEN o > min(o) OVER (PARTITION BY domain) THEN 'duplicate' ELSE 'new' END AS outcome FROM seen)"""
+    WHEN row_number() OVER (PARTITION BY domain ORDER BY o, source) > 1 THEN 'duplicate' ELSE 'new' END AS outcome FROM seen)"""
 ORACLE["domain_outcomes"] = f"WITH {SEEN} SELECT source, domain, ord, outcome FROM oc"
 ORACLE["merged_domains"] = f"""WITH {SEEN} SELECT domain, 'old' AS source, source_url, '2025-01-01' AS first_seen, '' AS evidence FROM ex
 UNION ALL SELECT domain, source, source_url, '2026-01-01', evidence FROM oc WHERE outcome = 'new'"""
@@ -390,6 +391,20 @@ _blocks = f"regexp_replace(regexp_replace(regexp_replace({BODY}, '(?i)</?(?:{_cu
 ORACLE["page_block_paragraphs"] = f"""WITH s AS (SELECT page_id, list_filter(list_transform(string_split({_blocks}, chr(1)),
     lambda b: trim(regexp_replace({decoded('b')}, '{SPACE}+', ' ', 'g'))), lambda b: length(b) >= 20) AS l FROM pages)
 SELECT page_id, p.o - 1 AS pos, md5(p.v) AS digest FROM s, unnest(l) WITH ORDINALITY AS p(v, o)"""
+_quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+_signed = "CASE WHEN tok[2] = '/' THEN -1 WHEN ends_with(tok, '/>') THEN 0 ELSE 1 END"
+ORACLE["page_paragraphs"] = rf"""WITH t AS (SELECT page_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM (SELECT page_id,
+    regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|<script(?:[\s/]{ATTR})?>.*?(?:</script\s*>|\z)|<style(?:[\s/]{ATTR})?>.*?(?:</style\s*>|\z)|</?[a-z][^\s/>]*{ATTR}>|<[!?][^>]*>|[^<]+|<') AS l FROM pages)),
+n AS (SELECT *, CASE WHEN regexp_matches(tok, '(?i)^<(?:script|style)[\s/>]') THEN '' ELSE lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) END AS name FROM t),
+s AS (SELECT *, sum(CASE WHEN name IN ({_quoted(fv.CONTENT_TAGS)}) THEN {_signed} ELSE 0 END) OVER w AS c, sum(CASE WHEN name IN ({_quoted(fv.SKIPPED_TAGS)}) THEN {_signed} ELSE 0 END) OVER w AS k
+    FROM n WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+f AS (SELECT *, c - least(0, min(c) OVER w) AS depth, k - least(0, min(k) OVER w) AS skipped FROM s WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+e AS (SELECT *, CASE WHEN depth = 0 AND lag(depth, 1, 0) OVER w > 0 THEN 1 ELSE 0 END AS ends FROM f WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+r AS (SELECT *, sum(ends) OVER (PARTITION BY page_id ORDER BY i) - ends AS region, sum(ends) OVER (PARTITION BY page_id) AS regions FROM e),
+j AS (SELECT page_id, region, string_agg(CASE WHEN name = 'br' THEN ' ' ELSE tok END, '' ORDER BY i) AS x FROM r
+    WHERE region < regions AND depth > 0 AND skipped = 0 AND (name = 'br' OR NOT regexp_matches(tok, '^<[a-zA-Z/!?]')) GROUP BY 1, 2),
+p AS (SELECT page_id, region, trim(regexp_replace({decoded('x')}, '{SPACE}+', ' ', 'g')) AS paragraph FROM j)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY region) - 1 AS pos, paragraph FROM p WHERE length(paragraph) >= 20"""
 ORACLE["feed_items"] = "SELECT page_id::VARCHAR AS source, 'News & more' AS title, url AS link, 'Cảnh báo' AS summary FROM pages"
 ITEMS = f"""{HOSTS}, it AS (SELECT lang AS source, page_id AS pos, CASE WHEN starts_with(url, 'https') THEN url ELSE '' END AS link FROM hosts
     WHERE contains(host, 'example.com') OR contains(host, 'example.net'))"""
@@ -412,7 +427,8 @@ ORACLE["capped_sources"] = f"""WITH {LABELLED}, o AS (SELECT la.ord, substr(d.so
 n AS (SELECT source_ord, coalesce(sum(count(*) FILTER (outcome = 'added')) OVER (ORDER BY source_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o GROUP BY 1)
 SELECT ord, source_ord, outcome FROM o WHERE source_ord IN (SELECT source_ord FROM n WHERE before < 100)"""
 ORACLE["first_items_per_source"] = "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= length(source) * 2"
-ORACLE["applied_suggestions"] = "SELECT conv_id::VARCHAR AS id, arg_max(role, turn) AS suggested_label, max(turn)::VARCHAR AS note FROM conversations GROUP BY 1"
+ORACLE["applied_suggestions"] = """SELECT conv_id::VARCHAR AS id, CASE WHEN arg_max(role, turn) = 'user' THEN 'normal' ELSE 'spam' END AS suggested_label,
+'seen in turn ' || max(turn) AS note FROM conversations GROUP BY 1"""
 ORACLE["unlabelled_candidates"] = f"WITH {CAND} SELECT id FROM ca WHERE label = '' ORDER BY id LIMIT 40"
 REV = f"""{LABELLED}, rv AS (SELECT 'cand_' || lpad(ord::VARCHAR, 6, '0') AS candidate_id, text, source, label, ord,
     source = 'collected' AS judged, source = 'collected' AND annotator <> '' AND channel <> 'fax' AS accepted FROM la)"""

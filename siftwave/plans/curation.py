@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import has_url, has_vietnamese_letter, mask_normalized, may_contain_name, normalize, pii_kinds, text_key
+from ..functions.text import has_url, has_vietnamese_letter, mask_normalized, may_contain_name, normalize, pii_kinds, stripped, text_key
 from ..operators.ids import assign_ids, format_id, row_numbers
 from ..operators.joins import BROADCAST_ROWS, first_by, lookup_join
 from ..session import cut
@@ -16,10 +16,6 @@ SUGGESTED = ["suggested_label", "suggested_scam_type", "suggested_channel", "con
 DATASET_COLUMNS = ["id", "text", "label", "scam_type", "channel", "source", "has_url", "collected_at", "annotator"]
 
 
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-
-
 def bool_text(c: Column) -> Column:
     return F.when(c, F.lit("true")).otherwise(F.lit("false"))
 
@@ -29,14 +25,13 @@ def anonymize(rows: DataFrame, start_id: int = 1, order: str = "ord") -> DataFra
     missing = {"text", "label", "channel", "source", "collected_at", "annotator"} - set(rows.columns)
     if missing:
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    numbered = row_numbers(rows, [F.col(order)], start=start_id, column="_n")
     cells = {
         c: stripped(F.col(c)) if c in rows.columns else F.lit("") for c in DATASET_COLUMNS if c not in ("id", "text", "has_url")
     }
-    masked = numbered.select(
-        format_id("msg_", F.col("_n")).alias("id"), mask_normalized(F.coalesce("text", F.lit(""))).alias("text"), *[c.alias(n) for n, c in cells.items()]
-    )
-    return masked.withColumn("has_url", bool_text(has_url(F.col("text")))).select(*DATASET_COLUMNS)
+    # masked before it is numbered: numbering writes its rows to the checkpoint folder
+    masked = rows.select(F.col(order).alias("_by"), mask_normalized(F.coalesce("text", F.lit(""))).alias("text"), *[c.alias(n) for n, c in cells.items()])
+    numbered = row_numbers(masked, [F.col("_by")], start=start_id, column="_n").withColumn("id", format_id("msg_", F.col("_n")))
+    return numbered.withColumn("has_url", bool_text(has_url(F.col("text")))).select(*DATASET_COLUMNS)
 
 
 def pii_counts(rows: DataFrame) -> DataFrame:
@@ -149,8 +144,11 @@ def check_suggestions(suggestions: DataFrame, candidates: DataFrame) -> DataFram
 def apply_suggestions(candidates: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Candidates with their last suggestion ``(ord, id, label, scam_type, channel, confidence, note)``.
 
-    Check with ``check_suggestions`` first: nothing should be applied while it has rows.
+    Nothing is applied while ``check_suggestions`` has rows: then it raises.
     """
+    wrong = check_suggestions(suggestions, candidates).groupBy("error").count().orderBy("error").collect()  # a row per kind of error
+    if wrong:
+        raise ValueError("suggestions are not applied: " + ", ".join(f"{r['error']} ({r['count']})" for r in wrong))
     cells = dict(zip(SUGGESTED, ("label", "scam_type", "channel", "confidence", "note")))
     last = first_by(
         suggestions.select("id", "ord", *[stripped(F.col(c)).alias(f"_{s}") for s, c in cells.items()]), ["id"], [-F.col("ord")]

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.similarity import fingerprint, fingerprint_of, shingles, tokens
-from ..functions.text import contains_keyword, evidence_excerpt, has_vietnamese_letter, is_warning, quotes, template_text
+from ..functions.text import contains_keyword, evidence_excerpt, has_vietnamese_letter, is_warning, quotes, stripped, template_text
 from ..functions.urls import domain, domains, suffixes
 from ..operators.ids import assign_ids
 from ..operators.joins import first_by, listed_keys, lookup_join
 from ..operators.similarity import fingerprint_matches, greedy_dedup, near_sets
-from ..sources.html import visible_text
+from ..sources.html import page_text
 
 
 def page_host(url: Column) -> Column:
@@ -61,7 +61,7 @@ def warned_domains(paragraph_rows: DataFrame) -> DataFrame:
 def listed_page_domains(pages: DataFrame) -> DataFrame:
     """Domains on a list page ``(page_id, url, html)``, without the page's own host family."""
     own = F.coalesce(page_host(F.col("url")), F.lit(""))
-    found = pages.select("page_id", "url", F.explode(F.sort_array(domains(visible_text(F.col("html"))))).alias("domain"))
+    found = page_text(pages).select("page_id", "url", F.explode(F.sort_array(domains(F.col("text")))).alias("domain"))
     return found.filter(~F.array_contains(suffixes(F.col("domain"), include_tld=True), own))
 
 
@@ -86,8 +86,9 @@ def domain_outcomes(
 ) -> DataFrame:
     """Sightings with an ``outcome``: known, rejected, allowed, duplicate or new.
 
-    ``sightings(source_ord, domain, ...)`` hold one row per source and domain.
-    Among sources the first one that brings a new domain wins.
+    ``sightings(source, source_ord, domain, ...)`` hold one row per source and
+    domain. Among sources the first one by ``(source_ord, source)`` that brings a new
+    domain wins, so a domain is added once even where two sources share a place.
     """
     names = sightings.select("domain").distinct()
     known = domain_table(existing).withColumn("is_known", F.lit(True))
@@ -105,9 +106,10 @@ def domain_outcomes(
         .when(F.col("is_allowed"), "allowed")
         .otherwise("new")
     )
-    firsts = sightings.groupBy("domain").agg(F.min("source_ord").alias("first_ord"))
+    place = F.struct("source_ord", "source")
+    firsts = sightings.groupBy("domain").agg(F.min(place).alias("first_ord"))
     labels = judged.select("domain", verdict.alias("verdict")).join(firsts, "domain")
-    later = (F.col("verdict") == "new") & (F.col("source_ord") > F.col("first_ord"))
+    later = (F.col("verdict") == "new") & (place > F.col("first_ord"))
     # a domain has at most one row per source here, so no key is hot
     outcome = F.when(later, "duplicate").otherwise(F.col("verdict"))
     return sightings.join(labels, "domain").withColumn("outcome", outcome).drop("verdict", "first_ord")
@@ -201,14 +203,14 @@ def rejected_match(texts: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def _reason_error(reason: Column) -> Column:
-    return F.when(F.length(F.trim(reason)) < fv.MIN_REASON_CHARS, F.lit("reason_too_short"))
+    return F.when(F.length(stripped(reason)) < fv.MIN_REASON_CHARS, F.lit("reason_too_short"))
 
 
 def reject_domains(
     active: DataFrame, rejected: DataFrame, requests: DataFrame, today: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Move domains to the rejected table. ``requests(domain, reason)``; returns (active, rejected, errors)."""
-    asked = requests.select(F.lower(F.trim("domain")).alias("domain"), F.trim("reason").alias("reason"))
+    asked = requests.select(F.lower(stripped(F.col("domain"))).alias("domain"), stripped(F.col("reason")).alias("reason"))
     known = active.select("domain").distinct().withColumn("known", F.lit(True))
     checked = asked.join(known, "domain", "left").withColumn(
         "error", F.coalesce(_reason_error(F.col("reason")), F.when(F.col("known").isNull(), F.lit("unknown_domain")))
@@ -223,7 +225,7 @@ def reject_templates(
     active: DataFrame, rejected: DataFrame, requests: DataFrame, today: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Move templates to the rejected table, where only their fingerprint stays. ``requests(id, reason)``."""
-    asked = requests.select(F.trim("id").alias("id"), F.trim("reason").alias("reason"))
+    asked = requests.select(stripped(F.col("id")).alias("id"), stripped(F.col("reason")).alias("reason"))
     joined = asked.join(active.select("id", "text"), "id", "left").withColumn(
         "error", F.coalesce(_reason_error(F.col("reason")), F.when(F.col("text").isNull(), F.lit("unknown_template")))
     )

@@ -50,7 +50,14 @@ def _group_findings(df: DataFrame, table: str, name: str, key: Column, detail: C
 
 
 def is_date(c: Column) -> Column:
-    return c.rlike(r"^\d{4}-?\d{2}-?\d{2}$") & F.coalesce(F.try_to_date(F.translate(c, "-", ""), "yyyyMMdd"), F.lit(None)).isNotNull()
+    """A calendar date (2026-02-28, 20260228) or a week date (2026-W09, 2026-W09-6, 2026W096) that exists."""
+    day = c.rlike(r"^\d{4}(?:-\d{2}-\d{2}|\d{4})$") & F.try_to_date(F.translate(c, "-", ""), "yyyyMMdd").isNotNull()
+    flat = F.translate(c, "-", "")
+    shape = c.rlike(r"^\d{4}(?:-W\d{2}(?:-[1-7])?|W\d{2}[1-7]?)$")
+    year, week = F.substring(flat, 1, 4).try_cast("int"), F.substring(flat, 6, 2).try_cast("int")
+    monday = F.date_trunc("week", F.concat(F.substring(flat, 1, 4), F.lit("-01-04")).try_cast("date")).cast("date")  # of week 1
+    falls = F.date_add(monday, (week - 1) * 7 + 3)  # the week's Thursday lies in the week's year
+    return F.coalesce(day | (shape & (week >= 1) & (F.year(falls) == year) & (F.weekofyear(falls) == week)), F.lit(False))
 
 
 def text_rules(text: Column) -> tuple[list[Column], list[Column]]:
@@ -142,8 +149,14 @@ def check_distribution(rows: DataFrame, collecting: bool = False, labels: list[s
 
 
 def check_dataset(rows: DataFrame, collecting: bool = False, order: str = "ord") -> DataFrame:
-    """All dataset rules over rows with an arrival order column."""
-    return check_rows(rows).unionByName(check_unique(rows, order)).unionByName(check_distribution(rows, collecting))
+    """All dataset rules over rows with an arrival order column.
+
+    Rows with too many or too few cells are reported as such; what they seem to hold
+    counts neither for uniqueness nor for the shares.
+    """
+    broken = [F.coalesce(F.col(c), F.lit(False)) for c in ("_extra", "_missing") if c in rows.columns]
+    whole = rows.filter(~F.greatest(*broken)) if len(broken) > 1 else rows.filter(~broken[0]) if broken else rows
+    return check_rows(rows).unionByName(check_unique(whole, order)).unionByName(check_distribution(whole, collecting))
 
 
 def check_blocked_domains(rows: DataFrame, allowlist: DataFrame) -> DataFrame:

@@ -33,7 +33,15 @@ def train_val(rows: DataFrame, stratum: str = "label", seed: str = "42-train-val
 
 
 def split(rows: DataFrame, stratum: str = "label", existing_test: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """``(id, split)`` with train, val and test; an existing test set is kept as it is."""
+    """``(id, split)`` with train, val and test; an existing test set is kept as it is.
+
+    An existing test set with columns beside ``id`` must still hold the same rows,
+    none of them synthetic: otherwise it raises.
+    """
+    if existing_test is not None and set(rows.columns) <= set(existing_test.columns):
+        wrong = verify_test(existing_test, rows).groupBy("error").count().orderBy("error").collect()  # a row per kind of error
+        if wrong:
+            raise ValueError("the test set is broken: " + ", ".join(f"{r['error']} ({r['count']})" for r in wrong))
     test = new_test(rows, stratum, f"{seed}-test") if existing_test is None else existing_test.select("id")
     rest = rows.join(test, "id", "left_anti")
     return train_val(rest, stratum, f"{seed}-train-val").unionByName(test.select("id", F.lit("test").alias("split")))

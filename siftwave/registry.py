@@ -169,7 +169,7 @@ def token_counts(spark, d):
 def neighbour_words(spark, d):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     pairs = load(spark, d, "conversations", "conv_id").select(words.alias("w")).select(
-        F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, 1_000_000).alias("b"))).alias("p")
+        F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p")
     )
     distinct = pairs.select("p.a", "p.b").distinct()
     return distinct.select("a", "b", urls.osa_within_1(F.col("a"), F.col("b")).alias("near")).filter("near")
@@ -440,15 +440,22 @@ def fallback_predictions(spark, d):
     return scoring.fill_predictions(first, second)
 
 
+def third_sums(vector: Column) -> Column:
+    """Three logits out of a whole vector: the sum of every third component, from the first, second and third on."""
+    places = F.sequence(F.lit(1), F.size(vector))
+    part = lambda k: F.aggregate(F.filter(places, lambda i: i % 3 == k), F.lit(0.0), lambda acc, i: acc + F.element_at(vector, i).cast("double"))
+    return F.array(part(1), part(2), part(0))
+
+
 @query
 def softmax_scores(spark, d):
-    rows = load(spark, d, "embeddings", "vec_id").select("vec_id", decision.softmax(F.slice("embedding", 1, 3)).alias("p"))
+    rows = load(spark, d, "embeddings", "vec_id").select("vec_id", decision.softmax(third_sums(F.col("embedding"))).alias("p"))
     return rows.select("vec_id", *[F.round(f"p.{x}", 9).alias(x) for x in fv.LABELS])
 
 
 @query
 def argmax_labels(spark, d):
-    return load(spark, d, "embeddings", "vec_id").select("vec_id", decision.argmax_label(F.slice("embedding", 1, 3)).alias("label"))
+    return load(spark, d, "embeddings", "vec_id").select("vec_id", decision.argmax_label(third_sums(F.col("embedding"))).alias("label"))
 
 
 @query
@@ -568,7 +575,7 @@ def stratified_split(spark, d):
 @query
 def split_with_fixed_test(spark, d):
     rows = labelled(spark, d).select("id", "label", "source")
-    return split.split(rows, existing_test=rows.filter("label = 'scam'"))
+    return split.split(rows, existing_test=rows.filter("label = 'scam' and source <> 'synthetic'"))
 
 
 @query
@@ -620,7 +627,7 @@ def classifier_predictions(spark, d):
 def sightings(spark, d) -> DataFrame:
     """Domains seen per source: the language of the page is the source."""
     rows = page_domains(spark, d)
-    order = F.ascii("lang")
+    order = F.ascii("lang")  # two languages share a place
     seen = rows.select(F.col("lang").alias("source"), order.alias("source_ord"), F.col("page_id").alias("ord"), F.col("parent").alias("domain"), F.col("url").alias("source_url"), F.col("host").alias("evidence"))
     return intel.first_sightings(seen)
 
@@ -750,7 +757,7 @@ def page_anchors(spark, d):
 
 @query
 def page_paragraphs(spark, d):
-    return html.paragraphs(pages(spark, d), "depth").select("page_id", "pos", "paragraph")
+    return html.paragraphs(pages(spark, d), "depth").select("page_id", F.col("pos").cast("long").alias("pos"), "paragraph")
 
 
 @query
@@ -884,8 +891,8 @@ def applied_suggestions(spark, d):
     for c in curation.SUGGESTED:
         waiting = waiting.withColumn(c, F.lit(""))
     asked = turns.select(
-        F.col("conv_id").cast("string").alias("id"), F.col("turn").alias("ord"), F.concat(F.lit(" "), "role").alias("label"), F.lit("").alias("scam_type"),
-        F.lit("sms").alias("channel"), F.lit("low").alias("confidence"), F.col("turn").cast("string").alias("note"),
+        F.col("conv_id").cast("string").alias("id"), F.col("turn").alias("ord"), F.when(F.col("role") == "user", " normal").otherwise("spam\t").alias("label"), F.lit("").alias("scam_type"),
+        F.lit("sms").alias("channel"), F.lit("low").alias("confidence"), F.concat(F.lit("seen in turn "), F.col("turn").cast("string")).alias("note"),
     )
     return curation.apply_suggestions(waiting, asked).select("id", "suggested_label", "note")
 
@@ -934,7 +941,7 @@ def sequential_ids(spark, d):
 
 @query
 def next_id_number(spark, d):
-    return ids.next_number(load(spark, d, "labels").select(F.format_string("msg_%06d", "doc_id").alias("id")), "msg_")
+    return ids.next_number(load(spark, d, "labels").select(F.format_string("msg_%06d", "doc_id").alias("id")), "msg_").select(F.col("next").cast("long").alias("next"))
 
 
 @query

@@ -1,12 +1,17 @@
-"""Page extraction: visible text, links, paragraphs, texts by CSS class."""
+"""Page extraction: visible text, links, paragraphs, texts by CSS class.
+
+A page is cut into tokens by one pattern. What is inside skipped or content
+elements follows from a fold over the tokens that keeps counters and positions
+only; texts are then sliced out of the token array. All of it is native but for the
+decoding of entities.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+import html as entities
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,66 +21,166 @@ from ..functions.text import collapse, let, quotes
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 RAW_ELEMENTS = ["script", "style"]
 ANCHOR = r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-TAG = rf"<[/a-zA-Z!?]{ATTRIBUTES}>"
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+TAG_START = r"</?[a-zA-Z]"
+TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]){ATTRIBUTES}(?<!/)>.*?(?:</\1\s*>|\z)|{TAG_START}[^\s/>]*{ATTRIBUTES}>|<[!?][^>]*>|[^<]+|<"
+CLASS = r"(?is)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+RUNS = "array<struct<region:int,first:int,size:int>>"
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities decoded once; text without ``&`` is passed through."""
-    decoded = F.reflect(
-        F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), F.replace(c, F.lit("&apos;"), F.lit("&#39;"))
-    )
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    """Character references decoded once, as HTML 5 names them."""
+    return F.arrow_udf(lambda texts: pa.array([_decoded(t) for t in texts.to_pylist()], pa.string()), "string")(c)
 
 
-def _without(c: Column, elements: Iterable[str], filler: str = " ") -> Column:
-    """Drop whole elements; one that is never closed drops the rest."""
-    for tag in elements:
-        c = F.regexp_replace(c, rf"(?is)<{tag}(?=[\s/>]){ATTRIBUTES}>.*?(?:</{tag}\s*>|\z)", filler)
-    return c
+def unescape_each(c: Column) -> Column:
+    """The same for every string of an array."""
+    return F.arrow_udf(lambda lists: pa.array([None if x is None else [_decoded(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string())), "array<string>")(c)
+
+
+def _decoded(text: str | None) -> str | None:
+    return entities.unescape(text) if text and "&" in text else text
+
+
+def page_tokens(html: Column) -> Column:
+    """Array of ``(kind, name, classes, text)``; kinds are open, close, empty, text and none (comments, scripts and the like)."""
+
+    def token(t: Column) -> Column:
+        tag = t.rlike(f"^{TAG_START}")
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        empty = t.endswith("/>")
+        raw = name.isin(RAW_ELEMENTS) & ~t.startswith("</") & ~empty
+        kind = (
+            F.when(tag & raw, "none").when(tag & t.startswith("</"), "close").when(tag & empty, "empty").when(tag, "open").when(t.rlike("^<[!?]"), "none").otherwise("text")
+        )
+        classes = F.split(F.regexp_replace(F.regexp_extract(t, CLASS, 1), "^[\"']|[\"']$", ""), r"\s+")
+        return F.struct(
+            kind.alias("kind"), F.when(tag, name).otherwise("").alias("name"), F.when(tag & (kind == "open"), classes).otherwise(F.array().cast("array<string>")).alias("classes"), F.when(kind == "text", t).otherwise("").alias("text")
+        )
+
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0)), token)
+
+
+def _step(token: Column) -> Column:
+    """What an element's tag adds to the number of open elements."""
+    return F.when(token["kind"] == "open", 1).when(token["kind"] == "close", -1).otherwise(0)
+
+
+def _floor(c: Column) -> Column:
+    return F.greatest(c, F.lit(0))
+
+
+def live_runs(tokens: Column, depth: Callable[[Column, Column], Column], skipped: list[str], whole: bool = False, everywhere: bool = True) -> Column:
+    """``(runs, regions)``: stretches of tokens that are inside a region and outside skipped elements.
+
+    A region lasts while ``depth(token, depth before)`` stays above zero; ``regions``
+    is how many have ended. ``whole`` makes the page one region that is open from
+    the start and ends with the page. Skipped elements count ``everywhere`` or inside
+    regions only.
+    """
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), F.lit(int(whole)).alias("depth"), zero.alias("skip"), zero.alias("region"), F.lit(0 if whole else -1).alias("since"), F.array().cast(RUNS).alias("runs"))
+
+    def run(acc: Column, end: Column) -> Column:
+        return F.concat(acc["runs"], F.array(F.struct(acc["region"].alias("region"), acc["since"].alias("first"), (end - acc["since"]).alias("size"))))
+
+    def merge(acc: Column, token: Column) -> Column:
+        deep = depth(token, acc["depth"])
+        counts = token["name"].isin(skipped) & ((acc["depth"] > 0) | F.lit(everywhere))
+        skip = F.when(counts, _floor(acc["skip"] + _step(token))).otherwise(acc["skip"])
+        was, now = acc["since"] >= 0, (deep > 0) & (skip == 0)
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            deep.alias("depth"),
+            skip.alias("skip"),
+            F.when((acc["depth"] > 0) & (deep == 0), acc["region"] + 1).otherwise(acc["region"]).alias("region"),
+            F.when(~now, F.lit(-1)).when(was, acc["since"]).otherwise(acc["i"] + 1).alias("since"),
+            F.when(was & ~now, run(acc, acc["i"])).otherwise(acc["runs"]).alias("runs"),
+        )
+
+    def finish(acc: Column) -> Column:
+        last = F.when(acc["since"] >= 0, run(acc, acc["i"])).otherwise(acc["runs"]) if whole else acc["runs"]
+        return F.struct(last.alias("runs"), (acc["region"] + F.lit(int(whole))).alias("regions"))
+
+    return F.aggregate(tokens, start, merge, finish)
 
 
-def _content(html: Column) -> Column:
-    return _without(F.regexp_replace(_without(html, RAW_ELEMENTS), COMMENT, ""), [t for t in fv.SKIPPED_TAGS if t not in RAW_ELEMENTS])
+def region_texts(tokens: Column, live: Column, render: Callable[[Column], Column], gap: str) -> Column:
+    """Text of every region that has ended, in order; ``render`` gives a token's text, ``gap`` stands for what was skipped."""
 
+    def add(out: Column, r: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(tokens, r["first"] + 1, r["size"]), render), "")
+        last = F.element_at(out, -1)
+        again = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["region"] == r["region"])
+        row = lambda t: F.array(F.struct(r["region"].alias("region"), t.alias("text")))
+        return F.when(again, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), row(F.concat(last["text"], F.lit(gap), text)))).otherwise(F.concat(out, row(text)))
 
-def visible_text(html: Column) -> Column:
-    """Text outside skipped elements; tags become spaces, entities are decoded."""
-    return collapse(unescape(F.regexp_replace(_content(html), TAG, " ")))
+    joined = F.aggregate(live["runs"], F.array().cast("array<struct<region:int,text:string>>"), add)
+    return F.transform(F.filter(joined, lambda t: t["region"] < live["regions"]), lambda t: t["text"])
+
+
+def _page_texts(html: Column, depth: Callable[[Column, Column], Column], skipped: list[str], render: Callable[[Column], Column], whole: bool = False, everywhere: bool = True, gap: str = "") -> Column:
+    return let(page_tokens(html), lambda tokens: let(live_runs(tokens, depth, skipped, whole, everywhere), lambda live: region_texts(tokens, live, render, gap)))
+
+
+def _always(token: Column, before: Column) -> Column:
+    return F.lit(1)
+
+
+def _held(pages: DataFrame, texts: Column) -> DataFrame:
+    """``(page_id, url, texts)`` with ``texts`` as a column of its own, which a Python function can then read."""
+    return pages.select("page_id", "url", F.inline(F.array(F.struct(texts.alias("texts")))))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", visible_text(F.col("html")).alias("text"))
+    """``(page_id, url, text)``: text outside skipped elements; tags become spaces, entities are decoded."""
+    texts = _page_texts(F.col("html"), _always, fv.SKIPPED_TAGS, lambda t: F.when(t["kind"] == "text", t["text"]).when(t["kind"] == "none", "").otherwise(" "), whole=True, gap=" ")
+    return _held(pages, F.array_join(texts, "")).select("page_id", "url", collapse(unescape(F.col("texts"))).alias("text"))
+
+
+def _without(c: Column, elements: Iterable[str], filler: str = " ") -> Column:
+    """Drop whole elements that hold no other tags; one that is never closed drops the rest."""
+    for tag in elements:
+        c = F.regexp_replace(c, rf"(?is)<{tag}(?=[\s/>]){ATTRIBUTES}(?<!/)>.*?(?:</{tag}\s*>|\z)", filler)
+    return c
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """Absolute form of a link found on the page ``base``."""
+    """Absolute form of a link found on the page ``base``; dot segments are taken out of paths joined here."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.concat(origin, F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path, "^/", "")), "[^/]*$", ""))
-    joined = (
+    folder = F.split(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/")
+    above = F.slice(folder, F.lit(1), F.size(folder) - 1)  # without the page itself
+    path = F.split(F.regexp_extract(link, r"^[^?#]*", 0), "/")
+
+    def inner(parts: Column) -> Column:
+        """Empty segments stay at both ends only."""
+        middle = F.filter(F.slice(parts, F.lit(2), _floor(F.size(parts) - 2)), lambda s: s != "")
+        return F.concat(F.slice(parts, F.lit(1), F.lit(1)), middle, F.slice(parts, F.size(parts), F.lit(1)))
+
+    def walked(parts: Column) -> Column:
+        none = F.array().cast("array<string>")
+        step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), _floor(F.size(done) - 1))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+        open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.aggregate(parts, none, step), open_end)
+
+    whole = F.when(link.startswith("/"), path).when(F.size(above) > 0, inner(F.concat(above, path))).otherwise(F.concat(F.array(F.lit("")), path))
+    joined = F.regexp_replace(F.array_join(let(whole, walked), "/"), "^/?", "/")
+    tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(origin, link))
         .when(link.startswith("?"), F.concat(page, link))
         .when(link.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), link))
-        .otherwise(F.concat(folder, link))
+        .otherwise(F.concat(origin, joined, tail))
     )
 
-    def tidy(url: Column) -> Column:
-        here = F.regexp_replace(url, r"(?<=/)\./|(?<=/)\.(?=$|[?#])", "")
-        up = r"(?<=[^/:]|^)/(?!\.\.?/)[^/?#]+/\.\.(?:/|(?=$|[?#]))"
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), here, lambda acc, _: F.regexp_replace(acc, up, "/"))
-
-    return let(joined, lambda u: F.when(u.rlike(r"/\.\.?(?:/|$|[?#])"), tidy(u)).otherwise(u))
-
 
 def page_links(pages: DataFrame, pattern: str = "", keep: Column | None = None) -> DataFrame:
     """``(page_id, pos, link)``: distinct anchors in order, resolved, matching ``pattern``."""
     clean = F.regexp_replace(_without(F.col("html"), RAW_ELEMENTS), COMMENT, "")
-    found = F.transform(F.regexp_extract_all(clean, F.lit(ANCHOR), F.lit(1)), lambda a: unescape(F.regexp_replace(a, "^[\"']|[\"']$", "")))
+    found = unescape_each(F.transform(F.regexp_extract_all(clean, F.lit(ANCHOR), F.lit(1)), lambda a: F.regexp_replace(a, "^[\"']|[\"']$", "")))
     full = F.transform(F.filter(found, lambda a: a != ""), lambda a: resolve(F.col("url"), a))
     matching = F.filter(full, lambda u: u.rlike(pattern)) if pattern else full
     rows = pages.select("page_id", "url", "html") if keep is None else pages.filter(keep).select("page_id", "url", "html")
@@ -84,99 +189,25 @@ def page_links(pages: DataFrame, pattern: str = "", keep: Column | None = None)
 
 def block_paragraphs(pages: DataFrame) -> DataFrame:
     """Paragraphs cut at every content tag; no text is lost on unclosed tags."""
-    tags = "|".join(fv.CONTENT_TAGS)
-    marked = F.regexp_replace(_content(F.col("html")), rf"(?i)</?(?:{tags})(?=[\s/>]){ATTRIBUTES}>", "\u0001")
-    broken = F.regexp_replace(marked, rf"(?i)<br(?=[\s/>]){ATTRIBUTES}>", " ")
-    blocks = F.transform(F.split(F.regexp_replace(broken, TAG, ""), "\u0001"), lambda b: collapse(unescape(b)))
-    kept = F.filter(blocks, lambda b: F.length(b) >= fv.MIN_PARAGRAPH_CHARS)
-    return pages.select("page_id", "url", F.posexplode(kept).alias("pos", "paragraph"))
-
-
-class _Events(HTMLParser):
-    """Flat list of ``(kind, value, classes)`` for the walkers below."""
-
-    def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.events: list[tuple[str, str, tuple[str, ...]]] = []
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        classes = next((value for name, value in reversed(attrs) if name == "class"), None)
-        self.events.append(("open", tag, tuple((classes or "").split())))
-
-    def handle_endtag(self, tag):
-        self.events.append(("close", tag, ()))
-
-    def handle_data(self, data):
-        self.events.append(("text", data, ()))
-
-
-def walk_paragraphs(html: str) -> Iterator[str]:
-    """Paragraph texts by nesting depth: text is given out when the outermost content tag closes."""
-    content, skipped, parts = 0, 0, []
-    for kind, value, _ in _Events(html).events:
-        if kind == "text":
-            if content and not skipped:
-                parts.append(value)
-            continue
-        step = 1 if kind == "open" else -1
-        if value in fv.SKIPPED_TAGS:
-            skipped = max(skipped + step, 0)
-        elif value in fv.CONTENT_TAGS:
-            was, content = content, max(content + step, 0)
-            if was and not content:
-                text = re.sub(r"\s+", " ", "".join(parts)).strip()
-                parts = []
-                if len(text) >= fv.MIN_PARAGRAPH_CHARS:
-                    yield text
-        elif value == "br" and kind == "open" and content:
-            parts.append(" ")
-
-
-def walk_class_texts(html: str, class_name: str) -> Iterator[str]:
-    """Text of every element with the class; block tags break lines."""
-    depth, skipped, parts = 0, 0, []
-    for kind, value, classes in _Events(html).events:
-        void = value in fv.VOID_TAGS
-        if kind == "text":
-            if depth and not skipped:
-                parts.append(value)
-        elif not depth:
-            depth = int(kind == "open" and not void and class_name in classes)
-        elif kind == "open":
-            skipped += value in fv.CLASS_SKIPPED_TAGS
-            parts += ["\n"] if value == "br" or value in fv.BLOCK_TAGS else []
-            depth += not void
-        elif not void:
-            skipped = max(skipped - (value in fv.CLASS_SKIPPED_TAGS), 0)
-            parts += ["\n"] if value in fv.BLOCK_TAGS else []
-            depth -= 1
-            if not depth:
-                joined = re.sub(r"[ \t\r\f\v]+", " ", "".join(parts))
-                lines = re.sub(r"\n\s*\n+", "\n", joined).strip()
-                parts = []
-                if lines:
-                    yield "\n".join(line.strip() for line in lines.splitlines())
-
-
-def _walked(pages: DataFrame, walker, column: str) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (page_id, url, pos, text)
-                for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"])
-                for pos, text in enumerate(walker(html or ""))
-            ]
-            yield pd.DataFrame(out, columns=["page_id", "url", "pos", column])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(rows, f"page_id {kind}, url string, pos int, {column} string")
+    cut = lambda t: F.when(t["kind"] == "text", t["text"]).when(t["name"].isin(fv.CONTENT_TAGS), "\u0001").when(t["name"] == "br", " ").otherwise("")
+    texts = _page_texts(F.col("html"), _always, fv.SKIPPED_TAGS, cut, whole=True, gap=" ")
+    return _long_ones(pages, F.split(F.array_join(texts, ""), "\u0001"))
 
 
 def depth_paragraphs(pages: DataFrame) -> DataFrame:
     """Paragraphs by nesting depth; an unclosed content tag swallows the rest of its page."""
-    return _walked(pages, walk_paragraphs, "paragraph")
+
+    def depth(token: Column, before: Column) -> Column:
+        return F.when(token["name"].isin(fv.CONTENT_TAGS), _floor(before + _step(token))).otherwise(before)
+
+    text = lambda t: F.when(t["name"] == "br", " ").otherwise(t["text"])
+    return _long_ones(pages, _page_texts(F.col("html"), depth, fv.SKIPPED_TAGS, text))
+
+
+def _long_ones(pages: DataFrame, texts: Column) -> DataFrame:
+    rows = _held(pages, texts).select("page_id", "url", unescape_each(F.col("texts")).alias("texts"))
+    clean = F.filter(F.transform("texts", collapse), lambda p: F.length(p) >= fv.MIN_PARAGRAPH_CHARS)
+    return rows.select("page_id", "url", F.posexplode(clean).alias("pos", "paragraph"))
 
 
 def paragraphs(pages: DataFrame, mode: str = "depth") -> DataFrame:
@@ -187,8 +218,24 @@ def paragraphs(pages: DataFrame, mode: str = "depth") -> DataFrame:
 
 
 def class_texts(pages: DataFrame, class_name: str) -> DataFrame:
-    """``(page_id, url, pos, text)`` of the elements with a CSS class."""
-    return _walked(pages, lambda html: walk_class_texts(html, class_name), "text")
+    """``(page_id, url, pos, text)`` of the outermost elements with a CSS class; block tags break lines."""
+
+    def depth(token: Column, before: Column) -> Column:
+        counted = ~token["name"].isin(fv.VOID_TAGS)
+        enters = (token["kind"] == "open") & F.array_contains(token["classes"], class_name)
+        return F.when(~counted, before).when(before > 0, _floor(before + _step(token))).when(enters, 1).otherwise(0)
+
+    breaks = ["br", *fv.BLOCK_TAGS]
+    text = lambda t: F.when(t["name"].isin(breaks), "\n").otherwise(t["text"])
+    rows = _held(pages, _page_texts(F.col("html"), depth, fv.CLASS_SKIPPED_TAGS, text, everywhere=False))
+    rows = rows.select("page_id", "url", unescape_each(F.col("texts")).alias("texts"))
+
+    def lines(block: Column) -> Column:
+        flat = F.regexp_replace(block, r"[ \t\r\f\x0B]+", " ")
+        trimmed = F.transform(F.split(flat, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+        return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
+
+    return rows.select("page_id", "url", F.posexplode(F.filter(F.transform("texts", lines), lambda t: t != "")).alias("pos", "text"))
 
 
 def quotes_of(paragraph_rows: DataFrame) -> DataFrame:

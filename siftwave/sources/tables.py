@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import fixed_values as fv
 from ..functions.urls import domain
+from ..session import cut
 
 BOM = "﻿"
 
@@ -145,12 +146,12 @@ def read_sources(spark: SparkSession, path: str, kind: str) -> DataFrame:
         ]
     ).withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     unknown = ~F.col("kind").isin(kinds)
-    bad = [(r["name"], r["kind"]) for r in filled.filter(unknown).select("name", "kind").limit(20).collect()]
+    bad = [(r["name"], r["kind"]) for r in filled.filter(unknown).select("name", "kind").collect()]
     if bad:
         raise TableError(f"unknown source kind: {', '.join(sorted({k for _, k in bad}))}")
     if not intel:
         open_sets = filled.filter((F.col("kind") == "csv_dataset") & (F.col("license") == ""))
-        unlicensed = [r["name"] for r in open_sets.select("name").limit(20).collect()]
+        unlicensed = [r["name"] for r in open_sets.select("name").collect()]
         if unlicensed:
             raise TableError(f"public datasets need a license: {', '.join(unlicensed)}")
     return filled.filter("enabled")
@@ -172,34 +173,33 @@ def label_mapped(
 def domain_list(raw: DataFrame) -> DataFrame:
     """Domains of stored list files ``raw(source, source_url, content)``.
 
-    JSON files give strings, list items and the known keys of objects (objects
-    without one are searched further, three levels deep); other files give one
-    entry per line, ``#`` lines left out. First entry per domain, in file order.
+    JSON files give strings, list items and the known keys of objects; objects
+    without one are searched further, to any depth. Other files give one entry per
+    line, ``#`` lines left out. First entry per domain, in file order.
     """
     parsed = raw.select("source", "source_url", "content", F.try_parse_json("content").alias("json"))
     level = parsed.filter("json is not null").select("source", "source_url", F.array(F.lit(0)).alias("ord"), F.col("json").alias("v"))
     found = None
-    for _ in range(4):
+    while True:  # one round per level of nesting
         kinds = level.withColumn("kind", F.schema_of_variant("v"))
         text = kinds.filter("kind = 'STRING'").select("source", "source_url", "ord", F.col("v").cast("string").alias("entry"))
         objects = kinds.filter("kind like 'OBJECT%'")
-        keys = F.array_compact(
-            F.array(*[F.try_variant_get("v", f"$.{k}", "string") for k in fv.JSON_DOMAIN_KEYS])
-        )
-        keyed = objects.withColumn("keys", keys).filter(F.size("keys") > 0)
+        # a key that is there counts, whatever its value; null reads as a word that is no domain
+        present = [F.when(F.try_variant_get("v", f"$.{k}", "variant").isNotNull(), F.coalesce(F.try_variant_get("v", f"$.{k}", "string"), F.lit("None"))) for k in fv.JSON_DOMAIN_KEYS]
+        keyed = objects.withColumn("keys", F.array_compact(F.array(*present)))
         by_key = keyed.select("source", "source_url", "ord", F.posexplode("keys").alias("p", "entry")).select(
             "source", "source_url", F.concat("ord", F.array("p")).alias("ord"), "entry"
         )
         entries = text.unionByName(by_key)
         found = entries if found is None else found.unionByName(entries)
-        deeper = kinds.filter("kind like 'ARRAY%'").select("source", "source_url", "ord", "v").unionByName(
-            objects.filter(F.size(keys) == 0).select("source", "source_url", "ord", "v")
-        )
-        deeper.createOrReplaceTempView("_siftwave_level")
-        level = deeper.sparkSession.sql(
-            "select source, source_url, concat(ord, array(e.pos)) ord, e.value v "
-            "from _siftwave_level, lateral variant_explode(v) e"
+        wide = kinds.filter("kind like 'ARRAY%'").select("source", "source_url", "ord", "v").unionByName(
+            keyed.filter(F.size("keys") == 0).select("source", "source_url", "ord", "v")
         )
+        items = raw.sparkSession.tvf.variant_explode(F.col("v").outer())
+        level = wide.lateralJoin(items.select(F.col("pos").alias("p"), F.col("value").alias("item")))
+        level = cut(level.select("source", "source_url", F.concat("ord", F.array("p")).alias("ord"), F.col("item").alias("v")))
+        if level.isEmpty():
+            break
     lines = parsed.filter("json is null").select("source", "source_url", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("p", "entry"))
     kept = lines.filter(F.col("entry").rlike(r"\S") & ~F.col("entry").rlike(r"^\s*#")).select("source", "source_url", F.array("p").alias("ord"), "entry")
     named = found.unionByName(kept).withColumn("domain", domain(F.col("entry"))).filter("domain is not null")

@@ -60,7 +60,7 @@ def test_suggestions(spark):
     )
     errors = {(r.id, r.error) for r in curation.check_suggestions(asked, waiting).collect()}
     assert errors == {("cand_000009", "unknown_id"), ("cand_000002", "note"), ("cand_000002", "scam_type_without_scam")}
-    done = {r.id: (r.suggested_label, r.suggested_scam_type) for r in curation.apply_suggestions(waiting, asked).collect()}
+    done = {r.id: (r.suggested_label, r.suggested_scam_type) for r in curation.apply_suggestions(waiting, asked.filter("ord < 3")).collect()}
     assert done["cand_000001"] == ("scam", "job_scam")
 
 
@@ -162,3 +162,44 @@ def test_intel_rules(spark):
     rows = spark.createDataFrame([("tpl_000001", text), ("tpl_000002", text + "!"), ("tpl_000003", "khác hẳn nhé")], "id string, text string")
     dup = quality.check_intel_unique(domains, rows).collect()
     assert {(r.key, r.rule) for r in dup} == {("ok-x.vn", "duplicate_domain"), ("tpl_000001", "near_duplicate")}
+
+
+def test_dates(column):
+    from siftwave.plans import quality
+
+    good = ["2026-02-28", "20260228", "2026-W09-6", "2026W096", "2026-W09", "2020-W53-1"]
+    bad = ["2026-0228", "202602-28", "2026-02-30", "2026-W54", "2025-W53-1", "2026-W09-8", "", "2026-2-8"]
+    assert column(quality.is_date, good + bad) == [True] * len(good) + [False] * len(bad)
+
+
+def test_ids_of_any_length(spark):
+    from siftwave.operators import ids
+
+    known = spark.createDataFrame([("msg_1234567890123456789012",), ("msg_x",), ("other_9",)], "id string")
+    assert int(ids.next_number(known, "msg_").first()["next"]) == 1234567890123456789013
+    new = spark.createDataFrame([(1, "a")], "ord int, text string")
+    assert ids.assign_ids(new, known, "msg_", [F.col("ord")]).first()["id"] == "msg_1234567890123456789013"
+
+
+def test_suggestions_and_broken_test_sets_are_refused(spark):
+    import pytest
+
+    from siftwave.plans import split
+
+    waiting = spark.createDataFrame([("c1", "", "", "", "", "")], "id string, suggested_label string, suggested_scam_type string, suggested_channel string, confidence string, note string")
+    asked = spark.createDataFrame([("c1", 1, "perhaps", "", "sms", "low", "a longer note")], "id string, ord int, label string, scam_type string, channel string, confidence string, note string")
+    with pytest.raises(ValueError, match="label"):
+        curation.apply_suggestions(waiting, asked)
+    rows = spark.createDataFrame([("a", "spam", "x"), ("b", "spam", "synthetic")], "id string, label string, source string")
+    with pytest.raises(ValueError, match="synthetic"):
+        split.split(rows, existing_test=rows.filter("id = 'b'"))
+
+
+def test_broken_rows_count_nowhere_else(spark):
+    from siftwave.plans import quality
+
+    cells = {"id": "msg_000001", "text": "xin chao ban", "label": "normal", "scam_type": "", "channel": "sms", "source": "synthetic", "has_url": "false", "collected_at": "2026-01-01", "annotator": "a1"}
+    schema = ", ".join(f"{c} string" for c in cells) + ", _extra boolean, _missing boolean, ord int"
+    rows = spark.createDataFrame([(*cells.values(), True, False, 1), (*cells.values(), False, False, 2)], schema)
+    rules = {r.rule for r in quality.check_dataset(rows.withColumn("source", F.when(F.col("_extra"), "synthetic").otherwise("collected"))).collect()}
+    assert "extra_cells" in rules and not rules & {"duplicate_id", "duplicate_text", "synthetic_share"}

@@ -3,19 +3,21 @@ from pyspark.sql import functions as F
 from siftwave.functions import similarity as sets
 from siftwave.plans import intel, policy
 
-ADDRESS = "Tài khoản của quý khách bị tạm khóa, vui lòng truy cập {} để xác minh trong 24h"
+ADDRESS = "Thẻ của quý khách sắp bị ngừng sử dụng, mời mở {} và xác minh thông tin thẻ hôm nay"
+PARCEL = "Bưu kiện của bạn đang chờ, vui lòng liên hệ Zalo {} rồi nạp tiền để nhận quà ngay"
+POINTS = "Điểm thưởng sắp hết hạn, quý khách vui lòng đăng nhập tài khoản để nhận quà trong hôm nay"
 
 
 def test_template_candidate_rules(column):
     yes = [
-        "Chúc mừng bạn được chọn làm cộng tác viên, kết bạn Zalo <PHONE> để nhận nhiệm vụ",
+        PARCEL.format("<PHONE>"),
         ADDRESS.format("<URL>"),
     ]
     no = [
-        "Người dân tuyệt đối không truy cập các đường link lạ, không cung cấp mã OTP cho ai",
-        "Với thủ đoạn này, nạn nhân được yêu cầu truy cập <URL> và chuyển tiền vào tài khoản",
-        "Chuyển tiền ngay",
-        "Please transfer money to the account now to receive the prize today ok",
+        "Khi nhận tin như vậy, bạn tuyệt đối không chuyển khoản và không mở trang đăng nhập của người lạ",
+        "Bằng thủ đoạn giả danh, đối tượng yêu cầu nạn nhân mở <URL> rồi đăng nhập tài khoản ngân hàng",
+        "Nạp tiền hôm nay",
+        "Kindly log in to your card account today and pay the small fee to get the gift",
         ADDRESS.format("<URL>") + " x" * 300,
     ]
     assert column(intel.is_template_candidate, yes + no) == [True] * 2 + [False] * 5
@@ -51,10 +53,10 @@ def templates(spark, rows):
 
 def test_template_merge_blocks_copies_of_rejected_texts(spark):
     first = ADDRESS.format("abc.vn/x")
-    other = "Chúc mừng bạn được chọn làm cộng tác viên, kết bạn Zalo 0912345678 để nhận nhiệm vụ"
-    offered = [(0, first), (1, first + "!"), (2, other), (3, "ngắn quá"), (4, "Bạn hãy nạp tiền làm nhiệm vụ và nhận hoa hồng mỗi ngày từ hôm nay")]
+    other = PARCEL.format("0987654321")
+    offered = [(0, first), (1, first + "!"), (2, other), (3, "vài chữ"), (4, POINTS)]
     texts = spark.createDataFrame(offered, "ord long, text string").withColumn("source", F.lit("s")).withColumn("source_url", F.lit("u"))
-    old = templates(spark, [("tpl_000007", "Bạn hãy nạp tiền làm nhiệm vụ và nhận hoa hồng mỗi ngày từ hôm nay", "s", "u", "d")])
+    old = templates(spark, [("tpl_000007", POINTS, "s", "u", "d")])
     mask = ADDRESS.format("<URL>")
     rejected = spark.createDataFrame([(mask,)], "text string").select(F.array_join(sets.fingerprint(F.col("text")), " ").alias("fingerprint"))
     new, barred = intel.merge_templates(texts, old, rejected, "2026-01-01")
@@ -68,6 +70,9 @@ def test_rejecting_moves_rows_and_keeps_only_fingerprints(spark):
     asked = spark.createDataFrame([(" A.vn ", "trang chính chủ"), ("c.vn", "không có trong bảng"), ("b.vn", "ngắn")], "domain string, reason string")
     kept, moved, errors = intel.reject_domains(active, gone, asked, "2026-01-01")
     assert [r.domain for r in kept.collect()] == ["b.vn"] and [r.domain for r in moved.collect()] == ["a.vn"]
+    blank = spark.createDataFrame([("a.vn", "\t\t\t\tok\u00a0\t\t\t\t\t")], "domain string, reason string")
+    assert [r.error for r in intel.reject_domains(active, gone, blank, "2026-01-01")[2].collect()] == ["reason_too_short"]
+
     assert {(r.domain, r.error) for r in errors.collect()} == {("c.vn", "unknown_domain"), ("b.vn", "reason_too_short")}
     rows = templates(spark, [("tpl_000001", "một hai ba bốn", "s", "u", "d"), ("tpl_000002", "năm sáu", "s", "u", "d")])
     none = spark.createDataFrame([], "fingerprint string, reason string, rejected_at string")
@@ -76,6 +81,14 @@ def test_rejecting_moves_rows_and_keeps_only_fingerprints(spark):
     assert [r.id for r in kept.collect()] == ["tpl_000002"] and len(moved.first().fingerprint.split()) == 2 and errors.count() == 0
 
 
+def test_sources_in_one_place_add_a_domain_once(spark):
+    seen = spark.createDataFrame([("s2", 5, 1, "n.vn"), ("s1", 5, 2, "n.vn")], "source string, source_ord int, ord int, domain string").withColumn("source_url", F.lit("u")).withColumn("evidence", F.lit("e"))
+    none = spark.createDataFrame([], "domain string, source string, source_url string, first_seen string, evidence string")
+    table, new, counters = intel.merge_domains(seen, none, none.select("domain"), none.select("domain"), "2026-01-01")
+    assert [(r.domain, r.source) for r in table.collect()] == [("n.vn", "s1")] and counters.first().new_domains == 1
+
+
+
 def test_robots_policy(spark):
     files = {
         "open": "User-agent: *\nDisallow: /\n",

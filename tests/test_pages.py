@@ -71,11 +71,35 @@ def test_feeds(spark, tmp_path):
 
 
 def test_domain_lists(spark):
-    content = '[{"url": "https://www.a-b.vip/x"}, {"domain": "C.online", "link": "d.top"}, "e.click", {"note": "khong co"}, {"deep": {"website": "f.vn"}}]'
-    lines = "# ghi chu\n\n g.vn \nxau\n"
-    rows = spark.createDataFrame([("j", "u", content), ("t", "v", lines)], "source string, source_url string, content string")
+    content = '["Q1.shop", {"website": "http://q2.live/?a=1", "count": 3}, [["q3.icu"]], {"lists": {"bad": {"link": "q4.top", "url": "q5.top"}}}, 7, true]'
+    lines = "q6.vn\n   # not.a.domain\n\t\nno domain here\nhttps://q7.site/x\n"
+    deep = "[" * 8 + '"q8.com"' + "]" * 8
+    nested = '{"a":' * 6 + '{"domain": "q9.com"}' + "}" * 6
+    null = '{"domain": null, "more": {"url": "q10.com"}}'
+    rows = spark.createDataFrame([("j", "u", content), ("t", "v", lines), ("d", "w", deep), ("n", "x", nested), ("0", "y", null)], "source string, source_url string, content string")
     out = {(r.source, r.domain) for r in tables.domain_list(rows).collect()}
-    assert out == {("j", d) for d in ("a-b.vip", "c.online", "d.top", "e.click", "f.vn")} | {("t", "g.vn")}
+    assert out == {("j", d) for d in ("q1.shop", "q2.live", "q3.icu", "q4.top", "q5.top")} | {("t", "q6.vn"), ("t", "q7.site"), ("d", "q8.com"), ("n", "q9.com")}
+
+
+def test_nested_and_self_closed_elements(spark):
+    text = lambda h: html.page_text(page(spark, h)).first().text
+    assert text("<nav>a<nav>b</nav>c</nav>d") == "d"
+    assert text("<p>a</p><svg/><p>b</p>") == "a b"
+    assert text("x<script/>y<script>z</script>") == "x y"
+    assert text("&check; &NotEqual; &copy2026 &#x80; &amp;lt;") == "✓ ≠ ©2026 € &lt;"
+    depth = lambda h: [r.paragraph for r in html.paragraphs(page(spark, h), "depth").collect()]
+    assert depth("<li>outer text that is long<p>inner text that is long</p> and more</li>tail") == ["outer text that is longinner text that is long and more"]
+    assert depth("</p><p>one paragraph that is long</p>") == ["one paragraph that is long"]
+    assert depth("<nav><p>menu text that is long enough</nav> then </p><p>shown text that is long</p>") == ["shown text that is long"]
+    inner = html.class_texts(page(spark, '<div class="k">a<div class="k">b</div><img>c</div><p class="k x">d<svg>e</svg></p><i class="k">open'), "k").collect()
+    assert [(r.pos, r.text) for r in inner] == [(0, "a\nb\nc"), (1, "d")]
+
+
+def test_links_with_many_steps_up(spark):
+    base = "https://a.vn/1/2/3/4/x?y#z"
+    pairs = {"../" * 12 + "y": "https://a.vn/y", "../../../../../z": "https://a.vn/z", "./b/../c": "https://a.vn/1/2/3/4/c", "..": "https://a.vn/1/2/3/", "/q/./r/../s?t=../u": "https://a.vn/q/s?t=../u", "//b.vn/../c": "https://b.vn/../c", "d//e": "https://a.vn/1/2/3/4/d/e"}
+    anchors = "".join(f'<a href="{k}">x</a>' for k in pairs)
+    assert [r.link for r in html.page_links(page(spark, anchors, base)).orderBy("pos").collect()] == list(pairs.values())
 
 
 def test_article_links_cut_in_two_orders(spark):
