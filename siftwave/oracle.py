@@ -558,4 +558,4 @@ ORACLE["template_findings"] = f"""SELECT 'scam_templates' AS "table", printf('tp
 UNION ALL SELECT 'scam_templates', printf('tpl_%06d', item_id), 'not_normalized', 'error', '' FROM benchmark WHERE {norm('text')} <> text"""
 ORACLE["page_ads"] = f"""SELECT page_id, 0 AS pos, trim(regexp_replace({decoded("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")}, '[ \\t\\r]+', ' ', 'g')) AS text FROM pages
 WHERE regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) <> ''"""
-ORACLE["stream_over_limit"] = ORACLE["requests_over_limit"] + " AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)"
+ORACLE["stream_over_limit"] = ORACLE["requests_over_limit"]

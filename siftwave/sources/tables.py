@@ -98,6 +98,7 @@ def read_dataset(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     raw = (
         spark.read.schema(shape)
         .option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        .option("columnPruning", False)  # a row's shape shows only if all its cells are parsed
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_row").option("emptyValue", "").option("nullValue", "\u0000")
         .csv(path)
     )

@@ -39,8 +39,8 @@ def load_intel(spark: SparkSession, folder: str, fmt: str = "csv") -> Intel:
     )
 
 
-def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
@@ -79,6 +79,34 @@ def limit_stream(stream: DataFrame, limit: int = fv.REQUESTS_PER_WINDOW, window:
     return over_limit(stream.withWatermark("ts", lateness), limit, window)
 
 
+def start_limits(
+    stream: DataFrame,
+    sink: str,
+    checkpoint: str,
+    limit: int = fv.REQUESTS_PER_WINDOW,
+    window: str = "60 seconds",
+    lateness: str = LATENESS,
+    once: bool = False,
+    every: str = "5 seconds",
+) -> StreamingQuery:
+    """Windows above the limit as soon as they are, the open ones too.
+
+    Every batch writes the windows it changed to a folder of its own;
+    ``limits_now`` takes the last state of each.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _start(limit_stream(stream, limit, window, lateness), work, checkpoint, once, every, "update")
+
+
+def limits_now(spark: SparkSession, sink: str) -> DataFrame:
+    """``(client, window_start, requests, refused)``: counts only grow, so the largest is the last."""
+    rows = spark.read.parquet(sink)
+    return rows.groupBy("client", "window_start").agg(F.max("requests").alias("requests"), F.max("refused").alias("refused"))
+
+
 def start_intake(stream: DataFrame, table: str, checkpoint: str, once: bool = False, every: str = "10 seconds") -> StreamingQuery:
     """Accepted reports appended to the report table, one folder per day."""
     rows = submit_reports(stream).withColumn("day", F.to_date("created_at"))

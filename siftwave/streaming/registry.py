@@ -57,8 +57,9 @@ def stream_first_texts(spark, d):
 @query
 def stream_over_limit(spark, d):
     stream = _event_stream(spark, d).select(F.col("user_id").alias("client"), "ts")
-    out = _collected(jobs.limit_stream(stream, 3, "1 day", "0 seconds"), spark, "limit")
-    return out.select("client", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "refused")
+    folder = _scratch(spark, "limit")
+    jobs.start_limits(stream, f"{folder}/rows", f"{folder}/state", 3, "1 day", "40 days", once=True).awaitTermination()
+    return jobs.limits_now(spark, f"{folder}/rows").select("client", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "refused")
 
 
 @query
