@@ -102,8 +102,9 @@ def read_dataset(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_row").option("emptyValue", "").option("nullValue", "\u0000")
         .csv(path)
     )
-    # a malformed row keeps its text; the last header cell tells short rows from long ones
-    short = F.col("_row").isNotNull() & F.col(f"`{header[-1]}`").isNull()
+    # a malformed row keeps its text, and with it the number of its cells
+    cells = F.regexp_count(F.regexp_replace("_row", r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+    short = F.coalesce(cells < len(header), F.lit(False))
     rows = raw.select(
         *header,
         (F.col("_row").isNotNull() & ~short).alias("_extra"),
