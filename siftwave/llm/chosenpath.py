@@ -43,12 +43,12 @@ SHINGLE = 5
 JACCARD = 0.8
 RECALL = 0.995
 SPLIT = 0.6
-SMALL = 64
+SMALL = 512
 BLOCK = 512
 ALIKE = 0.5  # mean similarity from which a large node isn't split any more
 UNLIKE = 0.43  # similarity of the sets that longer paths are to part
 MATES = 1024
-SKETCH = 64  # 16-bit minima
+SKETCH = 64  # minima, one byte of each
 DOUBT = 4.0  # standard deviations of a sketch below the threshold that are still compared exactly
 UNIT_BYTES = 6 << 20  # text of a shard of exact comparisons
 
@@ -96,13 +96,13 @@ def first_nodes(h: np.ndarray, count: np.ndarray, runs: int, split: float = SPLI
 
 
 def sketches(row: np.ndarray, h: np.ndarray, count: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """``(rows, size)`` low 16 bits of min-hashes; rows without shingles are zero."""
-    out = np.zeros((len(count), size), np.uint16)
+    """``(rows, size)`` low bytes of min-hashes; rows without shingles are zero."""
+    out = np.zeros((len(count), size), np.uint8)
     full = np.flatnonzero(count)
     if len(full):
         starts = np.concatenate([[0], np.cumsum(count)])[:-1][full]
         for i, factor in enumerate(mix(np.arange(1, size + 1, dtype=U64) * U64(77)) | U64(1)):
-            out[full, i] = (mix(np.minimum.reduceat(h * factor, starts)) & U64(0xFFFF)).astype(np.uint16)
+            out[full, i] = (mix(np.minimum.reduceat(h * factor, starts)) & U64(0xFF)).astype(np.uint8)
     return out
 
 
@@ -122,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = sketches(row, h, count)[some]
             fixed = lambda a, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(a), [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [keys.slice(i, j - i).take(pa.array(some)), fixed(digest, 16), pa.array(count[some].astype(np.int64)), fixed(sketch, 2 * SKETCH)], names=["key", "digest", "size", "sketch"]
+                [keys.slice(i, j - i).take(pa.array(some)), fixed(digest, 16), pa.array(count[some].astype(np.int64)), fixed(sketch, SKETCH)], names=["key", "digest", "size", "sketch"]
             )
 
 
@@ -142,11 +142,11 @@ def _may_be_near(threshold: float):
     least = threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / SKETCH)
 
     def compare(rows: pa.Table):
-        every = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+        every = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
 
         def links_of(own: np.ndarray) -> np.ndarray:
             s = every[own]
-            if len(own) <= SMALL:
+            if len(own) <= 32:
                 return (s[:, None, :] == s[None, :, :]).sum(axis=2, dtype=np.uint8) >= least * SKETCH
             same = np.zeros((len(own), len(own)), np.uint8)
             for i in range(SKETCH):
@@ -220,7 +220,7 @@ def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> D
     sizes = stored(_sizes(nodes), "sizes")
     large = sizes.filter(F.col("size") > SMALL)
     inside = stored(nodes.join(large.select("node"), "node"), "inside")
-    alike = stored(_alike(inside.join(known, "key")), "alike")
+    alike = stored(_alike(inside, known), "alike")
     ready = sizes.filter(F.col("size") <= SMALL).unionByName(large.join(alike, "node", "left_semi"))
     met = nodes.join(ready, "node").select("key", "node", "size")
     split = stored(inside.join(alike, "node", "left_anti").select("key").distinct(), "split")
@@ -242,13 +242,14 @@ def _paths(sketch: Column, runs: int, length: int) -> Column:
     """End nodes of ``runs`` paths; each step takes a set's smallest shingle under one of the sketch's hashes."""
     random = np.random.default_rng(29)
     steps = [random.choice(SKETCH, length, replace=False).tolist() for _ in range(runs)]
-    return F.array(*[F.xxhash64(F.lit(i), *[F.substring(sketch, 2 * place + 1, 2) for place in places]) for i, places in enumerate(steps)])
+    return F.array(*[F.xxhash64(F.lit(i), *[F.substring(sketch, place + 1, 1) for place in places]) for i, places in enumerate(steps)])
 
 
-def _alike(inside: DataFrame) -> DataFrame:
+def _alike(inside: DataFrame, known: DataFrame) -> DataFrame:
     """Nodes whose sets, drawn two at a time, agree in a sketch's places more often than ``ALIKE``."""
-    places = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("sketch", 2 * i + 1, 2).alias("value")) for i in range(0, SKETCH, SKETCH // 8)])
-    values = inside.select("node", F.explode(places).alias("at")).groupBy("node", "at").agg(F.count("*").alias("n"))
+    few = known.select("key", F.concat(*[F.substring("sketch", i + 1, 1) for i in range(0, SKETCH, SKETCH // 8)]).alias("few"))
+    places = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("few", i + 1, 1).alias("value")) for i in range(8)])
+    values = inside.join(few, "key").select("node", F.explode(places).alias("at")).groupBy("node", "at").agg(F.count("*").alias("n"))
     share = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n") / F.lit(8))
     return values.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= ALIKE).select("node")
 
