@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import suffixes
+from ..session import cut
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
-HOT_ROWS = 100_000  # groups above this size may be salted
-HOT_GROUPS = 10_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows; the probe stops there."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the table has at most ``max_rows`` rows and ``max_bytes`` bytes; the probe stops at the rows."""
+    size = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
+        elif kind in ("array<bigint>", "array<int>", "array<double>"):
+            size = size + 8 * F.greatest(F.size(f"`{name}`"), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + F.coalesce(F.octet_length(F.to_json(f"`{name}`")), F.lit(0))
+    rows = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return rows["n"] <= max_rows and rows["size"] <= max_bytes
 
 
 def lookup_join(
@@ -36,7 +45,7 @@ def lookup_join(
         raise ValueError(f"join type {how} cannot repeat the right side")
     if is_small(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c in _atomic(left)]), F.lit(salts)))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(left)]), F.lit(salts)))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
@@ -44,24 +53,16 @@ def lookup_join(
 def join_groups(left: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """Join rows with an aggregate of themselves, ``count`` being the rows per group.
 
-    The largest groups (at most ``HOT_GROUPS`` of them, a bounded broadcast) are
-    salted on both sides, so no group is read by one task alone. Other groups take
-    the plain shuffle join. The aggregate is shuffled once and read twice.
+    The aggregate is written first. The join then reads two plain shuffles, whose
+    partitions Spark splits at run time where a group is hot, whatever the number of
+    such groups.
     """
-    hot = groups.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count), *keys).limit(HOT_GROUPS)
-    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    zero, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c in _atomic(left)]), F.lit(SALTS))
-    a = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(zero)).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
-    b = groups.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
-
-
-def _atomic(df: DataFrame) -> set[str]:
-    """Columns cheap enough to hash for a salt."""
-    kinds = ("bigint", "int", "string", "double", "boolean", "date", "timestamp")
-    return {name for name, kind in df.dtypes if kind in kinds}
+    return left.join(cut(groups), keys, how)
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed for a salt."""
+    return [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
 
 
 def domain_set(domains: DataFrame, column: str = "domain") -> DataFrame:

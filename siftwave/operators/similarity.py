@@ -15,7 +15,6 @@ from ..functions import fixed_values as fv
 from ..session import cut
 from .joins import BROADCAST_ROWS, is_small, join_groups, lookup_join
 
-HOT_TOKENS = 100_000  # most frequent tokens kept for the token order: the bound of a broadcast
 BUCKET_LIMIT = 64  # larger buckets take the bucket-minimum route of greedy_dedup
 SALTS = 16
 SALT_ABOVE = 1_000  # tokens seen more often than this are salted
@@ -27,10 +26,13 @@ def prefix_size(n: Column, threshold: float) -> Column:
     return (n - needed + 1).cast("int")
 
 
-def frequent_tokens(tokens: DataFrame, column: str) -> DataFrame:
-    """The most frequent tokens with their counts, at most ``HOT_TOKENS`` rows."""
-    counts = tokens.groupBy(column).agg(F.count("*").alias("df")).filter("df > 1")
-    return counts.orderBy(F.desc("df"), column).limit(HOT_TOKENS)
+def repeated_tokens(tokens: DataFrame, column: str) -> DataFrame:
+    """All tokens that occur more than once, with their counts, written once.
+
+    As a table of its own it can meet the tokens in any way the planner finds best:
+    broadcast if its size allows, else a join whose hot keys are split at run time.
+    """
+    return cut(tokens.groupBy(column).agg(F.count("*").alias("df")).filter("df > 1"))
 
 
 def template_index(templates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def template_index(templates: DataFrame, threshold: float) -> tuple[DataFrame, D
     sets = cut(sets)
     tokens = sets.select("tpl_id", "tpl_size", F.explode("tpl_shingles").alias("shingle"))
     ordered = (
-        tokens.join(F.broadcast(frequent_tokens(tokens, "shingle")), "shingle", "left")
+        tokens.join(repeated_tokens(tokens, "shingle"), "shingle", "left")
         .groupBy("tpl_id", "tpl_size")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle"))).alias("ordered"))
     )
@@ -77,7 +79,7 @@ def template_matches(
     shared = F.size(F.array_intersect("tpl_shingles", "msg_shingles"))
     score = (shared / F.col("tpl_size")).alias("coverage")
     reached = F.col("coverage") >= threshold
-    if is_small(prefixes, max_index_rows):
+    if is_small(prefixes, max_index_rows) and is_small(sets, max_index_rows):
         probes = whole.select("msg_id", "msg_shingles", F.explode("msg_shingles").alias("shingle"))
         found = probes.join(F.broadcast(prefixes), "shingle").join(F.broadcast(sets), "tpl_id")
         scored = found.select("msg_id", "tpl_id", score).filter(reached)
@@ -137,13 +139,11 @@ def distinct_sets(df: DataFrame) -> DataFrame:
 def prefix_tokens(sets: DataFrame, threshold: float) -> DataFrame:
     """``(token, df, id, n, pos)``: prefix tokens of each set, rare tokens first.
 
-    The token order is (how often it occurs if it is among the most frequent, its
-    hash). Any fixed order keeps the join exact; this one keeps frequent tokens
-    out of the prefixes and needs only a bounded table of frequent tokens.
+    The token order is (how often it occurs, its hash). Any fixed order keeps the join
+    exact; this one keeps frequent tokens out of the prefixes.
     """
     tokens = sets.select("id", F.explode("h").alias("token"))
-    frequent = F.broadcast(frequent_tokens(tokens, "token"))
-    ranked = tokens.join(frequent, "token", "left").groupBy("id").agg(
+    ranked = tokens.join(repeated_tokens(tokens, "token"), "token", "left").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ordered")
     )
     n = F.size("ordered")
@@ -226,7 +226,7 @@ def fingerprint_matches(
     alike = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-6)  # sizes first: cheap
     # shared / (n + m - shared) >= threshold, solved for shared so that the sets meet once
     near = alike & (F.size(F.array_intersect("own_fp", "known_fp")) * F.lit(1 + threshold) >= (n + m) * F.lit(threshold) - F.lit(1e-9))
-    if is_small(index, max_index_rows):
+    if is_small(index, max_index_rows) and is_small(targets, max_index_rows):
         probes = own.select("id", "own_fp", F.explode(prefix(F.col("own_fp"))).alias("token"))
         found = probes.join(F.broadcast(index), "token").join(F.broadcast(targets), "known_id")
         return found.filter(near).select("id").distinct()

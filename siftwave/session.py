@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: the rows are written once to the shared folder, as Parquet, and read back.
+
+    Later steps read only the columns they need. Rows of a type that Parquet files
+    don't hold are checkpointed instead.
+    """
+    folder = shared_folder(df.sparkSession)
+    if any("variant" in kind or "void" in kind for _, kind in df.dtypes):
+        return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -114,10 +114,9 @@ def test_known_sets_match_on_both_paths(spark):
         assert {r.id for r in out.collect()} == expected
 
 
-def test_join_groups_salts_hot_groups(spark, monkeypatch):
+def test_join_groups_keeps_all_rows_of_a_hot_group(spark):
     from siftwave.operators import joins
 
-    monkeypatch.setattr(joins, "HOT_ROWS", 50)
     rows = spark.range(600).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"))
     groups = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     out = joins.join_groups(rows, groups, ["key"], "n")
