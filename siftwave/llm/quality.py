@@ -123,11 +123,13 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         flat = np.concatenate(x).ravel() if x else np.zeros(0)
         return pa.FixedSizeListArray.from_arrays(pa.array(flat), len(FEATURES)).cast(pa.list_(pa.float64()))
 
-    got = rows.select("label", F.arrow_udf(run, "array<double>")("body").alias("x")).orderBy("x", "label").toArrow().combine_chunks()  # `bound` rows
+    got = rows.select("label", F.arrow_udf(run, "array<double>")("body").alias("x")).toArrow().combine_chunks()  # `bound` rows
     if not len(got):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
-    return x, np.asarray(got.column("label").combine_chunks()).astype(float)
+    label = np.asarray(got.column("label").combine_chunks()).astype(float)
+    order = np.lexsort([label, *x.T])  # sums in one order, so that a fit can be repeated
+    return x[order], label[order]
 
 
 def _strength(sites: DataFrame, mean: float) -> float:
