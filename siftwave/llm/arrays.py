@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20  # text handled at once: bounds the memory of one call, not the text that is read
+CHUNK_BYTES = 1 << 20  # text handled at once: bounds the memory of one call, not the text that is read
 BASE = 0x9E3779B97F4A7C15
 SPACE_BYTES = [0x20, *range(0x09, 0x0E)]
 

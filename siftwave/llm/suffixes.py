@@ -35,7 +35,7 @@ from .tables import packed, stored, unpacked
 WINDOW = 13
 SHARE = 20
 BENCHMARK_BYTES = 32 << 20  # benchmark text broadcast at once
-HITS = "struct<n_words:bigint,starts:array<bigint>,lengths:array<bigint>,items:array<string>>"
+HITS = "struct<n_words:bigint,n_hit:bigint,starts:array<bigint>,lengths:array<bigint>,items:array<string>>"
 
 
 @dataclass
@@ -125,7 +125,7 @@ def shard_hits(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarra
 def _hits(tests):
     def run(body: pa.Array) -> pa.Array:
         index = tests.value
-        n_words, counts, starts, lengths, item_counts, items = [], [], [], [], [], []
+        n_words, n_hit, counts, starts, lengths, item_counts, items = [], [], [], [], [], [], []
         for i, j, data, offsets in pieces(body):
             words = Words(lower_ascii(data), offsets, alnum_words())
             word, length, test = shard_hits(words, index)
@@ -134,6 +134,7 @@ def _hits(tests):
             first = np.ones(len(word), bool)
             first[1:] = word[1:] != word[:-1]
             n_words.append(words.count)
+            n_hit.append(np.bincount(words.row[covered(len(words), word, word + length)], minlength=j - i))
             counts.append(np.bincount(row[first], minlength=j - i))
             starts.append(word[first] - words.first[row[first]])
             lengths.append(length[first])
@@ -145,11 +146,12 @@ def _hits(tests):
         return pa.StructArray.from_arrays(
             [
                 pa.array(cat(n_words)),
+                pa.array(cat(n_hit)),
                 pa.ListArray.from_arrays(ends(counts), pa.array(cat(starts))),
                 pa.ListArray.from_arrays(ends(counts), pa.array(cat(lengths))),
                 pa.ListArray.from_arrays(ends(item_counts), pa.array(items, pa.string())),
             ],
-            names=["n_words", "starts", "lengths", "items"],
+            names=["n_words", "n_hit", "starts", "lengths", "items"],
         )
 
     return F.arrow_udf(run, HITS)
@@ -194,7 +196,7 @@ def judge_contamination(
     blocks = _blocks(docs.sparkSession, benchmark, item_col, item_text, window, max_bytes)
     texts = packed(docs, id_col, text_col).select("row", "body")
     if len(blocks) == 1:
-        found = texts.select("row", _hits(blocks[0])(F.col("body")).alias("h")).select("row", "h.*")
+        judged = texts.select("row", _hits(blocks[0])(F.col("body")).alias("h")).select("row", "h.n_words", "h.n_hit", "h.items")
     else:  # one pass of the texts for each block; hits meet by the digest of the text
         keyed = texts.withColumn("digest", F.sha2(F.coalesce("body", F.lit("")), 256))
         parts = [stored(keyed.select("digest", _hits(b)(F.col("body")).alias("h")).select("digest", "h.*").distinct(), "hits") for b in blocks]
@@ -205,7 +207,7 @@ def judge_contamination(
             F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"), F.flatten(F.collect_list("items")).alias("items")
         )
         found = keyed.select("row", "digest").join(merged, "digest").drop("digest")
-    judged = found.withColumn("n_hit", F.arrow_udf(_hit_words, "bigint")("n_words", "starts", "lengths"))
+        judged = found.withColumn("n_hit", F.arrow_udf(_hit_words, "bigint")("n_words", "starts", "lengths"))
     return judged.select(
         "row", "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated")
     )

@@ -12,7 +12,7 @@ import numpy as np
 
 from .arrays import U64, byte_values, prefix_sums, span_hash, spread
 
-KNOWN_PIECES = 1_500_000  # pieces a worker remembers before it starts afresh
+KNOWN_PIECES = 500_000  # pieces a worker remembers before it starts afresh
 
 _encoders: dict[str, Encoder] = {}
 
