@@ -108,7 +108,25 @@ def test_packing_round_trip(spark):
 
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("a.org/fr/", "block"), ("a.org/fr/", "allow"), (None, "block")]
-URLS = ["http://x.example.net/en/1?q#f", "HTTP://EXAMPLE.NET/en", "https://a.net", "https://a.net/", "https://a.org/fr/x", "http://b.org/fr/", "http://borg/fr/", "ftp://example.com/de/://x", "no scheme", None, "://", "http://é.com/de/", "http://example.com/de/?#", "http://sub.example.com/de/x", "http://example.com.net/en/", "x://net?/", "http://a.org:80/fr/"]
+URLS = [
+    "http://x.example.net/en/1?q#f",
+    "HTTP://EXAMPLE.NET/en",
+    "https://a.net",
+    "https://a.net/",
+    "https://a.org/fr/x",
+    "http://b.org/fr/",
+    "http://borg/fr/",
+    "ftp://example.com/de/://x",
+    "no scheme",
+    None,
+    "://",
+    "http://é.com/de/",
+    "http://example.com/de/?#",
+    "http://sub.example.com/de/x",
+    "http://example.com.net/en/",
+    "x://net?/",
+    "http://a.org:80/fr/",
+]
 
 
 def rule_of(url):
