@@ -12,7 +12,7 @@ from .functions import fixed_values as fv
 from .functions import text
 from .operators import joins
 from .plans import evaluate, intel, quality, scoring, split
-from .registry import documents, french_domains, junk_domains, labelled, link_messages, load, page_domains, pages, query
+from .registry import documents, french_domains, junk_domains, labelled, link_messages, load, page_domains, query
 from .session import shared_folder
 from .sources import tables
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scoring import Intel
-from ..registry import events, french_domains, junk_domains, query, variant
+from ..registry import french_domains, junk_domains, query, variant
 from ..session import shared_folder
 from . import jobs
 

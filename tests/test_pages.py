@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from siftwave.plans import intel
 from siftwave.sources import feeds, html, tables
 
