@@ -48,6 +48,7 @@ BLOCK = 512
 ALIKE = 0.5  # mean similarity from which a large node isn't split any more
 UNLIKE = 0.43  # similarity of the sets that longer paths are to part
 MATES = 1024
+PLACES = 4  # of a sketch that are asked for a node's mean similarity
 SKETCH = 64  # minima, one byte of each
 DOUBT = 4.0  # standard deviations of a sketch below the threshold that are still compared exactly
 UNIT_BYTES = 6 << 20  # text of a shard of exact comparisons
@@ -247,10 +248,10 @@ def _paths(sketch: Column, runs: int, length: int) -> Column:
 
 def _alike(inside: DataFrame, known: DataFrame) -> DataFrame:
     """Nodes whose sets, drawn two at a time, agree in a sketch's places more often than ``ALIKE``."""
-    few = known.select("key", F.concat(*[F.substring("sketch", i + 1, 1) for i in range(0, SKETCH, SKETCH // 8)]).alias("few"))
-    places = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("few", i + 1, 1).alias("value")) for i in range(8)])
+    few = known.select("key", F.concat(*[F.substring("sketch", i + 1, 1) for i in range(0, SKETCH, SKETCH // PLACES)]).alias("few"))
+    places = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("few", i + 1, 1).alias("value")) for i in range(PLACES)])
     values = inside.join(few, "key").select("node", F.explode(places).alias("at")).groupBy("node", "at").agg(F.count("*").alias("n"))
-    share = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n") / F.lit(8))
+    share = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n") / F.lit(PLACES))
     return values.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= ALIKE).select("node")
 
 
