@@ -7,10 +7,10 @@ all sets; a node hands a set on to the children named by the shingles that the s
 shared shingles and meet in a child. Children with at most ``SMALL`` sets, and larger
 ones whose sets are alike on average, are compared by brute force. The sets of the
 other ones (one passage in very many texts makes them) are split on by paths of
-several choices at once, each the set's smallest shingle under the node; the paths
-are the longer the more sets there are. A pair's chance to meet in one run is known
-for both steps, so the numbers of runs follow from the target recall at the
-threshold.
+several choices at once, each the set's smallest shingle under a hash that only this
+step of this run uses; the paths are the longer the more sets there are. A pair's
+chance to meet in one run is known for both steps and no two runs share a draw, so
+the numbers of runs follow from the target recall at the threshold.
 
 Brute force in a node compares short min-hash sketches and keeps a spanning forest
 of what may be similar; within such a component all texts meet once, again in
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, lower_ascii, mix, pieces, prefix_sums, space_words, span_hash
@@ -48,6 +48,8 @@ BLOCK = 512
 ALIKE = 0.5  # mean similarity from which a large node isn't split any more
 UNLIKE = 0.43  # similarity of the sets that longer paths are to part
 MATES = 1024
+LONGEST = 16  # choices of a path
+FIRST_SHARE = 0.75  # of the pairs that may be missed, at most so many in the first step
 PLACES = 4  # of a sketch that are asked for a node's mean similarity
 SKETCH = 64  # minima, one byte of each
 DOUBT = 4.0  # standard deviations of a sketch below the threshold that are still compared exactly
@@ -80,7 +82,15 @@ def first_meeting(jaccard: float, split: float = SPLIT) -> float:
 
 def path_length(sets: int) -> int:
     """Choices after which about ``MATES`` of so many half-alike sets are still together."""
-    return min(SKETCH // 4, max(2, math.ceil(math.log(max(1.0, sets / MATES)) / math.log(1 / UNLIKE))))
+    return min(LONGEST, max(2, math.ceil(math.log(max(1.0, sets / MATES)) / math.log(1 / UNLIKE))))
+
+
+def plan(jaccard: float, recall: float) -> tuple[int, float]:
+    """``(runs of the first step, recall of the longer paths)``: a pair that has to pass both is found with chance ``recall``."""
+    missed = 1 - recall
+    meet = first_meeting(jaccard)
+    runs = runs_for(1 - FIRST_SHARE * missed, meet)
+    return runs, recall / (1 - (1 - meet) ** runs)
 
 
 def first_nodes(h: np.ndarray, count: np.ndarray, runs: int, split: float = SPLIT) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +106,16 @@ def first_nodes(h: np.ndarray, count: np.ndarray, runs: int, split: float = SPLI
     return np.concatenate(rows), np.concatenate(nodes)
 
 
+def end_nodes(h: np.ndarray, count: np.ndarray, runs: int, length: int) -> Iterator[np.ndarray]:
+    """For each run, the end node of every set's path (no set is empty). Every step of every run has its own hash."""
+    starts = np.cumsum(count) - count
+    for run in range(1, runs + 1):
+        node = np.full(len(count), run, U64)
+        for factor in mix(np.arange(run * length, (run + 1) * length, dtype=U64) * U64(131) + U64(1 << 32)) | U64(1):
+            node = mix(node ^ mix(np.minimum.reduceat(h * factor, starts))) + U64(1)
+        yield node
+
+
 def sketches(row: np.ndarray, h: np.ndarray, count: np.ndarray, size: int = SKETCH) -> np.ndarray:
     """``(rows, size)`` low bytes of min-hashes; rows without shingles are zero."""
     out = np.zeros((len(count), size), np.uint8)
@@ -139,6 +159,23 @@ def _first(runs: int):
     return run
 
 
+def _deep(runs: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column("key"))
+            for i, j, data, offsets in pieces(batch.column("body")):
+                row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
+                count = np.bincount(row, minlength=j - i)
+                some = np.flatnonzero(count)
+                if not len(some):
+                    continue
+                own = pa.array(keys[i:j][some])
+                for node in end_nodes(h, count[some], runs, length):
+                    yield pa.RecordBatch.from_arrays([own, pa.array(node.view(np.int64))], names=["key", "node"])
+
+    return run
+
+
 def _may_be_near(threshold: float):
     least = threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / SKETCH)
 
@@ -216,7 +253,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> DataFrame:
     """``(key, node, size)`` of the nodes that are compared."""
     known = heads.select(F.col("rep").alias("key"), "sketch")
-    nodes = texts.mapInArrow(_first(runs_for(recall, first_meeting(jaccard))), "key long, node long")
+    first_runs, deep_recall = plan(jaccard, recall)
+    nodes = texts.mapInArrow(_first(first_runs), "key long, node long")
     nodes = stored(nodes.join(known.select("key"), "key", "left_semi"), "nodes")
     sizes = stored(_sizes(nodes), "sizes")
     large = sizes.filter(F.col("size") > SMALL)
@@ -228,8 +266,8 @@ def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> D
     n = split.count()
     if n:
         length = path_length(n)
-        runs = runs_for(recall, jaccard**length)
-        deep = split.join(known, "key").select("key", F.explode(_paths(F.col("sketch"), runs, length)).alias("node"))
+        runs = runs_for(deep_recall, jaccard**length)
+        deep = texts.join(split, "key", "left_semi").mapInArrow(_deep(runs, length), "key long, node long")
         deep = stored(deep, "paths")
         met = met.unionByName(deep.join(_sizes(deep), "node").select("key", "node", "size"))
     return stored(met, "met")
@@ -239,13 +277,6 @@ def _sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
 
 
-def _paths(sketch: Column, runs: int, length: int) -> Column:
-    """End nodes of ``runs`` paths; each step takes a set's smallest shingle under one of the sketch's hashes."""
-    random = np.random.default_rng(29)
-    steps = [random.choice(SKETCH, length, replace=False).tolist() for _ in range(runs)]
-    return F.array(*[F.xxhash64(F.lit(i), *[F.substring(sketch, place + 1, 1) for place in places]) for i, places in enumerate(steps)])
-
-
 def _alike(inside: DataFrame, known: DataFrame) -> DataFrame:
     """Nodes whose sets, drawn two at a time, agree in a sketch's places more often than ``ALIKE``."""
     few = known.select("key", F.concat(*[F.substring("sketch", i + 1, 1) for i in range(0, SKETCH, SKETCH // PLACES)]).alias("few"))

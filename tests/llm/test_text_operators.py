@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,24 @@ def test_runs_follow_from_the_recall():
     assert chosenpath.path_length(1_000) < chosenpath.path_length(1_000_000)
 
 
+@pytest.mark.parametrize("sets", [100_000, 1_000_000, 10_000_000])
+def test_longer_paths_meet_with_the_target_recall(sets):
+    pairs, shared, own = 3000, 40, 5  # Jaccard similarity 40 / 50
+    first_runs, recall = chosenpath.plan(0.8, 0.995)
+    assert (1 - (1 - chosenpath.first_meeting(0.8)) ** first_runs) * recall >= 0.995 - 1e-12
+    length = chosenpath.path_length(sets)
+    runs = chosenpath.runs_for(recall, 0.8**length)
+    random = np.random.default_rng(3)
+    both = random.integers(0, 1 << 64, (pairs, shared), np.uint64)
+    sides = [np.sort(np.hstack([both, random.integers(0, 1 << 64, (pairs, own), np.uint64)]), axis=1) for _ in range(2)]
+    count = np.full(pairs, shared + own)
+    ends = zip(*[chosenpath.end_nodes(side.ravel(), count, runs, length) for side in sides])
+    met = np.zeros(pairs, bool)
+    for a, b in ends:
+        met |= a == b
+    assert met.mean() >= recall - 3 * (recall * (1 - recall) / pairs) ** 0.5
+
+
 def test_empty_tables_and_null_ids(spark):
     none = table(spark, [])
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
