@@ -17,7 +17,7 @@ may be repeated are shuffled to their exact counts. Filters above
 
 Keys are 128-bit digests. A null or empty text is one empty line. A null id is the
 smallest id. Rows that repeat an id count as one document; each row gets its own
-answer. Empty tables give empty results; other columns don't matter.
+answer, so line numbers go with the id and a hash of the text. Empty tables give empty results; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACE_BYTES, U64, covered, lower_ascii, pieces
 from .cuckoo import Cuckoo, CuckooFull, filled
-from .tables import as_key, packed, stored, unpacked
+from .tables import as_key, as_mark, packed, stored, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -195,12 +195,12 @@ def _after(state: LineState, postings: DataFrame, moved: DataFrame) -> LineState
 
 
 def _maybe(min_chars: int, filters, shards: int):
-    """``(key, line, digest)`` of the lines that the filters don't rule out; all long lines without filters."""
+    """``(key, mark, line, digest)`` of the lines that the filters don't rule out; all long lines without filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {s: Cuckoo(slots=b) for s, b in filters.value.items()} if filters else None
         for batch in batches:
-            keys = np.asarray(batch.column("key"))
+            keys, marks = np.asarray(batch.column("key")), np.asarray(batch.column("mark"))
             for i, j, data, offsets in pieces(batch.column("body")):
                 lines = Lines(data, offsets)
                 line, digest = lines.keys(data, min_chars)
@@ -212,7 +212,9 @@ def _maybe(min_chars: int, filters, shards: int):
                         hit[own] = t.contains(d[own])
                     line, digest = line[hit], [x for x, h in zip(digest, hit) if h]
                 row = lines.row[line]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][row]), pa.array(line - lines.first[row]), pa.array(digest, pa.binary())], names=["key", "line", "digest"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[i:j][row]), pa.array(marks[i:j][row]), pa.array(line - lines.first[row]), pa.array(digest, pa.binary())], names=["key", "mark", "line", "digest"]
+                )
 
     return run
 
@@ -242,15 +244,15 @@ def _without_lines(body: pa.Array, gone: pa.Array) -> pa.Array:
 def judge_lines(docs: DataFrame, state: LineState, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row, n_lines, n_dropped, kept)`` per document: the text without lines that the state calls repeated."""
     spark: SparkSession = docs.sparkSession
-    texts = packed(docs, id_col, text_col)
+    texts = packed(docs, id_col, text_col).select("row", "key", as_mark(), "body")
     size = state.filters.agg(F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()[0]
     filters = spark.sparkContext.broadcast({r.shard: bytes(r.slots) for r in state.filters.collect()}) if size <= FILTER_BYTES else None
-    maybe = texts.select("key", "body").mapInArrow(_maybe(state.min_chars, filters, state.shards), "key bigint, line bigint, digest binary")
+    maybe = texts.select("key", "mark", "body").mapInArrow(_maybe(state.min_chars, filters, state.shards), "key bigint, mark bigint, line bigint, digest binary")
     repeated = stored(state.counts.filter(F.col("n_docs") >= state.min_docs).select("digest", "top_doc"), "repeated")
-    gone = maybe.join(repeated, "digest").filter("key <> top_doc").select("key", "line").distinct()
-    lists = gone.groupBy("key").agg(F.collect_list("line").alias("gone"))
+    gone = maybe.join(repeated, "digest").filter("key <> top_doc").select("key", "mark", "line").distinct()
+    lists = gone.groupBy("key", "mark").agg(F.collect_list("line").alias("gone"))
     answer = F.arrow_udf(_without_lines, "struct<n_lines:bigint,kept:string>")("body", F.coalesce("gone", F.lit(None).cast("array<bigint>")))
-    joined = texts.join(lists, "key", "left").select("row", answer.alias("r"), F.coalesce(F.size("gone"), F.lit(0)).alias("n"))
+    joined = texts.join(lists, ["key", "mark"], "left").select("row", answer.alias("r"), F.coalesce(F.size("gone"), F.lit(0)).alias("n"))
     return joined.select("row", "r.n_lines", F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_dropped"), "r.kept")
 
 

@@ -8,7 +8,7 @@ always lie in pieces of the same gram.
 1. Count the pieces by gram. A gram seen once has no repeated k-mer.
 2. A gram whose pieces all have the same words is *nonbranching*: each of its
    paths enters and leaves alike, so the piece is compacted into one edge, and
-   its smallest coordinate ``(document, start)`` is the source of all others.
+   its smallest coordinate ``(id, text, start)`` is the source of all others.
 3. Pieces of branching grams are opened into their k-mers, which meet by a
    128-bit hash, and again the smallest coordinate is the source.
 
@@ -17,7 +17,9 @@ the same source coordinates merge into long spans.
 
 Words are runs of anything but ASCII white space, unchanged. Null and empty texts
 have no words. A null id is the smallest id. Rows that repeat an id with the same
-text are one document: both get the same answer. Other columns don't matter.
+text are one document: both get the same answer. Different texts of one id are
+documents of their own, in the order of a hash of the text (``mark``). Other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, covered, mix, pieces, prefix_sums, space_words, span_hash, spread
-from .tables import packed, stored, unpacked
+from .tables import as_mark, packed, stored, unpacked
 
 WINDOW = 20  # words
 GRAM = 5  # words; each window of 20 words holds 16 grams
-PIECE = "gram long, path long, key long, start long, windows int"
-EDGE = "h1 long, h2 long, key long, start long"
+PIECE = "gram long, path long, key long, mark long, start long, windows int"
+EDGE = "h1 long, h2 long, key long, mark long, start long"
 
 
 def path_pieces(words: Words, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -67,12 +69,12 @@ def path_pieces(words: Words, k: int, m: int) -> tuple[np.ndarray, ...]:
 def _emit_pieces(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("key"))
+            keys, marks = np.asarray(batch.column("key")), np.asarray(batch.column("mark"))
             for i, j, data, offsets in pieces(batch.column("body")):
                 gram, path, row, start, count = path_pieces(Words(data, offsets, space_words()), k, m)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(path), pa.array(keys[i:j][row]), pa.array(start), pa.array(count.astype(np.int32))],
-                    names=["gram", "path", "key", "start", "windows"],
+                    [pa.array(gram), pa.array(path), pa.array(keys[i:j][row]), pa.array(marks[i:j][row]), pa.array(start), pa.array(count.astype(np.int32))],
+                    names=["gram", "path", "key", "mark", "start", "windows"],
                 )
 
     return run
@@ -81,7 +83,7 @@ def _emit_pieces(k: int, m: int):
 def _emit_edges(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lists = np.asarray(batch.column("key")), batch.column("open")
+            keys, marks, lists = np.asarray(batch.column("key")), np.asarray(batch.column("mark")), batch.column("open")
             for i, j, data, offsets in pieces(batch.column("body")):
                 words = Words(data, offsets, space_words())
                 part = lists.slice(i, j - i)
@@ -93,8 +95,8 @@ def _emit_edges(k: int):
                 h1 = span_hash(prefix_sums(words.hash), at, at + k)
                 h2 = span_hash(prefix_sums(mix(words.hash ^ U64(k))), at, at + k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys[i:j][row]), pa.array(at - words.first[row])],
-                    names=["h1", "h2", "key", "start"],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys[i:j][row]), pa.array(marks[i:j][row]), pa.array(at - words.first[row])],
+                    names=["h1", "h2", "key", "mark", "start"],
                 )
 
     return run
@@ -105,42 +107,43 @@ def _later(df: DataFrame, by: list[str], k: int, length: Column) -> DataFrame:
 
     The first rows are written before the join, so that Spark can split a hot group's rows.
     """
-    first = df.groupBy(*by).agg(F.min(F.struct("key", "start")).alias("source"), F.count("*").alias("n")).filter("n > 1")
+    first = df.groupBy(*by).agg(F.min(F.struct("key", "mark", "start")).alias("source"), F.count("*").alias("n")).filter("n > 1")
     first = stored(first.drop("n"), "first")
-    joined = df.join(first, by).filter(F.struct("key", "start") > F.col("source"))
-    return joined.select("key", "start", length.alias("n_words"), F.col("source.key").alias("source_key"), F.col("source.start").alias("source_start"))
+    joined = df.join(first, by).filter(F.struct("key", "mark", "start") > F.col("source"))
+    source = [F.col(f"source.{c}").alias(f"source_{c}") for c in ("key", "mark", "start")]
+    return joined.select("key", "mark", "start", length.alias("n_words"), *source)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """``(key, start, n_words, source_key, source_start)``: word runs whose words also stand at an earlier source.
+    """``(key, mark, start, n_words, source_key, source_mark, source_start)``: word runs whose words also stand at an earlier source.
 
-    ``key`` is the id as long. Runs may overlap; ``repeated_spans`` merges them.
+    ``key`` is the id as long, ``mark`` a hash of the text. Runs may overlap; ``repeated_spans`` merges them.
     """
-    texts = packed(docs, id_col, text_col).select("key", "body")
+    texts = packed(docs, id_col, text_col).select("key", as_mark(), "body")
     found = texts.mapInArrow(_emit_pieces(k, m), PIECE)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("path").alias("p"), F.max("path").alias("q")).filter("n > 1")
     grams = stored(grams.select("gram", (F.col("p") != F.col("q")).alias("branching")), "grams")
-    shared = stored(found.select("gram", "key", "start", "windows").join(grams, "gram"), "pieces")
+    shared = stored(found.select("gram", "key", "mark", "start", "windows").join(grams, "gram"), "pieces")
     whole = _later(shared.filter("not branching"), ["gram"], k, (F.col("windows") + F.lit(k - 1)).cast("long"))
-    open_lists = shared.filter("branching").groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("open"))
-    edges = stored(texts.join(open_lists, "key").mapInArrow(_emit_edges(k), EDGE), "edges")
+    open_lists = shared.filter("branching").groupBy("key", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("open"))
+    edges = stored(texts.join(open_lists, ["key", "mark"]).mapInArrow(_emit_edges(k), EDGE), "edges")
     single = _later(edges, ["h1", "h2"], k, F.lit(k).cast("long"))
     return stored(whole.unionByName(single), "repeats")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
-    """``(key, start, n_words, source_key, source_start)``: longest runs that follow one source word by word.
+    """``(key, mark, start, n_words, source_key, source_mark, source_start)``: longest runs that follow one source word by word.
 
     A run grows only while the distance to its source stays the same, so its
     coordinates tie every word of it to one word of the source.
     """
     runs = repeats(docs, id_col, text_col, k).distinct()
     runs = runs.withColumn("shift", F.col("start") - F.col("source_start")).withColumn("end", F.col("start") + F.col("n_words"))
-    path = Window.partitionBy("key", "source_key", "shift").orderBy("start")
+    path = Window.partitionBy("key", "mark", "source_key", "source_mark", "shift").orderBy("start")
     reach = F.max("end").over(path.rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("span", F.sum("new").over(path))
-    spans = marked.groupBy("key", "source_key", "shift", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return spans.select("key", "start", (F.col("end") - F.col("start")).alias("n_words"), "source_key", (F.col("start") - F.col("shift")).alias("source_start"))
+    spans = marked.groupBy("key", "mark", "source_key", "source_mark", "shift", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.select("key", "mark", "start", (F.col("end") - F.col("start")).alias("n_words"), "source_key", "source_mark", (F.col("start") - F.col("shift")).alias("source_start"))
 
 
 KEPT = "struct<n_words:bigint,n_removed:bigint,kept:string>"
@@ -180,9 +183,9 @@ def judge_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The words left are joined by one space.
     """
     runs = repeats(docs, id_col, text_col, k)
-    lists = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n_words")).alias("runs"))
+    lists = runs.groupBy("key", "mark").agg(F.collect_list(F.struct("start", "n_words")).alias("runs"))
     none = F.lit(None).cast("array<struct<start:bigint,n_words:bigint>>")
-    joined = packed(docs, id_col, text_col).join(lists, "key", "left")
+    joined = packed(docs, id_col, text_col).select("row", "key", as_mark(), "body").join(lists, ["key", "mark"], "left")
     result = F.arrow_udf(_without_runs, KEPT)(F.col("body"), F.coalesce("runs", none)).alias("r")
     return joined.select("row", result).select("row", "r.n_words", "r.n_removed", "r.kept")
 

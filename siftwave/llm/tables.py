@@ -52,6 +52,11 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), as_key(id_col).alias("key"), F.col(text_col).cast("string").alias("body"))
 
 
+def as_mark() -> Column:
+    """Tells texts apart that share an id: a 64-bit hash of the body of ``packed`` rows."""
+    return F.xxhash64("body").alias("mark")
+
+
 def unpacked(judged: DataFrame, **changes: Column) -> DataFrame:
     """The input rows again, with some of their columns changed."""
     fields = judged.schema["row"].dataType.fieldNames()

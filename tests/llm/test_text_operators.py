@@ -87,6 +87,33 @@ def test_line_dedup_is_reversible(spark):
     assert as_set(state) == as_set(again)
 
 
+def shared_ids(seed: int) -> list[tuple]:
+    """Long and short texts of which many have a null id and many the same one; some rows twice."""
+    docs = corpus(seed, 30)
+    docs = [(None if n % 3 == 0 else 9 if n % 3 == 1 else i, t) for n, (i, t) in enumerate(docs)]
+    return docs + docs[:4]
+
+
+def test_line_dedup_of_different_texts_of_one_id(spark):
+    docs = shared_ids(8)
+    known = [(-1 if i is None else i, t) for i, t in docs]
+    want = [(i, *brute.without_lines([*known, (i, t)])[i]) for i, t in known]  # the last row of an id gives its answer
+    judged = lines.judge_lines(table(spark, docs), lines.new_state(table(spark, docs)))
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in judged.select("row.doc_id", "n_lines", "n_dropped", "kept").collect()]
+    assert sorted(got) == sorted(want) and any(n for _, _, n, _ in want)
+
+
+def test_substring_dedup_of_different_texts_of_one_id(spark):
+    docs = shared_ids(9)
+    marked = table(spark, docs).select(F.coalesce("doc_id", F.lit(-1)), F.xxhash64("text"), "text").collect()
+    places = {place: n for n, place in enumerate(sorted({(i, m) for i, m, _ in marked}))}
+    out = brute.without_repeats([(places[i, m], t) for i, m, t in marked])
+    want = [(i, *out[places[i, m]]) for i, m, _ in marked]
+    judged = substrings.judge_repeats(table(spark, docs), k=20)
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in judged.select("row.doc_id", "n_words", "n_removed", "kept").collect()]
+    assert sorted(got) == sorted(want) and any(n for _, _, n, _ in want)
+
+
 def test_benchmark_decontamination(spark):
     docs = corpus(5)
     w = brute.words(docs[3][1] + " " + docs[4][1])
