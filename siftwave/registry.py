@@ -475,7 +475,7 @@ def labelled(spark, d) -> DataFrame:
     label = F.when(F.col("toxic") == 1, "scam").when(F.col("quality") == 1, "normal").otherwise("spam")
     return rows.select(
         F.col("doc_id").alias("ord"),
-        F.concat(F.lit("msg_"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("id"),
+        ids.format_id("msg_", F.col("doc_id")).alias("id"),
         "text",
         label.alias("label"),
         F.when(F.col("toxic") == 1, "job_scam").when(F.col("lang") == "fr", "other").otherwise("").alias("scam_type"),
@@ -818,7 +818,7 @@ def candidates(spark, d) -> DataFrame:
     rows = labelled(spark, d)
     blank = F.lit("")
     return rows.select(
-        F.concat(F.lit("cand_"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("id"), "text",
+        ids.format_id("cand_", F.col("ord")).alias("id"), "text",
         F.when(F.col("channel") == "fax", "radio").otherwise("news").alias("origin"), "source", blank.alias("source_url"),
         F.lit("2026-01-01").alias("collected_at"), blank.alias("hint_label"), blank.alias("hint_channel"),
         F.when(F.col("label") == "spam", "").otherwise(F.col("label")).alias("suggested_label"), F.col("scam_type").alias("suggested_scam_type"),
@@ -904,7 +904,7 @@ def unlabelled_candidates(spark, d):
 
 def _reviews(spark, d):
     decisions = labelled(spark, d).filter("source = 'collected'").select(
-        F.concat(F.lit("cand_"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("candidate_id"), (F.col("annotator") != "").alias("accept"),
+        ids.format_id("cand_", F.col("ord")).alias("candidate_id"), (F.col("annotator") != "").alias("accept"),
         F.when(F.col("channel") == "fax", "exclude").otherwise(F.col("label")).alias("label"), F.lit("job_scam").alias("scam_type"), F.lit("").alias("channel"),
     )
     return curation.apply_reviews(candidates(spark, d), decisions, "a7", "2026-01-01")

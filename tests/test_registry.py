@@ -57,3 +57,14 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_runs(spark):
     if os.path.isdir(SF):
         assert entry.entry(spark).columns == ["doc_id", "tpl_id", "coverage"]
+
+
+def test_long_ids_keep_all_digits(spark, tmp_path):
+    from siftwave import registry
+
+    ids = [7, 100_000, 1_000_000, 1_000_009]
+    spark.createDataFrame([(i, "a text", "s", "en") for i in ids], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 1) for i in ids], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = ["000007", "100000", "1000000", "1000009"]
+    assert sorted(r.id for r in registry.labelled(spark, str(tmp_path)).select("id").collect()) == ["msg_" + x for x in want]
+    assert sorted(r.id for r in registry.candidates(spark, str(tmp_path)).select("id").collect()) == ["cand_" + x for x in want]
