@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, chosenpath, lines, packing, pstable, quality, substrings, suffixes, toxicity, warc
+from . import bloom, chosenpath, lines, packing, pstable, quality, substrings, suffixes, toxicity, warc, whitening
 from .oracle import ORACLE  # noqa: F401
 from .tables import NO_ID
 
@@ -99,3 +99,9 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
     kept = (F.col("predicted") == 1).alias("kept")
     return judged.select(doc_id, "held_out", "host", "path", "evidence", "host_mean", "path_mean", "score", "predicted", kept)
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    rows = whitening.by_component(whitening.whiten(table(spark, d, "embeddings")))
+    return rows.select("row.vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
