@@ -79,3 +79,27 @@ comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
 k AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT id AS doc_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept FROM comp LEFT JOIN k ON id = a
 """
+
+# A crc32 is the exclusive or of one number per byte and its distance from the end, and one for the length.
+ORACLE["op12_spelling_variants"] = r"""
+WITH RECURSIVE t(x, i, v) AS (SELECT b, 0, b FROM (SELECT unnest(range(0, 256)) AS b) UNION ALL SELECT x, i + 1, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) FROM t WHERE i < 8),
+base AS (SELECT x, v FROM t WHERE i = 8),
+far(x, k, v) AS (SELECT x, 0, v FROM base UNION ALL SELECT far.x, k + 1, xor(base.v, far.v >> 8) FROM far JOIN base ON base.x = far.v & 255 WHERE k < 120),
+empty(k, v) AS (SELECT 0, 4294967295 UNION ALL SELECT k + 1, xor(base.v, empty.v >> 8) FROM empty JOIN base ON base.x = empty.v & 255 WHERE k < 120),
+low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z\x{C0}-\x{FF}]{6,}')) AS w FROM low) GROUP BY ALL),
+m AS (SELECT row_number() OVER () AS i, w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM r),
+b AS (SELECT i, len(h) // 2 AS size, unnest(range(0, len(h) // 2)) AS p, h FROM m),
+c AS (SELECT i, size, bit_xor(far.v) AS v FROM b JOIN far ON far.x = CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT) AND far.k = size - 1 - p GROUP BY i, size),
+d AS (SELECT w, n, xor(xor(c.v, empty.v), 4294967295) AS h FROM m JOIN c USING (i) JOIN empty ON empty.k = size),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM d),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+pair AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.rest = v.word UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.rest = v.word),
+near AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) AS nth, count(*) OVER (PARTITION BY a) AS n_near FROM pair JOIN v ON b = word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near.n >= 5 * v.n THEN b END AS form, CASE WHEN near.n >= 5 * v.n THEN near.n END AS form_n FROM v LEFT JOIN near ON a = v.word AND nth = 1),
+chain(word, last, deep) AS (SELECT word, word, 0 FROM f UNION ALL SELECT chain.word, form, deep + 1 FROM chain JOIN f ON last = f.word WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, deep) AS root FROM chain GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""

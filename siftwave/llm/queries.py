@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, chosenpath, lines, packing, pstable, quality, substrings, suffixes, toxicity, warc, whitening
+from . import bloom, chosenpath, lines, packing, pstable, quality, spelling, substrings, suffixes, toxicity, warc, whitening
 from .oracle import ORACLE  # noqa: F401
 from .tables import NO_ID
 
@@ -105,3 +105,12 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
     rows = whitening.by_component(whitening.whiten(table(spark, d, "embeddings")))
     return rows.select("row.vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+TYPO_RULE = 199  # one in so many words of a document loses a letter
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    words = spelling.count_words(table(spark, d, "documents"), drop_one_in=TYPO_RULE)
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
