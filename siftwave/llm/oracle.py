@@ -103,3 +103,12 @@ chain(word, last, deep) AS (SELECT word, word, 0 FROM f UNION ALL SELECT chain.w
 ends AS (SELECT word, arg_max(last, deep) AS root FROM chain GROUP BY word)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
 """
+
+# The pages of the driver tables keep their main text in one article; the operator doesn't know that.
+ORACLE["op11_html_main_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|br|h1)>', ' ', 'g'), '</?b>', '', 'g') AS body FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(body, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS body FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, chosenpath, lines, packing, pstable, quality, spelling, substrings, suffixes, toxicity, warc, whitening
+from . import bloom, chosenpath, lines, packing, pstable, quality, sitetree, spelling, substrings, suffixes, toxicity, warc, whitening
 from .oracle import ORACLE  # noqa: F401
 from .tables import NO_ID
 
@@ -114,3 +114,9 @@ TYPO_RULE = 199  # one in so many words of a document loses a letter
 def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     words = spelling.count_words(table(spark, d, "documents"), drop_one_in=TYPO_RULE)
     return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_html_main_text(spark: SparkSession, d: str) -> DataFrame:
+    judged = sitetree.extract_main(table(spark, d, "pages")).withColumn("text", F.array_join("blocks", " "))
+    return judged.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
