@@ -228,7 +228,7 @@ def _answers(models: dict[int, Model]) -> Callable[[pa.Array], pa.Array]:
                 y = away(x[i : i + ROWS], m.n, m.sums)
                 white = y.astype(float) / m.n @ m.basis / np.sqrt(m.values)
                 for at, deviation, w in zip(rows[i : i + ROWS], deviations(y), white.tolist()):
-                    out[at] = {"n": m.n, "deviation": deviation, "whitened": w, "explained": (m.values / m.total).tolist() if m.total else [], "identity_error": m.identity_error}
+                    out[at] = {"n": m.n, "deviation": deviation if deviation < 10**38 else None, "whitened": w, "explained": (m.values / m.total).tolist() if m.total else [], "identity_error": m.identity_error}
         lists = pa.list_(pa.float64())
         return pa.array(out, pa.struct([("n", pa.int64()), ("deviation", pa.decimal128(38)), ("whitened", lists), ("explained", lists), ("identity_error", pa.float64())]))
 
@@ -238,7 +238,7 @@ def _answers(models: dict[int, Model]) -> Callable[[pa.Array], pa.Array]:
 def whiten(vectors: DataFrame, vector_col: str = "embedding", components: int = COMPONENTS, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
     """``(row, n, deviation, whitened, explained, identity_error)`` of the rows with a sound vector.
 
-    ``deviation`` is the exact sum of ``(n x - sums)^2``; ``whitened`` and ``explained``
+    ``deviation`` is the exact sum of ``(n x - sums)^2``, null where it has more than 38 digits; ``whitened`` and ``explained``
     hold one entry per component, by falling eigenvalue.
     """
     given = vectors.select(F.struct(*[F.col(f"`{c}`") for c in vectors.columns]).alias("row"), quantised(f"`{vector_col}`", scale, shift).alias("x")).filter("x IS NOT NULL")
