@@ -202,6 +202,38 @@ def test_machine_learns_what_only_a_pair_means():
     assert ((p > 0.5) == (label > 0)).mean() > 0.95
 
 
+def test_machine_finds_a_pair_among_thousands_of_other_terms():
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.tile([[0, 0], [0, 1], [1, 0], [1, 1]], (1500, 1)), r.random((6000, 5000)) < 0.004], axis=1).astype(bool)
+    label = (x[:, 0] == x[:, 1]).astype(float)
+    seen = np.arange(6000) % 3 > 0
+    ones, zeros = (x[seen & (label == k)].sum(axis=0) for k in (1, 0))
+    assert (np.abs(ones - zeros) > 2 + abs(int(ones[0]) - int(zeros[0]))).sum() > 2500  # on their own, thousands of other terms tell more
+    row, index = np.nonzero(x[seen])
+    m = toxicity.fit(row, index, label[seen], 5002, epochs=60, start=toxicity.sure_weights(ones, zeros, int(label[seen].sum()), int((1 - label[seen]).sum())))
+    row, index = np.nonzero(x[~seen])
+    p = toxicity.scores(m, row, index, int((~seen).sum()))
+    assert ((p > 0.5) == (label[~seen] > 0)).mean() > 0.9
+
+
+def test_sure_weights():
+    w = toxicity.sure_weights(np.array([20, 1, 10, 0] + [0] * 500), np.array([0, 0, 100, 0] + [1] * 500), 33, 330)
+    assert w[0] > 3 and w[1] == w[2] == w[3] == 0  # one text among many terms is chance
+    assert (toxicity.sure_weights(np.array([3]), np.array([0]), 3, 0) == 0).all()
+
+
+def test_counts_cover_every_labelled_text(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} common" if i % 5 else None) for i in range(300)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)] + [(0, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    from siftwave.llm import labelled
+
+    data = labelled.labelled(docs, labels, "doc_id", "text", "toxic", 20, 1 << 10)
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert (data.ones, data.zeros) == (sum(i % 10 == 0 for i in learnt), sum(i % 10 > 0 for i in learnt))
+    assert data.term_ones.max() == 0 and data.term_zeros.max() == sum(i % 5 > 0 for i in learnt)
+    assert data.shares[0] > data.shares[1] and 5 < data.sampled.count() < 45
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
