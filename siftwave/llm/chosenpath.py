@@ -17,11 +17,15 @@ of what may be similar; within such a component all texts meet once, again in
 blocks, and the exact Jaccard similarity of the whole sets decides every pair. So
 no group gives all its pairs as rows, and no group is one task's work.
 
-Documents with equal shingle sets are folded first and counted with their number.
-Words are runs of anything but ASCII white space, ``A-Z`` lower-cased; a text of one
-to four words has one shingle, all its words. Null, empty and blank texts match
-nothing. A null id is the smallest id; rows that repeat an id and text are one
-document. An empty table gives an empty result.
+A document is an id with a text, told apart by the text's MD5 digest; so different
+texts of one id, or without an id, are documents of their own, and rows that repeat
+both are one. Documents with equal shingle sets are folded first and counted with
+their number. Words are runs of anything but ASCII white space, ``A-Z`` lower-cased; a
+text of one to four words has one shingle, all its words. Null, empty and blank texts
+match nothing. A null id is the smallest id. An empty table gives an empty result.
+
+Texts stay in their scans: sketches, nodes and answers are narrow rows, and only texts
+that a rough component holds are shuffled, picked by a Bloom filter (``picking``).
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, Words, lower_ascii, mix, pieces, prefix_sums, space_words, span_hash
 from .blocks import compared, in_units
 from .components import components
-from .tables import packed, stored, unpacked
+from .picking import in_filter, may_be_wanted, wanted_filter
+from .tables import as_key, stored
 
 SHINGLE = 5
 JACCARD = 0.8
@@ -54,6 +60,7 @@ PLACES = 4  # of a sketch that are asked for a node's mean similarity
 SKETCH = 64  # minima, one byte of each
 DOUBT = 4.0  # standard deviations of a sketch below the threshold that are still compared exactly
 UNIT_BYTES = 6 << 20  # text of a shard of exact comparisons
+BLOCK_BYTES = 2 << 20  # text of a block of them, if it has more than one row
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +134,11 @@ def sketches(row: np.ndarray, h: np.ndarray, count: np.ndarray, size: int = SKET
     return out
 
 
-SETS = "key long, digest binary, size long, sketch binary"
+SETS = "key long, mark binary, digest binary, size long, sketch binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column("key")
         for i, j, data, offsets in pieces(batch.column("body")):
             row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
             count = np.bincount(row, minlength=j - i)
@@ -142,36 +148,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = np.stack([*sums], axis=1)
             sketch = sketches(row, h, count)[some]
             fixed = lambda a, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(a), [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [keys.slice(i, j - i).take(pa.array(some)), fixed(digest, 16), pa.array(count[some].astype(np.int64)), fixed(sketch, SKETCH)], names=["key", "digest", "size", "sketch"]
-            )
+            own = [batch.column(c).slice(i, j - i).take(pa.array(some)) for c in ("key", "mark")]
+            yield pa.RecordBatch.from_arrays([*own, fixed(digest, 16), pa.array(count[some].astype(np.int64)), fixed(sketch, SKETCH)], names=["key", "mark", "digest", "size", "sketch"])
+
+
+PLACED = "key long, mark binary, node long"
 
 
 def _first(runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("key"))
             for i, j, data, offsets in pieces(batch.column("body")):
                 row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
                 row, node = first_nodes(h, np.bincount(row, minlength=j - i), runs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][row]), pa.array(node.view(np.int64))], names=["key", "node"])
+                at = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("mark").take(at), pa.array(node.view(np.int64))], names=["key", "mark", "node"])
 
     return run
 
 
-def _deep(runs: int, length: int):
+def _deep(runs: int, length: int, shared: Broadcast):
+    """Paths of the texts that pass the filter of the wanted ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("key"))
+            maybe = np.flatnonzero(in_filter(shared.value, np.asarray(batch.column("pick")).view(U64)))
+            batch = batch.take(pa.array(maybe))
             for i, j, data, offsets in pieces(batch.column("body")):
                 row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
                 count = np.bincount(row, minlength=j - i)
                 some = np.flatnonzero(count)
                 if not len(some):
                     continue
-                own = pa.array(keys[i:j][some])
+                at = pa.array(some + i)
+                keys, marks = batch.column("key").take(at), batch.column("mark").take(at)
                 for node in end_nodes(h, count[some], runs, length):
-                    yield pa.RecordBatch.from_arrays([own, pa.array(node.view(np.int64))], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([keys, marks, pa.array(node.view(np.int64))], names=["key", "mark", "node"])
 
     return run
 
@@ -229,47 +241,68 @@ def _near_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return (shared >= threshold * union - 1e-6) & (union > 0)
 
 
+def _mark(body: Column) -> Column:
+    return F.unhex(F.md5(body.cast("binary")))
+
+
+def _pick() -> Column:
+    return F.xxhash64("key", "mark")
+
+
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
-    """``(key, n_links, component)`` of every id: other documents at ``jaccard`` or above, and the smallest id reachable by such links."""
-    texts = packed(docs, id_col, text_col).select("key", "body")
-    sets = stored(texts.mapInArrow(_sets, SETS), "sets")
-    ids = sets.groupBy("key").agg(F.min("digest").alias("digest"))
-    classes = stored(ids.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
-    members = stored(ids.join(classes, "digest").select("key", "rep", "copies"), "members")
-    heads = stored(sets.join(classes, "digest").filter("key = rep").groupBy("rep").agg(F.max("copies").alias("copies"), F.max("sketch").alias("sketch")), "heads")
+    """``(key, mark, rows, n_links, component, first)`` of every document with words.
+
+    ``n_links`` counts the other documents at ``jaccard`` or above, ``component`` is the
+    smallest id reachable by such links; one document of a component is its ``first``.
+    ``rows`` is how many input rows the document has.
+    """
+    body = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(as_key(f"`{id_col}`").alias("key"), _mark(body).alias("mark"), body.alias("body")).filter("body IS NOT NULL")
+    sets = texts.mapInArrow(_sets, SETS)
+    ids = stored(sets.groupBy("key", "mark").agg(F.count("*").alias("rows"), F.max("digest").alias("digest"), F.max("sketch").alias("sketch")), "ids")
+    head = F.min(F.struct("key", "mark")).alias("head")
+    classes = ids.groupBy("digest").agg(head, F.count("*").alias("copies"), F.max("sketch").alias("sketch"))
+    numbered = F.monotonically_increasing_id().alias("item")  # written once, so it stays
+    heads = stored(classes.select(numbered, "digest", "copies", "sketch", "head.key", "head.mark"), "heads")
     pairs = _met(texts, heads, jaccard, recall)
-    dealt = in_units(pairs.withColumn("one", F.lit(1)), "node", "size", "key", BLOCK, "one", 50_000).drop("one")
-    dealt = dealt.join(heads.select(F.col("rep").alias("key"), "sketch"), "key")
-    maybe = compared(dealt, _may_be_near(jaccard), "key").filter("partner IS NOT NULL")
+    dealt = in_units(pairs.withColumn("one", F.lit(1)), "node", "size", "item", BLOCK, "one", 50_000).drop("one")
+    dealt = dealt.join(heads.select("item", "sketch"), "item")
+    maybe = compared(dealt, _may_be_near(jaccard), "item").filter("partner IS NOT NULL")
     rough = stored(components(maybe.select(F.col("node").alias("a"), F.col("partner").alias("b")).distinct()), "rough")
     found = _verified(texts, rough, heads, jaccard)
     direct = found.filter("partner IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.filter("partner IS NOT NULL").select(F.col("node").alias("a"), F.col("partner").alias("b")))
-    groups = stored(direct.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumnRenamed("node", "rep"), "groups")
-    told = members.join(groups, "rep", "left")
-    return told.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    linked = stored(joined.join(heads.select(F.col("item").alias("id"), "key", "mark"), "id"), "linked")
+    tops = stored(linked.groupBy("component").agg(F.min(F.struct("key", "mark")).alias("top")), "tops")
+    links = linked.join(tops, "component").select(F.col("id").alias("item"), "top").join(direct.withColumnRenamed("node", "item"), "item", "left")
+    own = F.struct("key", "mark")
+    groups = heads.join(links, "item", "left").select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("top", own).alias("top"))
+    told = ids.select("key", "mark", "rows", "digest").join(stored(groups, "groups"), "digest")
+    return told.select("key", "mark", "rows", (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("top.key").alias("component"), (own == F.col("top")).alias("first"))
 
 
 def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> DataFrame:
-    """``(key, node, size)`` of the nodes that are compared."""
-    known = heads.select(F.col("rep").alias("key"), "sketch")
+    """``(item, node, size)`` of the nodes that are compared."""
+    known = heads.select("key", "mark", "item")
     first_runs, deep_recall = plan(jaccard, recall)
-    nodes = texts.mapInArrow(_first(first_runs), "key long, node long")
-    nodes = stored(nodes.join(known.select("key"), "key", "left_semi"), "nodes")
+    nodes = texts.mapInArrow(_first(first_runs), PLACED)
+    nodes = stored(nodes.join(known, ["key", "mark"]).select("item", "node"), "nodes")
     sizes = stored(_sizes(nodes), "sizes")
     large = sizes.filter(F.col("size") > SMALL)
     inside = stored(nodes.join(large.select("node"), "node"), "inside")
-    alike = stored(_alike(inside, known), "alike")
+    alike = stored(_alike(inside, heads), "alike")
     ready = sizes.filter(F.col("size") <= SMALL).unionByName(large.join(alike, "node", "left_semi"))
-    met = nodes.join(ready, "node").select("key", "node", "size")
-    split = stored(inside.join(alike, "node", "left_anti").select("key").distinct(), "split")
+    met = nodes.join(ready, "node").select("item", "node", "size")
+    split = inside.join(alike, "node", "left_anti").select("item").distinct()
+    split = stored(split.join(known, "item"), "split")
     n = split.count()
     if n:
         length = path_length(n)
         runs = runs_for(deep_recall, jaccard**length)
-        deep = texts.join(split, "key", "left_semi").mapInArrow(_deep(runs, length), "key long, node long")
-        deep = stored(deep, "paths")
-        met = met.unionByName(deep.join(_sizes(deep), "node").select("key", "node", "size"))
+        shared = wanted_filter(split.select(_pick()))
+        deep = texts.select("key", "mark", "body", _pick().alias("pick")).mapInArrow(_deep(runs, length, shared), PLACED)
+        deep = stored(deep.join(split, ["key", "mark"]).select("item", "node"), "paths")
+        met = met.unionByName(deep.join(_sizes(deep), "node").select("item", "node", "size"))
     return stored(met, "met")
 
 
@@ -277,35 +310,55 @@ def _sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
 
 
-def _alike(inside: DataFrame, known: DataFrame) -> DataFrame:
+def _alike(inside: DataFrame, heads: DataFrame) -> DataFrame:
     """Nodes whose sets, drawn two at a time, agree in a sketch's places more often than ``ALIKE``."""
-    few = known.select("key", F.concat(*[F.substring("sketch", i + 1, 1) for i in range(0, SKETCH, SKETCH // PLACES)]).alias("few"))
+    few = heads.select("item", F.concat(*[F.substring("sketch", i + 1, 1) for i in range(0, SKETCH, SKETCH // PLACES)]).alias("few"))
     places = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("few", i + 1, 1).alias("value")) for i in range(PLACES)])
-    values = inside.join(few, "key").select("node", F.explode(places).alias("at")).groupBy("node", "at").agg(F.count("*").alias("n"))
+    values = inside.join(few, "item").select("node", F.explode(places).alias("at")).groupBy("node", "at").agg(F.count("*").alias("n"))
     share = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n") / F.lit(PLACES))
     return values.groupBy("node").agg(share.alias("share")).filter(F.col("share") >= ALIKE).select("node")
 
 
 def _verified(texts: DataFrame, rough: DataFrame, heads: DataFrame, jaccard: float) -> DataFrame:
-    sizes = rough.groupBy("component").agg(F.count("*").alias("size"))
-    placed = stored(rough.join(sizes, "component").join(heads.select(F.col("rep").alias("id"), "copies"), "id"), "placed")
+    """``compared`` rows of exact links; texts are picked by a filter of the documents in rough components."""
+    members = stored(rough.join(heads.select(F.col("item").alias("id"), "copies", "key", "mark"), "id").withColumnRenamed("id", "item"), "members")
+    shared = wanted_filter(members.select(_pick()))
+    picked = texts.filter(may_be_wanted(shared, _pick()))
     # always a merge join, whatever the size: the plan measured on little data is the one that runs on much
-    body = texts.join(placed.withColumnRenamed("id", "key").hint("merge"), "key").dropDuplicates(["key"])
-    body = stored(body.select("key", "component", "size", "copies", "body", F.octet_length("body").alias("bytes")), "bodies")
-    dealt = in_units(body, "component", "size", "key", BLOCK, "bytes", UNIT_BYTES)
-    return stored(compared(dealt, _exactly_near(jaccard), "key", "copies"), "links")
+    body = picked.join(members.hint("merge"), ["key", "mark"]).dropDuplicates(["item"])
+    body = stored(body.select("item", "component", "copies", "body", F.octet_length("body").alias("bytes")), "bodies")
+    sums = body.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"))
+    # a block holds at most BLOCK rows, and about BLOCK_BYTES of text
+    sizes = stored(sums.select("component", F.greatest("n", F.ceil(F.col("all_bytes") * F.lit(BLOCK / BLOCK_BYTES))).alias("size")), "sizes")
+    dealt = in_units(body.join(sizes, "component"), "component", "size", "item", BLOCK, "bytes", UNIT_BYTES)
+    return stored(compared(dealt, _exactly_near(jaccard), "item", "copies"), "links")
+
 
+def judge_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, **options) -> DataFrame:
+    """``(row, key, n_links, component, first)`` of every input row; ``row`` holds ``columns``, all by default.
 
-def judge_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``(row, key, n_links, component)`` of every input row; a text without words links with nothing."""
+    A text without words links with nothing. Wide rows meet their answers in a join, so
+    ask for the columns that are needed only.
+    """
     told = stored(near_texts(docs, id_col, text_col, **options), "near")
-    rows = packed(docs, id_col, text_col).select("row", "key", F.xxhash64("body").alias("digest"))
-    joined = rows.join(told, "key", "left")
-    return joined.select("row", "key", "digest", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("component"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
+    rows = docs.select(row, as_key(f"`{id_col}`").alias("key"), _mark(F.col(f"`{text_col}`").cast("string")).alias("mark"))
+    joined = rows.join(told, ["key", "mark"], "left")
+    return joined.select("row", "key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("component"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near copies, that with the smallest id; texts without words all stay."""
-    kept = judge_near(docs, id_col, text_col, **options).filter("key = component")
-    nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy("digest"))
-    return unpacked(kept.withColumn("nth", nth).filter("nth = 1"))
+    """One row of each group of near copies, that with the smallest id; texts without words all stay.
+
+    Only rows that go, or that repeat, meet their answers in a join; the others stay
+    where they are read.
+    """
+    told = near_texts(docs, id_col, text_col, **options)
+    special = stored(told.filter(~F.col("first") | (F.col("rows") > 1)).select("key", "mark", "first"), "special")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, as_key(f"`{id_col}`").alias("key"), F.coalesce(_mark(F.col(f"`{text_col}`").cast("string")), F.lit(b"")).alias("mark"))
+    maybe = may_be_wanted(wanted_filter(special.select(_pick())), _pick())
+    asked = rows.filter(maybe).join(special, ["key", "mark"], "left")
+    repeated = asked.filter("first").groupBy("key", "mark").agg(F.any_value("row").alias("row"))
+    kept = rows.filter(~maybe).select("row").unionByName(asked.filter("first IS NULL").select("row")).unionByName(repeated.select("row"))
+    return kept.select("row.*")

@@ -87,8 +87,9 @@ def op1_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    judged = chosenpath.judge_near(table(spark, d, "documents"))
-    return judged.select("row.doc_id", "n_links", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    judged = chosenpath.judge_near(table(spark, d, "documents"), columns=["doc_id"])
+    component = F.when(F.col("component") != NO_ID, F.col("component"))
+    return judged.select("row.doc_id", "n_links", component.alias("component_id"), F.col("first").alias("kept"))
 
 
 @query

@@ -165,6 +165,36 @@ def test_jaccard_join(spark, monkeypatch, small, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in brute.jaccard_groups(docs).items() if c == i)
 
 
+def test_documents_without_an_id_are_compared_each(spark):
+    r = random.Random(4)
+    t1, t2, t3 = (" ".join(r.choice("abcdefgh") * 3 + str(r.randint(0, 99)) for _ in range(60)) for _ in range(3))
+    docs = [(None, t1), (None, t2), (None, t3), (None, t1), (1, t1), (2, t2), (3, t2 + " end"), (9, None), (None, None), (None, "")]
+    judged = chosenpath.judge_near(table(spark, docs)).select("row.doc_id", "row.text", "n_links", "component", "first").collect()
+    assert len(judged) == len(docs)
+    got = {(x.doc_id, x.text): (x.n_links, x.component, x.first) for x in judged}
+    assert got[(1, t1)][0] == 1 and got[(2, t2)][0] == got[(3, t2 + " end")][0] == got[(None, t2)][0] == 2
+    assert got[(None, t1)][0] == 1 and got[(None, t3)][0] == 0 and not got[(2, t2)][2] and got[(None, t2)][2]
+    kept = sorted((repr((x.doc_id, x.text)) for x in chosenpath.keep_one(table(spark, docs)).collect()))
+    assert kept == sorted(map(repr, [(None, t1), (None, t2), (None, t3), (9, None), (None, None), (None, "")]))
+
+
+def test_long_texts_are_compared_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chosenpath, "BLOCK_BYTES", 20_000)
+    base = [f"word{i}" for i in range(900)]
+    docs = [(i, " ".join(base[:i] + ["other"] + base[i + 1 :])) for i in range(12)] + [(50, "something else entirely here")]
+    assert answers(chosenpath.judge_near(table(spark, docs)), "n_links", "component") == brute.jaccard_groups(docs)
+
+
+def test_filters_let_every_wanted_key_through(spark):
+    from siftwave.llm import picking
+
+    keys = spark.range(0, 3_000_000, 7).selectExpr("xxhash64(id) h")
+    shared = picking.wanted_filter(keys)
+    every = spark.range(0, 3_000_000).selectExpr("id", "xxhash64(id) h").filter(picking.may_be_wanted(shared, F.col("h")))
+    wanted, others = every.filter("id % 7 = 0").count(), every.filter("id % 7 > 0").count()
+    assert wanted == keys.count() and others < 150_000
+
+
 def test_runs_follow_from_the_recall():
     meet = chosenpath.first_meeting(0.8)
     assert 0.5 < meet < 1 and chosenpath.runs_for(0.9, meet) < chosenpath.runs_for(0.999, meet)
