@@ -152,17 +152,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, fixed(digest, 16), pa.array(count[some].astype(np.int64)), fixed(sketch, SKETCH)], names=["key", "mark", "digest", "size", "sketch"])
 
 
-PLACED = "key long, mark binary, node long"
+PLACED = "pick long, node long"
+ROWS_AT_ONCE = 256  # of which the wanted ones are copied out of a batch
 
 
 def _first(runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            picks = np.asarray(batch.column("pick"))
             for i, j, data, offsets in pieces(batch.column("body")):
                 row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
                 row, node = first_nodes(h, np.bincount(row, minlength=j - i), runs)
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("mark").take(at), pa.array(node.view(np.int64))], names=["key", "mark", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(picks[i:j][row]), pa.array(node.view(np.int64))], names=["pick", "node"])
 
     return run
 
@@ -172,18 +173,21 @@ def _deep(runs: int, length: int, shared: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = np.flatnonzero(in_filter(shared.value, np.asarray(batch.column("pick")).view(U64)))
-            batch = batch.take(pa.array(maybe))
-            for i, j, data, offsets in pieces(batch.column("body")):
-                row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
-                count = np.bincount(row, minlength=j - i)
-                some = np.flatnonzero(count)
-                if not len(some):
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                picks = np.asarray(part.column("pick"))
+                maybe = np.flatnonzero(in_filter(shared.value, picks.view(U64)))
+                if not len(maybe):
                     continue
-                at = pa.array(some + i)
-                keys, marks = batch.column("key").take(at), batch.column("mark").take(at)
-                for node in end_nodes(h, count[some], runs, length):
-                    yield pa.RecordBatch.from_arrays([keys, marks, pa.array(node.view(np.int64))], names=["key", "mark", "node"])
+                picks = picks[maybe]
+                for i, j, data, offsets in pieces(part.column("body").take(pa.array(maybe))):
+                    row, h = shingles(Words(lower_ascii(data), offsets, space_words()))
+                    count = np.bincount(row, minlength=j - i)
+                    some = np.flatnonzero(count)
+                    if len(some):
+                        own = pa.array(picks[i:j][some])
+                        for node in end_nodes(h, count[some], runs, length):
+                            yield pa.RecordBatch.from_arrays([own, pa.array(node.view(np.int64))], names=["pick", "node"])
 
     return run
 
@@ -283,10 +287,12 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> DataFrame:
     """``(item, node, size)`` of the nodes that are compared."""
-    known = heads.select("key", "mark", "item")
+    # two documents may share a pick by chance: that adds a candidate, which the exact check turns down
+    known = heads.select(_pick().alias("pick"), "item")
+    picked = texts.select(_pick().alias("pick"), "body")
     first_runs, deep_recall = plan(jaccard, recall)
-    nodes = texts.mapInArrow(_first(first_runs), PLACED)
-    nodes = stored(nodes.join(known, ["key", "mark"]).select("item", "node"), "nodes")
+    nodes = picked.mapInArrow(_first(first_runs), PLACED)
+    nodes = stored(nodes.join(known, "pick").select("item", "node"), "nodes")
     sizes = stored(_sizes(nodes), "sizes")
     large = sizes.filter(F.col("size") > SMALL)
     inside = stored(nodes.join(large.select("node"), "node"), "inside")
@@ -299,9 +305,8 @@ def _met(texts: DataFrame, heads: DataFrame, jaccard: float, recall: float) -> D
     if n:
         length = path_length(n)
         runs = runs_for(deep_recall, jaccard**length)
-        shared = wanted_filter(split.select(_pick()))
-        deep = texts.select("key", "mark", "body", _pick().alias("pick")).mapInArrow(_deep(runs, length, shared), PLACED)
-        deep = stored(deep.join(split, ["key", "mark"]).select("item", "node"), "paths")
+        deep = picked.mapInArrow(_deep(runs, length, wanted_filter(split.select("pick"))), PLACED)
+        deep = stored(deep.join(split, "pick").select("item", "node"), "paths")
         met = met.unionByName(deep.join(_sizes(deep), "node").select("item", "node", "size"))
     return stored(met, "met")
 
