@@ -8,7 +8,7 @@ from .oracle import FP, HOSTS, LINKS, ORACLE, THREATS, TPLS
 
 
 def _masked(lead: str, digits: int, mask: str) -> str:
-    number = f"lpad((doc_id + 1)::VARCHAR, {digits}, '7')"
+    number = f"lpad(((doc_id + 1) % {10**digits})::VARCHAR, {digits}, '7')"
     return f"CASE WHEN doc_id % 3 = 0 THEN 'Nr ' || {number} ELSE '{lead}{mask}' END || ' xin cảm ơn'"
 
 

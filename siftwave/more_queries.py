@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _numbered(spark: SparkSession, d: str, lead: str, digits: int) -> DataFrame:
-    """One message per document: a number behind the keyword, or behind another word in every third one."""
-    number = F.lpad((F.col("doc_id") + 1).cast("string"), digits, "7")
+    """One message per document: a number of so many digits behind the keyword, or behind another word in every third one."""
+    number = F.lpad(((F.col("doc_id") + 1) % 10**digits).cast("string"), digits, "7")
     before = F.when(F.col("doc_id") % 3 == 0, "Nr ").otherwise(lead)
     return documents(spark, d).select("doc_id", F.concat(before, number, F.lit(" xin cảm ơn")).alias("text"))
 
@@ -85,22 +87,22 @@ def source_registry(spark, d):
         F.when(key % 5 == 0, 7).alias("max_items"),
     )
     path = scratch(spark, "sources")
-    whole = load(spark, d, "supplier").agg(F.to_json(F.sort_array(F.collect_list(source))).alias("value"))  # a registry is one file
-    whole.write.text(path)
+    files = load(spark, d, "supplier").groupBy((key / 1000).cast("long")).agg(F.to_json(F.sort_array(F.collect_list(source))).alias("value"))  # lists of at most 1000 sources
+    files.select("value").write.text(path)
     return tables.read_sources(spark, path, "intel").select("name", "kind", F.col("max_items").cast("long").alias("max_items"), F.size("keywords").cast("long").alias("keywords"))
 
 
 @query
 def row_shapes(spark, d):
-    """A dataset file whose rows have too many or too few cells, by channel and label."""
+    """A dataset whose rows have too many or too few cells, by channel and label; its files are as many as the tasks that write it."""
     rows = labelled(spark, d)
-    plain = F.concat_ws(",", "id", F.lit("xin chao ban"), "label", "scam_type", "channel", "source", "has_url", "collected_at", "annotator")
-    line = F.when(F.col("channel") == "fax", F.concat(plain, F.lit(",more"))).when(F.col("label") == "scam", F.concat_ws(",", "id", F.lit("xin chao ban"))).otherwise(plain)
-    path = scratch(spark, "shapes")
-    header = spark.range(1).select(F.lit(",".join(schemas.MESSAGES.names)).alias("value"), F.lit(0).alias("o"))
-    table = header.unionByName(rows.select(line.alias("value"), F.lit(1).alias("o"))).repartition(1).sortWithinPartitions("o")  # a dataset is one file
-    table.select("value").write.text(path)
-    found = quality.check_rows(tables.read_dataset(spark, path, multi_line=False))
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    plain = F.concat_ws(",", "id", quoted, "label", "scam_type", "channel", "source", "has_url", "collected_at", "annotator")
+    line = F.when(F.col("channel") == "fax", F.concat(plain, F.lit(",more"))).when(F.col("label") == "scam", F.concat_ws(",", "id", quoted)).otherwise(plain)
+    path, header = scratch(spark, "shapes"), pa.array([",".join(schemas.MESSAGES.names)])
+    lines_of = lambda batches: (pa.RecordBatch.from_arrays([c], names=["value"]) for c in chain([header], (b.column(0) for b in batches)))
+    rows.select(line.alias("value")).mapInArrow(lines_of, "value string").write.text(path)
+    found = quality.check_rows(tables.read_dataset(spark, path))
     return found.filter(F.col("rule").isin("extra_cells", "missing_cells")).select("key", "rule")
 
 

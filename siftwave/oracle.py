@@ -116,7 +116,7 @@ ORACLE["text_keys"] = f"SELECT doc_id, {key('text')} AS key FROM documents"
 ORACLE["repeated_texts"] = f"""WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {fold('text')}) AS first FROM documents)
 SELECT doc_id::VARCHAR AS doc_id, first::VARCHAR AS first_id FROM f WHERE doc_id <> first"""
 EMAIL = rf"[{WORD}_.+-]+@[{WORD}_-]+(?:\.[{WORD}_-]+)+"
-ORACLE["mask_email"] = f"""WITH m AS (SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g') AS t FROM documents WHERE text LIKE '%@%')
+ORACLE["mask_email"] = f"""WITH m AS (SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g') AS t FROM documents)
 SELECT doc_id, md5(t) AS digest, len(regexp_extract_all(t, '<EMAIL>')) AS n FROM m"""
 ORACLE["email_texts"] = f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{EMAIL}')"
 LINKS = """links AS (SELECT page_id AS msg_id, url AS page_url,
@@ -441,7 +441,7 @@ SELECT id, label, annotator FROM la WHERE label = 'scam'
 UNION ALL SELECT 'msg_' || lpad(((SELECT m FROM top) + row_number() OVER (ORDER BY candidate_id))::VARCHAR, 6, '0'), label, 'a7' FROM rv WHERE accepted"""
 ORACLE["sequential_ids"] = """SELECT doc_id, 'msg_' || lpad(((SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY source, doc_id))::VARCHAR, 6, '0') AS id FROM documents"""
 ORACLE["next_id_number"] = "SELECT max(doc_id) + 1 AS next FROM labels"
-ORACLE["label_mapped_rows"] = """SELECT doc_id::VARCHAR AS text, CASE lang WHEN 'en' THEN 'normal' WHEN 'fr' THEN 'spam' ELSE '' END AS hint_label, 'sms' AS hint_channel FROM documents"""
+ORACLE["label_mapped_rows"] = """SELECT md5(text) AS digest, CASE lang WHEN 'en' THEN 'normal' WHEN 'fr' THEN 'spam' ELSE '' END AS hint_label, 'sms' AS hint_channel FROM documents"""
 REPORTS = """rq AS (SELECT event_id, event_type || ' ' || props AS masked_text, CASE WHEN event_type = 'view' THEN 'spam' ELSE 'scam' END AS reported_label,
     CASE WHEN event_type = 'click' THEN 'telegram' ELSE 'api' END AS channel, ts, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS ms FROM events WHERE event_type <> 'error'),
 rh AS (SELECT *, sha256(event_id::VARCHAR || chr(31) || masked_text) AS h FROM rq),
@@ -520,15 +520,16 @@ ORACLE["new_candidate_rows"] = f"""WITH {OUTCOMES}, so AS (SELECT *, substr(sour
 n AS (SELECT so, coalesce(sum(count(*) FILTER (outcome = 'added')) OVER (ORDER BY so ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM so GROUP BY 1),
 k AS (SELECT so.*, row_number() OVER (ORDER BY so.so, ord) AS r FROM so JOIN n USING (so) WHERE before < 300 AND outcome = 'added')
 SELECT 'cand_' || lpad(((SELECT max(doc_id) FROM labels) + r)::VARCHAR, 6, '0') AS id, source, md5(t3) AS digest FROM k WHERE r <= 300"""
-FRAUD = mask_steps("fr", f"SELECT doc_id AS ord, source, 'Quý khách vui lòng truy cập ' || array_to_string(({tokens('text')})[1:8], ' ') || ' để xác minh tài khoản' AS t0 FROM documents")
+FRAUD = mask_steps("fr", f"SELECT doc_id AS ord, source, 'Quý khách vui lòng truy cập ' || array_to_string({tokens('text')}, ' ') || ' để xác minh tài khoản' AS t0 FROM documents")
 ORACLE["template_candidate_texts"] = f"WITH {FRAUD} SELECT ord, md5(t3) AS digest FROM fr WHERE length(t3) <= 600"
 ORACLE["template_additions"] = f"""WITH RECURSIVE {FRAUD}, ok AS (SELECT ord, source, t3 FROM fr WHERE length(t3) <= 600),
 {shingle_cte('d', 'ok', 'ord', 't3')}, {NEAR}, {WALK},
 stay AS (SELECT id FROM r WHERE id NOT IN (SELECT id FROM linked) UNION ALL SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))
 SELECT 'tpl_' || lpad((row_number() OVER (ORDER BY ord))::VARCHAR, 6, '0') AS id, md5(t3) AS digest, source FROM ok JOIN stay ON stay.id = ok.ord"""
-ORACLE["synthetic_candidates"] = f"""WITH {FRAUD}, g AS (SELECT min(ord) AS ord, {key('t3')} AS key FROM fr GROUP BY 2)
-SELECT 'cand_' || lpad(((SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY fr.ord))::VARCHAR, 6, '0') AS id, 'scam' AS suggested_label, md5(t3) AS digest
-FROM fr JOIN g USING (ord) WHERE key NOT IN (SELECT {key('text')} FROM benchmark)"""
+ORACLE["synthetic_candidates"] = f"""WITH {FRAUD}, pf AS (SELECT ord, t3, {key('t3')} AS key FROM fr WHERE length(t3) BETWEEN 5 AND 2000 AND NOT coalesce({NAMED}, false)),
+g AS (SELECT min(ord) AS ord, key FROM pf GROUP BY 2)
+SELECT 'cand_' || lpad(((SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY pf.ord))::VARCHAR, 6, '0') AS id, 'scam' AS suggested_label, md5(t3) AS digest
+FROM pf JOIN g USING (ord) WHERE g.key NOT IN (SELECT {key('text')} FROM benchmark)"""
 ORACLE["score_documents"] = f"""WITH {MASKED}, {shingle_cte('d', 'm', 'doc_id', 't3')}, {TPLS},
 bx AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM b), dx AS (SELECT id, unnest(sh) AS s FROM d),
 c AS (SELECT dx.id, bx.id AS tpl, count(*) / any_value(bx.n)::DOUBLE AS cov FROM dx JOIN bx USING (s) GROUP BY 1, 2),

@@ -204,7 +204,7 @@ def repeated_texts(spark, d):
 @query
 def mask_email(spark, d):
     masked = text.mask_email(F.col("text"))
-    return documents(spark, d).filter(F.col("text").contains("@")).select("doc_id", F.md5(masked).alias("digest"), F.regexp_count(masked, F.lit("<EMAIL>")).cast("long").alias("n"))
+    return documents(spark, d).select("doc_id", F.md5(masked).alias("digest"), F.regexp_count(masked, F.lit("<EMAIL>")).cast("long").alias("n"))
 
 
 @query
@@ -706,7 +706,7 @@ def template_additions(spark, d):
 
 
 def fraud_texts(spark, d) -> DataFrame:
-    words = F.array_join(F.slice(sets.tokens(F.col("text")), 1, 8), " ")
+    words = F.array_join(sets.tokens(F.col("text")), " ")
     return documents(spark, d).select(
         F.col("doc_id").alias("ord"), "source", F.lit("").alias("source_url"),
         F.concat(F.lit("Quý khách vui lòng truy cập "), words, F.lit(" để xác minh tài khoản")).alias("text"),
@@ -959,9 +959,8 @@ def synthetic_candidates(spark, d):
 
 @query
 def label_mapped_rows(spark, d):
-    rows = documents(spark, d)
-    mapped = tables.label_mapped(rows.withColumn("text", F.col("doc_id").cast("string")), "text", "lang", {"en": "normal", "fr": "spam", "de": "ham"}, "sms")
-    return mapped
+    mapped = tables.label_mapped(documents(spark, d), "text", "lang", {"en": "normal", "fr": "spam", "de": "ham"}, "sms")
+    return mapped.select(F.md5("text").alias("digest"), "hint_label", "hint_channel")
 
 
 def report_requests(spark, d) -> DataFrame:

@@ -12,8 +12,10 @@ from .. import schemas
 from ..functions import fixed_values as fv
 from ..functions.urls import domain
 from ..session import cut
+from .quoted import BOM, CSV_OPTIONS, read_quoted, tables_of
 
-BOM = "﻿"
+
+NAMED = 20  # of the names at fault, so many are told
 
 
 class TableError(ValueError):
@@ -45,15 +47,18 @@ def _csv(spark: SparkSession, multi_line: bool):
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool | None = None
 ) -> DataFrame:
     """Text table as strings; a missing path is an empty table, missing cells are ``''``.
 
-    ``multi_line`` allows quoted cells with line breaks and reads each file in one
-    task; large tables are written as many files or as Parquet.
+    Quoted cells may hold line breaks; every file is still read by many tasks (see
+    ``quoted``). ``multi_line`` set gives Spark's own scan instead: True reads each file in
+    one task, False takes every line for a row.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    if fmt == "csv" and multi_line is None:
+        return read_quoted(spark, path, schema)
     if fmt != "csv":
         return spark.read.format(fmt).load(path).select(*schema.names)
     plain = _csv(spark, multi_line).option("mode", "PERMISSIVE").csv(path)
@@ -81,32 +86,30 @@ def check_header(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.createDataFrame(rows, "table string, rule string, detail string")
 
 
-def read_dataset(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Labelled dataset for checks: all cells, row shape in ``_extra`` and ``_missing``.
 
-    Refuses a byte order mark, missing columns and an empty file. Cells a row does
-    not have stay NULL; cells beyond the header set ``_extra``.
+    Refuses a byte order mark, missing columns and an empty table; all files of a folder
+    have the same header. Cells a row does not have stay NULL; cells beyond the header
+    set ``_extra``. Files are read by many tasks (``quoted``).
     """
-    header = header_of(spark, path)
-    if starts_with_bom(spark, path):
+    if path_exists(spark, path) and starts_with_bom(spark, path):
         raise TableError("file starts with a byte order mark")
+    found = tables_of(spark, path)
+    if len(found) > 1:
+        raise TableError("files differ in their header")
+    header, body = found[0] if found else ([], None)
     missing = [c for c in schemas.MESSAGES.names if c not in header]
     if missing:
         raise TableError(f"missing columns: {', '.join(sorted(missing))}")
-    columns = [T.StructField(c, T.StringType()) for c in header]
-    shape = T.StructType([*columns, T.StructField("_row", T.StringType())])
-    raw = (
-        spark.read.schema(shape)
-        .option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-        .option("columnPruning", False)  # a row's shape shows only if all its cells are parsed
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_row").option("emptyValue", "").option("nullValue", "\u0000")
-        .csv(path)
-    )
+    shape = ", ".join(f"`{c}` string" for c in [*header, "_row"])
+    options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_row", "nullValue": "\u0000"}
+    raw = body.select(F.from_csv("record", shape, options).alias("r")).select("r.*")
     # a malformed row keeps its text, and with it the number of its cells
-    cells = F.regexp_count(F.regexp_replace("_row", r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+    cells = F.regexp_count(F.regexp_replace("_row", '"[^"]*+"', ""), F.lit(",")) + 1
     short = F.coalesce(cells < len(header), F.lit(False))
     rows = raw.select(
-        *header,
+        *[F.col(f"`{c}`") for c in header],
         (F.col("_row").isNotNull() & ~short).alias("_extra"),
         short.alias("_missing"),
     )
@@ -148,12 +151,12 @@ def read_sources(spark: SparkSession, path: str, kind: str) -> DataFrame:
         ]
     ).withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
     unknown = ~F.col("kind").isin(kinds)
-    bad = [(r["name"], r["kind"]) for r in filled.filter(unknown).select("name", "kind").collect()]
+    bad = [r["kind"] for r in filled.filter(unknown).groupBy("kind").count().orderBy("kind").limit(NAMED).collect()]
     if bad:
-        raise TableError(f"unknown source kind: {', '.join(sorted({k for _, k in bad}))}")
+        raise TableError(f"unknown source kind: {', '.join(bad)}")
     if not intel:
         open_sets = filled.filter((F.col("kind") == "csv_dataset") & (F.col("license") == ""))
-        unlicensed = [r["name"] for r in open_sets.select("name").collect()]
+        unlicensed = [r["name"] for r in open_sets.select("name").orderBy("name").limit(NAMED).collect()]
         if unlicensed:
             raise TableError(f"public datasets need a license: {', '.join(unlicensed)}")
     return filled.filter("enabled")
