@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import fixed_values as fv
 from .more_queries import ID_TEXT, OTP_TEXT
-from .oracle import FP, HOSTS, LINKS, ORACLE, THREATS, TPLS
+from .oracle import FP, FRENCH, HOSTS, JUNK, LINKS, ORACLE, THREATS, TPLS
 
 
 def _masked(lead: str, digits: int, mask: str) -> str:
@@ -34,3 +34,20 @@ n AS (SELECT DISTINCT x.id FROM f x JOIN f y ON substr(y.id, 5)::BIGINT % 2 = 0
     AND len(list_intersect(x.fp, y.fp)) >= 0.8 * len(list_distinct(list_concat(x.fp, y.fp))))
 SELECT 'blocked_domains' AS "table", parent AS key, 'rejected_before' AS rule FROM (SELECT DISTINCT parent FROM hosts WHERE lang = 'fr')
 UNION ALL SELECT 'scam_templates', id, 'rejected_before' FROM n"""
+# Each half of the pages is scored with the tables of its time; the second version lists the French domains too.
+_second = ORACLE["score_without_model"].replace(JUNK, JUNK.replace("junk AS (", "junk1 AS (", 1) + ", junk AS (SELECT domain FROM junk1 UNION SELECT domain FROM french)")
+_second = _second.replace(f", {FRENCH}", "", 1).replace(JUNK.replace("junk AS (", "junk1 AS (", 1), FRENCH + ", " + JUNK.replace("junk AS (", "junk1 AS (", 1), 1)
+ORACLE["stream_scores_by_version"] = f"""SELECT * FROM (SELECT *, 1::BIGINT AS intel_version FROM ({ORACLE["score_without_model"]}) WHERE msg_id % 2 = 0)
+UNION ALL BY NAME SELECT *, 2::BIGINT AS intel_version FROM ({_second}) WHERE msg_id % 2 = 1"""
+ORACLE["stream_fresh_texts"] = """WITH RECURSIVE o AS (SELECT user_id AS client, event_id, event_type || ' ' || (length(props) // 8) AS key,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s(client, n, event_id, fresh, held) AS (SELECT client, n, event_id, true, [key] FROM o WHERE n = 1
+  UNION ALL SELECT o.client, o.n, o.event_id, NOT list_contains(held, key),
+    CASE WHEN list_contains(held, key) THEN held WHEN len(held) >= 2 THEN list_append(held[2:], key) ELSE list_append(held, key) END
+  FROM s JOIN o ON o.client = s.client AND o.n = s.n + 1)
+SELECT client, event_id, fresh FROM s"""
+ORACLE["client_windows"] = """WITH RECURSIVE s(client, t) AS (SELECT user_id, min(ts) FROM events GROUP BY 1
+  UNION ALL SELECT s.client, min(e.ts) FROM s JOIN events e ON e.user_id = s.client AND e.ts >= s.t + INTERVAL 1 DAY GROUP BY s.client),
+w AS (SELECT user_id AS client, event_id, ts, (SELECT max(t) FROM s WHERE s.client = user_id AND s.t <= ts) AS start FROM events)
+SELECT client, event_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, row_number() OVER (PARTITION BY client, start ORDER BY ts, event_id) > 3 AS refused FROM w"""
+ORACLE["stream_client_windows"] = ORACLE["client_windows"]

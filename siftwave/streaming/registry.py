@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.scoring import Intel
 from ..registry import french_domains, junk_domains, query, variant
 from ..session import shared_folder
-from . import jobs
+from . import clients, jobs, snapshots
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -81,3 +81,45 @@ def stream_newest_texts(spark, d):
     stream = _table_stream(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
     jobs.start_newest(stream, f"{folder}/rows", f"{folder}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("ord", "key")
+
+
+@query
+def stream_scores_by_version(spark, d):
+    """Pages arriving in two halves; between them the threat tables get a second version."""
+    folder = _scratch(spark, "versions")
+    arriving = spark.read.parquet(f"{d}/pages.parquet").select(
+        F.col("page_id").alias("msg_id"), F.concat(F.lit("Check "), variant(F.col("url")), F.lit(" now")).alias("text")
+    )
+    schema = arriving.schema
+    listed = [junk_domains(spark, d), junk_domains(spark, d).unionByName(french_domains(spark, d)).distinct()]
+    for half, blocked in enumerate(listed):
+        snapshots.publish(spark, f"{folder}/intel", Intel(blocked, french_domains(spark, d)))
+        arriving.filter(F.col("msg_id") % 2 == half).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        snapshots.start_versioned_scoring(stream, f"{folder}/intel", f"{folder}/rows", f"{folder}/state", once=True).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    return rows.select("msg_id", "intel_version", "status", "label", F.round("confidence", 9).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def stream_fresh_texts(spark, d):
+    """Texts of each user that aren't among the user's last two fresh ones."""
+    text = F.concat_ws(" ", "event_type", F.floor(F.length("props") / 8))
+    stream = _event_stream(spark, d).select(F.col("user_id").alias("client"), "event_id", "ts", text.alias("text"))
+    return _collected(clients.first_texts(stream, 2), spark, "fresh").select("client", "event_id", "fresh")
+
+
+def _limited(rows):
+    return rows.select("client", "event_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "refused")
+
+
+@query
+def stream_client_windows(spark, d):
+    stream = _event_stream(spark, d).select(F.col("user_id").alias("client"), "event_id", "ts")
+    return _limited(_collected(clients.limit_clients(stream, 3, "1 day", "40 days"), spark, "windows"))
+
+
+@query
+def client_windows(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("client"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _limited(clients.limited_requests(events, 3, 86_400))
