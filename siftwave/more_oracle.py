@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .functions import fixed_values as fv
-from .more_queries import ID_TEXT, OTP_TEXT
-from .oracle import FP, FRENCH, HOSTS, JUNK, LINKS, ORACLE, THREATS, TPLS
+from .more_queries import ID_TEXT, OTP_TEXT, PLEA
+from .oracle import FP, FRENCH, HOSTS, JUNK, LINKS, ORACLE, SEEN, THREATS, TPLS
 
 
 def _masked(lead: str, digits: int, mask: str) -> str:
@@ -51,3 +51,30 @@ ORACLE["client_windows"] = """WITH RECURSIVE s(client, t) AS (SELECT user_id, mi
 w AS (SELECT user_id AS client, event_id, ts, (SELECT max(t) FROM s WHERE s.client = user_id AND s.t <= ts) AS start FROM events)
 SELECT client, event_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, row_number() OVER (PARTITION BY client, start ORDER BY ts, event_id) > 3 AS refused FROM w"""
 ORACLE["stream_client_windows"] = ORACLE["client_windows"]
+
+# quotes in the pages' own paragraphs, beside the one the queries add
+_block = """trim(regexp_replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+OWN_QUOTES = f"""qz AS (SELECT page_id, CAST(sum(len(regexp_extract_all(t, '[“"«]([^”"»]{{30,600}})[”"»]'))) AS BIGINT) AS own FROM (SELECT page_id, {_block} AS t FROM
+    (SELECT page_id, unnest(regexp_split_to_array(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<br>', ' '), '</?(p|h1)>')) AS x FROM pages))
+    WHERE length(t) >= {fv.MIN_PARAGRAPH_CHARS} GROUP BY 1)"""
+_read = SEEN.replace(HOSTS, HOSTS + ", h AS (SELECT * FROM hosts WHERE NOT contains(url, '#top'))", 1).replace("FROM hosts GROUP BY 1, 2, 3", "FROM h GROUP BY 1, 2, 3", 1)
+ORACLE["intel_update"] = f"""WITH {_read}, {OWN_QUOTES}, per AS (SELECT lang AS source, count(*) FILTER (NOT contains(url, '#top')) AS articles,
+    count(DISTINCT CASE WHEN NOT contains(url, '#top') THEN parent END) AS domains, CAST(coalesce(sum(1 + coalesce(own, 0)) FILTER (NOT contains(url, '#top') AND lang IN ('en', 'de')), 0) AS BIGINT) AS texts,
+    count(*) FILTER (contains(url, '#top')) AS errors FROM hosts LEFT JOIN qz USING (page_id) GROUP BY 1),
+tot AS (SELECT sum(articles) AS articles, sum(errors) AS errors, coalesce(max(1) FILTER (source = 'en' AND articles > 0), 0) AS en, coalesce(max(1) FILTER (source = 'de' AND articles > 0), 0) AS de FROM per),
+cnt AS (SELECT count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'allowed') AS allowed, count(*) FILTER (outcome = 'rejected') AS rejected FROM oc)
+SELECT 'domain' AS kind, source, domain AS name, 1::BIGINT AS n FROM oc WHERE outcome = 'new'
+UNION ALL SELECT 'template', 'en', 'tpl_000008', 1 FROM tot WHERE en = 1
+UNION ALL SELECT 'report', source, u.name, u.n FROM per, LATERAL (VALUES ('articles', articles), ('domains', domains), ('texts', texts), ('errors', errors)) u(name, n)
+UNION ALL SELECT 'counter', '', u.name, u.n::BIGINT FROM tot, cnt, LATERAL (VALUES ('articles', tot.articles), ('errors', tot.errors), ('new_domains', new), ('skipped_allowed', allowed),
+    ('new_templates', en), ('skipped_rejected', rejected + de)) u(name, n)"""
+ORACLE["source_collection"] = f"""WITH {HOSTS}, {OWN_QUOTES}, p AS (SELECT lang AS source, ascii(lang) AS o, page_id, parent, contains(url, '#top') AS failed, length(parent) % 2 = 0 AS barred FROM hosts),
+q AS (SELECT source, o, page_id, substr(parent, 1, 4) AS w FROM p WHERE NOT failed AND NOT barred AND source <> 'fr'),
+f AS (SELECT source, w, min(page_id) AS first FROM q GROUP BY 1, 2),
+c AS (SELECT q.source, count(*) FILTER (page_id = first) AS added, count(*) FILTER (page_id <> first) AS duplicate FROM q JOIN f USING (source, w) GROUP BY 1),
+per AS (SELECT source, count(*) FILTER (NOT failed AND NOT barred) AS articles, count(*) FILTER (failed AND NOT barred) + count(DISTINCT CASE WHEN barred THEN parent END) AS errors,
+    count(*) FILTER (barred) AS barred_pages, count(*) FILTER (failed AND NOT barred) AS failed_pages,
+    CAST(coalesce(sum(own) FILTER (NOT failed AND NOT barred AND source <> 'fr'), 0) AS BIGINT) AS invalid FROM p LEFT JOIN qz USING (page_id) GROUP BY 1)
+SELECT 'report' AS kind, source, u.name, u.n FROM per LEFT JOIN c USING (source), LATERAL (VALUES ('articles', articles), ('added', coalesce(added, 0)), ('duplicate', coalesce(duplicate, 0)), ('name', 0), ('invalid', invalid), ('errors', errors)) u(name, n)
+UNION ALL SELECT 'counter', '', u.name, u.n FROM (SELECT coalesce(sum(added), 0)::BIGINT AS a, coalesce(sum(duplicate), 0)::BIGINT AS b FROM c), (SELECT sum(barred_pages)::BIGINT AS x, sum(failed_pages)::BIGINT AS y, sum(invalid)::BIGINT AS z FROM per),
+    LATERAL (VALUES ('added', a), ('duplicate', b), ('name', 0), ('invalid', z), ('barred_pages', x), ('failed_pages', y)) u(name, n)"""

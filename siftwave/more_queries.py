@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import fixed_values as fv
+from .functions import similarity as text_similarity
 from .functions import text
 from .operators import joins
-from .plans import evaluate, intel, quality, scoring, split
-from .registry import documents, french_domains, junk_domains, labelled, link_messages, load, page_domains, query
+from .plans import evaluate, intel, jobs, quality, scoring, split
+from .registry import candidates, documents, french_domains, junk_domains, known_offers, known_tables, labelled, link_messages, load, page_domains, pages, query
 from .session import shared_folder
 from .sources import tables
 
 OTP_TEXT = "Mã xác nhận của bạn là "
 ID_TEXT = "Số CCCD: "
+WARNING = "Cảnh báo: website lừa đảo "
+PLEA = ("Quý khách vui lòng truy cập ", " để xác minh tài khoản")
+LANGS = ["en", "fr", "de", "es"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -151,3 +155,57 @@ def rejected_before(spark, d):
     empty = none.filter("false").select(F.lit("").alias("fingerprint"), F.lit("").alias("reason"), F.lit("").alias("rejected_at"))
     _, prints, _ = intel.reject_templates(none, empty, asked, "2026-01-02")
     return quality.check_not_rejected(listed, templates.select("id", "text"), barred, prints).select("table", "key", "rule")
+
+
+def plea(lang):
+    """A fraud message in quotes, another one for each language."""
+    return F.concat(F.lit(PLEA[0]), F.concat_ws(" ", *[F.concat(lang, F.lit(str(i))) for i in range(9)]), F.lit(PLEA[1]))
+
+
+def crawl(spark, d) -> DataFrame:
+    """Pages as a crawl stored them: whole bodies with a warning at the end of the article; those with a fragment failed."""
+    rows = page_domains(spark, d).select("page_id", "lang", "parent", "url").join(pages(spark, d).select("page_id", "html"), "page_id")
+    warning = F.concat(F.lit("<p>" + WARNING), "parent", F.lit(" đã nhắn “"), plea(F.col("lang")), F.lit("”</p></article>"))
+    kind = F.when(F.col("lang") == "fr", jobs.DOMAIN_LIST).when(F.col("lang") == "es", jobs.DOMAIN_PAGE).otherwise(jobs.ARTICLE)
+    body = F.when(F.col("lang") == "fr", F.concat(F.lit("# list\n"), "parent")).otherwise(F.replace("html", F.lit("</article>"), warning))
+    return rows.select(
+        F.col("lang").alias("source"), F.ascii("lang").alias("source_ord"), kind.alias("kind"), "page_id",
+        F.concat(F.lit("https://news.example/"), F.col("page_id").cast("string")).alias("url"), body.alias("content"),
+        F.when(F.col("url").contains("#top"), "timeout").alias("error"), "lang", "parent",
+    )
+
+
+def _facts(report: DataFrame, key: str, counters: dict[str, int], spark: SparkSession) -> DataFrame:
+    """``(kind, source, name, n)`` of a report's columns and a job's counters."""
+    names = [c for c in report.columns if c != key]
+    long = report.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in names])).alias("m"))
+    told = long.select(F.lit("report").alias("kind"), F.col(key).alias("source"), "m.name", "m.n")
+    rows = spark.createDataFrame([("counter", "", k, int(v)) for k, v in sorted(counters.items())], "kind string, source string, name string, n long")
+    return told.unionByName(rows)
+
+
+@query
+def intel_update(spark, d):
+    """One update of the threat tables from all pages; a German message had been rejected, an English one is known in the larger tables."""
+    existing, allowed, rejected = known_tables(spark, d)
+    one = lambda lang: spark.range(1).select(text.template_text(plea(F.lit(lang))).alias("text"))
+    templates = one("fr").select(F.lit("tpl_000007").alias("id"), "text", F.lit("old").alias("source"), F.lit("").alias("source_url"), F.lit("2025-01-01").alias("first_seen"))
+    barred = one("de").select(F.array_join(text_similarity.fingerprint(F.col("text")), " ").alias("fingerprint"))
+    crawled = crawl(spark, d).drop("lang", "parent")
+    done = jobs.update_intel(crawled, existing, templates, allowed, rejected, barred, "2026-01-01", mode="block")
+    added = done.new_domains.select(F.lit("domain").alias("kind"), "source", F.col("domain").alias("name"), F.lit(1).cast("long").alias("n"))
+    named = done.new_templates.select(F.lit("template").alias("kind"), "source", F.col("id").alias("name"), F.lit(1).cast("long").alias("n"))
+    return added.unionByName(named).unionByName(_facts(done.report, "source", done.counters, spark))
+
+
+@query
+def source_collection(spark, d):
+    """One collection of training texts from all pages; every second site's robots file bars training."""
+    rows = crawl(spark, d)
+    stored = rows.select(
+        F.col("source").alias("source_name"), "source_ord", F.lit("news").alias("origin"), F.col("parent").alias("host"), "page_id", "url",
+        F.replace("content", F.lit(" đã nhắn “"), F.concat(F.lit(" đã nhắn “"), F.col("parent").substr(1, 4), F.lit(" "))).alias("html"), "error",
+    )
+    robots = rows.select(F.col("parent").alias("host")).distinct().select("host", F.when(F.length("host") % 2 == 0, "User-agent: GPTBot\nDisallow: /").otherwise("User-agent: *\nAllow: /").alias("text"))
+    done = jobs.collect_sources(stored, robots, candidates(spark, d), known_offers(spark, d), "2026-01-01", mode="block")
+    return _facts(done.report, "source_name", done.counters, spark)

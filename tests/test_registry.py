@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
     "template_best_match", "near_duplicate_pairs", "greedy_dedup", "rejected_near_copies", "mask_documents", "url_findings", "link_verdicts",
-    "score_link_messages", "stratified_split", "domain_outcomes", "page_block_paragraphs", "robots_policy", "new_candidate_rows", "listed_reports", "stream_scores", "page_paragraphs", "threat_matches", "row_shapes", "source_registry", "csv_round_trip", "stream_over_limit", "rejected_before",
+    "score_link_messages", "stratified_split", "domain_outcomes", "page_block_paragraphs", "robots_policy", "new_candidate_rows", "listed_reports", "stream_scores", "page_paragraphs", "threat_matches", "row_shapes", "source_registry", "csv_round_trip", "stream_over_limit", "rejected_before", "source_collection", "client_windows", "stream_client_windows", "stream_scores_by_version",
 ]
 
 
