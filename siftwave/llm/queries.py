@@ -81,8 +81,9 @@ def op9_warc(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op1_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
-    judged = pstable.near_vectors(table(spark, d, "embeddings"))
-    return judged.select("row.vec_id", "n_links", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    judged = pstable.near_vectors(table(spark, d, "embeddings"), columns=["vec_id"])
+    component = F.when(F.col("component") != NO_ID, F.col("component"))
+    return judged.select("row.vec_id", "n_links", component.alias("component_id"), F.col("first").alias("kept"))
 
 
 @query

@@ -50,10 +50,32 @@ def test_embedding_dedup_of_nothing(spark):
         assert len(got) == len(rows) and all(r.n_links == 0 and r.component == r.key for r in got)
 
 
+def test_vectors_of_any_length_and_id_are_compared(spark):
+    rows = [(1, [1.0, 0.5, 0.0]), (4, [1.0, 0.5]), (5, [1.0, 0.51]), (2, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0]), (6, [0.0, 1e-300, 1.0]), (7, [-1e200, -1e200]), (8, [-1e200, -0.9e200]), (9, []), (None, None)]
+    judged = pstable.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("row.vec_id", "row.embedding", "n_links", "component", "first").collect()
+    assert len(judged) == len(rows)
+    got = {(r.vec_id, str(r.embedding)): (r.n_links, r.component, r.first) for r in judged}
+    assert got[(4, "[1.0, 0.5]")] == (1, 4, True) and got[(5, "[1.0, 0.51]")] == (1, 4, False)
+    assert got[(2, "[0.0, 1.0, 0.0]")] == (1, NO_ID, False) and got[(None, "[0.0, 1.0, 0.01]")] == (1, NO_ID, True)
+    assert got[(None, "[0.0, 0.0, 1.0]")] == (1, NO_ID, True) and got[(6, "[0.0, 1e-300, 1.0]")][:2] == (1, NO_ID)
+    assert got[(7, "[-1e+200, -1e+200]")] == (1, 7, True) and got[(8, "[-1e+200, -9e+199]")] == (1, 7, False) and got[(9, "[]")] == (0, 9, True)
+
+
 def test_tables_follow_from_the_recall():
     assert pstable.collision(0.1, 2.0) > pstable.collision(0.4, 2.0) > pstable.collision(1.4, 2.0)
-    (k, some), (_, more) = pstable.plan(10_000, 0.9, 0.9, 2.0), pstable.plan(10_000, 0.9, 0.999, 2.0)
-    assert k > 5 and more > some
+    some, more = pstable.plan(10_000, 0.9, 0.9, 64), pstable.plan(10_000, 0.9, 0.999, 64)
+    assert more.tables > some.tables and pstable.plan(10**8, 0.9, 0.999, 64).tables < 300
+
+
+def test_hashing_keeps_its_recall_at_the_threshold():
+    r = np.random.default_rng(7)
+    a = pstable.unit(r.normal(size=(4000, 64)))
+    side = r.normal(size=a.shape)
+    side = pstable.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side  # cosine 0.9 exactly
+    of = pstable.plan(100_000, 0.9, 0.99, 64)
+    tables = pstable.Tables(64, of)
+    assert (tables.buckets(a) == tables.buckets(b)).any(axis=1).mean() > 0.99 - 3 * (0.01 * 0.99 / 4000) ** 0.5
 
 
 def test_best_cuts_are_the_cheapest():
