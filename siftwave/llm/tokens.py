@@ -3,7 +3,8 @@
 A byte-level tokenizer never joins the end of a word with white space behind it,
 so a text may be cut in front of white space that follows something else. The
 distinct pieces are few against the text; they are encoded together and put back
-in place by their hash.
+in place by their hash. Every piece is compared with the bytes its hash stands for;
+one of equal hash and other bytes is encoded on its own.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known, self.at, self.size, self.pool = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.bytes, self.bytes_at, self.bytes_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(ids, ids of each piece, row, start, end of each piece)`` of all texts, in order."""
@@ -55,8 +57,16 @@ class Encoder:
                 new = np.arange(len(distinct))
             self._learn(data, start[first[new]], end[first[new]], alone[first[new]], distinct[new])
             at = np.searchsorted(self.known, distinct)
-        size = self.size[at][which]
-        return self.pool[spread(self.at[at][which], size)], size, row, start, end
+        place, size, pool = self.at[at], self.size[at], self.pool
+        # known pieces whose bytes are others, and pieces that differ from the first of their hash
+        wrong = _differ(data, start[first], end[first] - start[first], self.bytes, self.bytes_at[at], self.bytes_size[at])
+        other = _differ(data, start, end - start, data, start[first][which], (end - start)[first][which]) | wrong[which]
+        place, size = place[which], size[which]
+        for i in np.flatnonzero(other):
+            ids = np.array(self._ids(data[start[i] : end[i]].tobytes().decode()), np.int32)
+            place[i], size[i] = len(pool), len(ids)
+            pool = np.concatenate([pool, ids])
+        return pool[spread(place, size)], size, row, start, end
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray, h: np.ndarray) -> None:
         ids, sizes = [], np.zeros(len(start), np.int64)
@@ -82,11 +92,23 @@ class Encoder:
         taken = np.concatenate(order)
         place[taken] = np.cumsum(sizes[taken]) - sizes[taken] + len(self.pool)
         self.pool = np.concatenate([self.pool, *ids])
+        bytes_at = np.cumsum(end - start) - (end - start) + len(self.bytes)
+        self.bytes = np.concatenate([self.bytes, data[spread(start, end - start)]])
         known = np.concatenate([self.known, h])
         order = np.argsort(known)
+        self.bytes_at, self.bytes_size = np.concatenate([self.bytes_at, bytes_at])[order], np.concatenate([self.bytes_size, end - start])[order]
         self.known, self.at, self.size = known[order], np.concatenate([self.at, place])[order], np.concatenate([self.size, sizes])[order]
 
 
+def _differ(data: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which stretches of ``data`` aren't the stretches of ``others``."""
+    out = size != sizes
+    same = np.where(out, 0, size)
+    unlike = np.concatenate([[0], np.cumsum(data[spread(start, same)] != others[spread(at, same)])])
+    ends = np.cumsum(same)
+    return out | (unlike[ends] > unlike[ends - same])
+
+
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(start, end, row, alone)`` of the pieces. Pieces that might join their neighbours in a longer text are encoded alone."""
     n = len(data)
