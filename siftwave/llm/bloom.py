@@ -8,8 +8,8 @@ without a join. Each level is a small fraction of the one before.
 
 A rule is a host and a path prefix. It fits its host and all subdomains, for paths
 that start with its path; the longest rule that fits decides (of equally long ones,
-that with the longer host), and a url that none fits is allowed. A key listed as
-both is blocked. Null urls, and urls without ``://``, have an empty host and path
+that with the longer host), and a url that none fits is allowed. A rule without a
+slash is a host with the empty path. A key listed as both is blocked. Null urls, and urls without ``://``, have an empty host and path
 and fit no rule. Repeated rows are judged alike; without rules all is allowed.
 """
 
@@ -137,9 +137,10 @@ def _behind(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys a rule that fits could have, the longest first: the host's suffixes with the path's prefixes of the given lengths."""
-    labels = F.split(host, r"\.")
+def candidates(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """All keys a rule that fits could have, the longest first: the host's suffixes of at most ``labels`` labels with the path's prefixes of the given lengths."""
+    tail = F.substring_index(host, ".", -labels)
+    labels = F.split(tail, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct((-(F.length(h) + F.length(p))).alias("rank"), (-F.length(h)).alias("host"), F.concat(h, p).alias("key")))))
@@ -149,15 +150,18 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", max_bytes: int = CASCADE_BYTES) -> DataFrame:
     """``(row, host, path, rule, verdict)`` per page; ``rules(rule, action)`` holds ``host/path`` strings and ``block`` or ``allow``."""
     spark = pages.sparkSession
-    clean = rules.filter("rule IS NOT NULL AND instr(rule, '/') > 0").select("rule", (F.col("action") == "block").alias("block"))
+    clean = rules.filter("rule <> ''").select("rule", (F.col("action") == "block").alias("block"))
     clean = stored(clean.groupBy("rule").agg(F.max("block").alias("block")), "rules")
-    path_length = F.length("rule") - F.instr(F.col("rule"), "/") + 1
+    slash = F.instr(F.col("rule"), "/")
+    path_length = F.when(slash > 0, F.length("rule") - slash + 1).otherwise(0)
+    # no listed host has more labels, so longer suffixes of a page's host can't be listed
+    most = clean.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\.")))).first()[0]
     lengths = sorted(r[0] for r in clean.select(path_length).distinct().collect())  # distinct lengths of paths: a few hundred at most
     url = F.col(url_col).cast("string")
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     if not lengths:
         return base.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    asked = base.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
+    asked = base.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths, most))
     universe = asked.select(F.explode("keys").alias("key")).distinct().unionByName(clean.select(F.col("rule").alias("key")))
     universe = stored(universe.distinct(), "universe")
     try:

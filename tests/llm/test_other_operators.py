@@ -61,6 +61,34 @@ def test_vectors_of_any_length_and_id_are_compared(spark):
     assert got[(7, "[-1e+200, -1e+200]")] == (1, 7, True) and got[(8, "[-1e+200, -9e+199]")] == (1, 7, False) and got[(9, "[]")] == (0, 9, True)
 
 
+def test_pieces_of_equal_hash_get_their_own_ids():
+    import pyarrow as pa
+
+    from siftwave.llm import arrays, tokens
+
+    word = "a"
+    while len(word) < 4096:  # two words that a polynomial modulo 2 ** 64 can't tell apart
+        word += word.translate({97: 98, 98: 97})
+    twin = word.translate({97: 98, 98: 97})
+    data, offsets = arrays.text_buffer(pa.array([word, twin]))
+    p = arrays.prefix_sums(arrays.byte_values()[data])
+    assert len(np.unique(arrays.span_hash(p, offsets[:-1], offsets[1:]))) == 1
+    for texts in ([word, twin, word], [twin], [f"x {word} y", f"x {twin} y"]):
+        fresh = tokens.Encoder(queries.tokenizer_file())
+        fresh.encode(*arrays.text_buffer(pa.array(["x " + word])))  # known before
+        ids, size, row, _, _ = fresh.encode(*arrays.text_buffer(pa.array(texts)))
+        got = np.split(ids, np.cumsum(np.bincount(row, weights=size, minlength=len(texts)).astype(int))[:-1])
+        assert [g.tolist() for g in got] == [fresh._ids(t) for t in texts]
+
+
+def test_url_filter_of_long_hosts_and_bare_hosts(spark):
+    long = ".".join(["a"] * 30_000) + ".bad.example"
+    pages = [(1, f"http://{long}/x"), (2, "http://bad.example"), (3, "http://good.bad.example/y"), (4, f"http://{'b.' * 20_000}other/"), (5, "http://notbad.example/")]
+    rules = spark.createDataFrame([("bad.example", "block"), ("good.bad.example/y", "allow"), (None, "block"), ("", "block")], "rule string, action string")
+    got = {r.row.page_id: (r.rule, r.verdict) for r in bloom.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("bad.example", "block"), 2: ("bad.example", "block"), 3: ("good.bad.example/y", "allow"), 4: (None, "allow"), 5: (None, "allow")}
+
+
 def test_tables_follow_from_the_recall():
     assert pstable.collision(0.1, 2.0) > pstable.collision(0.4, 2.0) > pstable.collision(1.4, 2.0)
     some, more = pstable.plan(10_000, 0.9, 0.9, 64), pstable.plan(10_000, 0.9, 0.999, 64)
