@@ -37,24 +37,46 @@ def restored_urls(c: Column) -> Column:
     return urls(restore(c))
 
 
-def _dotted(number: Column) -> Column:
-    """IPv4 address written as one number."""
-    octets = [F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
-    return F.when(number.between(0, 4294967295), F.concat_ws(".", *octets))
+def _address(name: Column) -> Column:
+    """IPv4 address of a name of one to four numbers, NULL if it is none.
+
+    Numbers are decimal, octal with a leading zero or hexadecimal with ``0x``; the last
+    one fills all bytes that are left.
+    """
+
+    def value(part: Column) -> Column:
+        hexadecimal = F.regexp_extract(part, "^0[xX]0*([0-9a-fA-F]{1,8})$", 1)
+        octal = F.regexp_extract(part, "^0+([1-7][0-7]{0,10})$", 1)
+        return (
+            F.when(part.rlike("^0+$"), F.lit(0).cast("long"))
+            .when(part.rlike("^[1-9][0-9]{0,9}$"), F.try_to_number(part, F.lit("9999999999")).cast("long"))
+            .when(octal != "", F.conv(octal, 8, 10).cast("long"))
+            .when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
+        )
+
+    def address(numbers: Column) -> Column:
+        n = F.size(numbers)
+        last = F.element_at(numbers, -1)
+        room = F.element_at(F.array(*[F.lit(256**k).cast("long") for k in (4, 3, 2, 1)]), n)
+        lead = F.slice(numbers, F.lit(1), n - 1)
+        good = F.forall(numbers, lambda v: v.isNotNull()) & F.forall(lead, lambda v: v <= 255) & (last < room)
+        whole = F.aggregate(lead, F.lit(0).cast("long"), lambda acc, v: acc * 256 + v) * room + last
+        octets = [F.shiftright(whole, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+        return F.when(good, F.concat_ws(".", *octets))
+
+    numeric = name.rlike(r"^[0-9][0-9a-fA-FxX]*(?:\.[0-9][0-9a-fA-FxX]*){0,3}$")
+    return F.when(numeric, let(F.transform(F.split(name, r"\."), value), address))
 
 
 def host(url: Column) -> Column:
     """Lower-case ASCII host of a link, NULL when the link has no valid one."""
 
     def checked(name: Column) -> Column:
-        number = F.when(name.rlike(r"^\d{1,10}$"), name.cast("long")).when(
-            name.rlike("(?i)^0x[0-9a-f]{1,8}$"), F.conv(F.substring(name, 3, 8), 16, 10).cast("long")
-        )
-        return (
-            F.when(number.isNotNull(), _dotted(number))
+        return let(_address(name), lambda address: (
+            F.when(address.isNotNull(), address)
             .when(name.rlike(HOST_NAME), F.lower(to_ascii(name)))
             .when(name.rlike(IPV6_HOST), F.lower(F.translate(name, "[]", "")))
-        )
+        ))
 
     authority = F.regexp_extract(F.regexp_replace(url, SCHEME, ""), r"^[^/?#\\]*", 0)
     place = F.regexp_replace(authority, "^.*@", "")

@@ -78,3 +78,7 @@ per AS (SELECT source, count(*) FILTER (NOT failed AND NOT barred) AS articles,
 SELECT 'report' AS kind, source, u.name, u.n FROM per LEFT JOIN c USING (source), LATERAL (VALUES ('articles', articles), ('added', coalesce(added, 0)), ('duplicate', coalesce(duplicate, 0)), ('name', 0), ('invalid', invalid), ('errors', errors)) u(name, n)
 UNION ALL SELECT 'counter', '', u.name, u.n FROM (SELECT coalesce(sum(added), 0)::BIGINT AS a, coalesce(sum(duplicate), 0)::BIGINT AS b FROM c), (SELECT sum(barred_pages)::BIGINT AS x, sum(failed_pages)::BIGINT AS y, sum(invalid)::BIGINT AS z FROM per),
     LATERAL (VALUES ('added', a), ('duplicate', b), ('name', 0), ('invalid', z), ('barred_pages', x), ('failed_pages', y)) u(name, n)"""
+
+ORACLE["numeric_hosts"] = """WITH n AS (SELECT page_id, (page_id * 2654435761) % 4294967296 AS n FROM pages)
+SELECT page_id, concat_ws('.', (n >> 24) & 255, (n >> 16) & 255, (n >> 8) & 255, n & 255) AS host FROM n"""
+ORACLE["header_findings"] = """SELECT lang || '.csv' AS "table", 'header' AS rule FROM (SELECT DISTINCT lang FROM documents WHERE lang IN ('fr', 'de')) UNION ALL SELECT 'none.csv', 'missing_file'"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions import fixed_values as fv
 from .functions import similarity as text_similarity
-from .functions import text
+from .functions import text, urls
 from .operators import joins
 from .plans import evaluate, intel, jobs, quality, scoring, split
 from .registry import candidates, documents, french_domains, junk_domains, known_offers, known_tables, labelled, link_messages, load, page_domains, pages, query
@@ -209,3 +209,29 @@ def source_collection(spark, d):
     robots = rows.select(F.col("parent").alias("host")).distinct().select("host", F.when(F.length("host") % 2 == 0, "User-agent: GPTBot\nDisallow: /").otherwise("User-agent: *\nAllow: /").alias("text"))
     done = jobs.collect_sources(stored, robots, candidates(spark, d), known_offers(spark, d), "2026-01-01", mode="block")
     return _facts(done.report, "source_name", done.counters, spark)
+
+
+@query
+def numeric_hosts(spark, d):
+    """Addresses written as one number, in hexadecimal, in octal parts or with a long last part."""
+    n = (F.col("page_id") * 2654435761) % 2**32
+    octets = [F.shiftright(n, k).bitwiseAND(F.lit(255)) for k in (24, 16, 8, 0)]
+    forms = [
+        n.cast("string"), F.concat(F.lit("0x"), F.lower(F.hex(n))), F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(o.cast("string"), 10, 8)) for o in octets]),
+        F.concat_ws(".", octets[0].cast("string"), (n % 2**24).cast("string")),
+    ]
+    shape = F.element_at(F.array(*forms), (F.col("page_id") % 4 + 1).cast("int"))
+    return pages(spark, d).select("page_id", urls.host(F.concat(F.lit("http://me@"), shape, F.lit(":8080/x"))).alias("host"))
+
+
+@query
+def header_findings(spark, d):
+    """Tables written by language, whose headers are right, in another order or short of a column, and one that isn't there."""
+    path = scratch(spark, "headers")
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.lit("").alias("source_url"), F.lit("2026-01-01").alias("first_seen"), "lang")
+    names = schemas.TEMPLATES.names
+    found = tables.check_header(spark, f"{path}/none.csv", schemas.TEMPLATES)
+    for lang, columns in (("en", names), ("fr", names[::-1]), ("de", names[:-1]), ("es", names)):
+        tables.write_table(rows.filter(F.col("lang") == lang).select(*columns), f"{path}/{lang}.csv", "csv")
+        found = found.unionByName(tables.check_header(spark, f"{path}/{lang}.csv", schemas.TEMPLATES))
+    return found.select("table", "rule")

@@ -22,6 +22,16 @@ def test_hosts(column):
     assert column(urls.host, list(cases)) == list(cases.values())
 
 
+def test_numeric_hosts(column):
+    cases = {
+        "http://0300.0250.1.01/": "192.168.1.1", "http://0xC0.0xa8.0x1.0X01:80": "192.168.1.1", "http://192.168.257": "192.168.1.1", "http://192.11010305/a": "192.168.1.1",
+        "http://030052000401": "192.168.1.1", "http://0xc0a80101": "192.168.1.1", "http://0": "0.0.0.0", "http://1.2.3.4": "1.2.3.4", "http://127.1": "127.0.0.1",
+        "http://4294967295": "255.255.255.255", "http://4294967296": "4294967296", "http://1.2.3.256": "1.2.3.256", "http://256.1.1.1": "256.1.1.1", "http://08.1.1.1": "08.1.1.1",
+        "http://1.2.3.4.5": "1.2.3.4.5", "http://0x.1": "0x.1", "http://1.2.3.com": "1.2.3.com", "http://0x00000000ff": "0.0.0.255",
+    }
+    assert column(urls.host, list(cases)) == list(cases.values())
+
+
 def test_domains(column):
     cases = {
         " HTTPS://www.Shop-X.vn:80/a ": "shop-x.vn", "a.com.": "a.com", "q.1": None, "TP.HCM": None, "x.unknowntld": None,
