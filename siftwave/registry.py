@@ -19,7 +19,7 @@ from .functions import fixed_values as fv
 from .functions import similarity as sets
 from .operators import ids, joins
 from .operators import similarity as similar
-from .plans import curation, evaluate, intel, policy, quality, reports, scoring, split
+from .plans import curation, epochs, evaluate, intel, policy, quality, reports, scoring, split
 from .sources import feeds, html, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,10 +615,9 @@ def largest_logit_gap(spark, d):
 def classifier_predictions(spark, d):
     rows = labelled(spark, d)
     ready = evaluate.training_rows(rows).join(split.split(rows.select("id", "label", "source")), "id")
-    model, _ = evaluate.train(
-        ready.filter("split = 'train'").select("id", "text", "label_id"), ready.filter("split = 'val'").select("id", "text", "label_id"), grid=(0.01,)
-    )
-    return evaluate.predict(model, ready.filter("split = 'test'").select("id", "text"))
+    part = lambda name: ready.filter(F.col("split") == name).select("id", "text", "label_id")
+    trained = epochs.train_by_epochs(part("train"), part("val"))
+    return epochs.predict(trained.weights, part("test").drop("label_id"))
 
 
 # --- threat table update --------------------------------------------------------------
