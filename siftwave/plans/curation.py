@@ -94,9 +94,9 @@ def within_cap(outcomes: DataFrame, cap: int = fv.MAX_NEW_CANDIDATES) -> DataFra
 
 def new_candidates(outcomes: DataFrame, existing: DataFrame, today: str, cap: int = fv.MAX_NEW_CANDIDATES) -> DataFrame:
     """Candidate rows for the first ``cap`` added texts, ids continuing after the existing ones."""
-    # decide on narrow rows, written once; then fetch the texts of the chosen rows, at most ``cap``
-    narrow = cut(outcomes.select("ord", "source_ord", "outcome"))
-    chosen = within_cap(narrow, cap).filter("outcome = 'added'").orderBy("source_ord", "ord").limit(cap).select("ord")
+    # masked and written once; decided on narrow columns; then the texts of the chosen rows are fetched, at most ``cap``
+    outcomes = cut(outcomes)
+    chosen = within_cap(outcomes.select("ord", "source_ord", "outcome"), cap).filter("outcome = 'added'").orderBy("source_ord", "ord").limit(cap).select("ord")
     picked = F.broadcast(chosen) if cap <= BROADCAST_ROWS else chosen
     added = outcomes.join(picked, "ord", "left_semi")
     numbered = assign_ids(added, existing, "cand_", [F.col("source_ord"), F.col("ord")])

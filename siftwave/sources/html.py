@@ -105,6 +105,29 @@ def live_runs(tokens: Column, depth: Callable[[Column, Column], Column], skipped
     return F.aggregate(tokens, start, merge, finish)
 
 
+def runs_outside(tokens: Column, skipped: list[str]) -> Column:
+    """The same for a whole page as one region: only the tags of skipped elements are folded, which are few."""
+    tags = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), _step(t).alias("step"), t["name"].isin(skipped).alias("named"))), lambda e: e["named"] & (e["step"] != 0))
+    start = F.struct(F.lit(0).alias("skip"), F.lit(0).alias("since"), F.array().cast(RUNS).alias("runs"))
+
+    def run(acc: Column, end: Column) -> Column:
+        return F.concat(acc["runs"], F.array(F.struct(F.lit(0).alias("region"), acc["since"].alias("first"), (end - acc["since"]).alias("size"))))
+
+    def merge(acc: Column, e: Column) -> Column:
+        skip = _floor(acc["skip"] + e["step"])
+        begins, ends = (acc["skip"] == 0) & (skip > 0), (acc["skip"] > 0) & (skip == 0)
+        return F.struct(
+            skip.alias("skip"),
+            F.when(begins, F.lit(-1)).when(ends, e["i"] + 1).otherwise(acc["since"]).alias("since"),
+            F.when(begins, run(acc, e["i"])).otherwise(acc["runs"]).alias("runs"),
+        )
+
+    def finish(acc: Column) -> Column:
+        return F.struct(F.when(acc["since"] >= 0, run(acc, F.size(tokens))).otherwise(acc["runs"]).alias("runs"), F.lit(1).alias("regions"))
+
+    return F.aggregate(tags, start, merge, finish)
+
+
 def region_texts(tokens: Column, live: Column, render: Callable[[Column], Column], gap: str) -> Column:
     """Text of every region that has ended, in order; ``render`` gives a token's text, ``gap`` stands for what was skipped."""
 
@@ -120,7 +143,8 @@ def region_texts(tokens: Column, live: Column, render: Callable[[Column], Column
 
 
 def _page_texts(html: Column, depth: Callable[[Column, Column], Column], skipped: list[str], render: Callable[[Column], Column], whole: bool = False, everywhere: bool = True, gap: str = "") -> Column:
-    return let(page_tokens(html), lambda tokens: let(live_runs(tokens, depth, skipped, whole, everywhere), lambda live: region_texts(tokens, live, render, gap)))
+    live = lambda tokens: runs_outside(tokens, skipped) if whole and everywhere else live_runs(tokens, depth, skipped, whole, everywhere)
+    return let(page_tokens(html), lambda tokens: let(live(tokens), lambda runs: region_texts(tokens, runs, render, gap)))
 
 
 def _always(token: Column, before: Column) -> Column:
