@@ -186,7 +186,7 @@ def _facts(report: DataFrame, key: str, counters: dict[str, int], spark: SparkSe
 
 @query
 def intel_update(spark, d):
-    """One update of the threat tables from all pages; a German message had been rejected, an English one is known in the larger tables."""
+    """One update of the threat tables from all pages; the German message had been rejected before, a French one is a template already."""
     existing, allowed, rejected = known_tables(spark, d)
     one = lambda lang: spark.range(1).select(text.template_text(plea(F.lit(lang))).alias("text"))
     templates = one("fr").select(F.lit("tpl_000007").alias("id"), "text", F.lit("old").alias("source"), F.lit("").alias("source_url"), F.lit("2025-01-01").alias("first_seen"))

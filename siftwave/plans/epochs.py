@@ -25,8 +25,8 @@ from ..session import cut, shared_folder
 from .evaluate import metrics
 
 FEATURES = 1 << 14
-EPOCHS = 8
-RATE = 0.5
+EPOCHS = 12
+RATE = 2.0
 DECAY = 1e-6
 LABELS = len(fv.LABELS)
 
