@@ -19,9 +19,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files: a pattern may stand for both."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

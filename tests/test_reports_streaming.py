@@ -92,3 +92,12 @@ def test_empty_intel_folder(spark, tmp_path):
     intel = jobs.load_intel(spark, str(tmp_path / "none"))
     assert intel.blocked.count() == 0 and intel.blocked.columns == schemas.BLOCKED_DOMAINS.names
     assert tables.path_exists(spark, str(tmp_path))
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    """A table may be a folder of part files."""
+    from siftwave.streaming import registry
+
+    rows = spark.createDataFrame([(i, f"text {i % 7}", "en", "s") for i in range(30)], "doc_id long, text string, lang string, source string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.ord for r in registry.stream_newest_texts(spark, str(tmp_path)).collect()) == list(range(7))
