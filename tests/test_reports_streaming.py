@@ -101,3 +101,11 @@ def test_stream_of_a_table_in_many_files(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"text {i % 7}", "en", "s") for i in range(30)], "doc_id long, text string, lang string, source string")
     rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.ord for r in registry.stream_newest_texts(spark, str(tmp_path)).collect()) == list(range(7))
+
+
+def test_scores_of_a_table_in_many_files(spark, tmp_path):
+    from siftwave.streaming import registry
+
+    rows = spark.createDataFrame([(i, f"http://www.a-b{i}.example.com/{'fr' if i % 3 else 'en'}/x", "") for i in range(30)], "page_id long, url string, html string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    assert registry.stream_scores(spark, str(tmp_path)).count() == 30
