@@ -91,8 +91,8 @@ def source_registry(spark, d):
         F.when(key % 5 == 0, 7).alias("max_items"),
     )
     path = scratch(spark, "sources")
-    files = load(spark, d, "supplier").groupBy((key / 1000).cast("long")).agg(F.to_json(F.sort_array(F.collect_list(source))).alias("value"))  # lists of at most 1000 sources
-    files.select("value").write.text(path)
+    files = load(spark, d, "supplier").groupBy((key / 1000).cast("long").alias("file")).agg(F.to_json(F.sort_array(F.collect_list(source))).alias("value"))  # lists of at most 1000 sources
+    files.write.partitionBy("file").text(path)  # each list is a file of its own
     return tables.read_sources(spark, path, "intel").select("name", "kind", F.col("max_items").cast("long").alias("max_items"), F.size("keywords").cast("long").alias("keywords"))
 
 

@@ -53,3 +53,12 @@ def test_collection_stops_at_the_cap(spark):
     first = run(2)
     assert [r.id for r in first.candidates.orderBy("id").collect()] == ["cand_000001", "cand_000002"]
     assert [r.source_name for r in first.report.orderBy("source_name").collect()] == ["s1", "s2"]  # later sources aren't read any more
+
+
+def test_registry_of_more_than_a_thousand_sources(spark, tmp_path):
+    """Each list of sources is a file of its own: Spark reads the first list of a file only."""
+    from siftwave import more_queries
+
+    spark.range(3500).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    names = {r.name for r in more_queries.source_registry(spark, str(tmp_path)).collect()}
+    assert names == {f"s{i}" for i in range(3500) if i % 3}
