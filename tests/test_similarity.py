@@ -133,3 +133,30 @@ def test_lookup_join_gives_the_same_rows_on_both_paths(spark):
         small = joins.lookup_join(left, right, ["k"], how).select("id", "k")
         salted = joins.lookup_join(left, right, ["k"], how, max_rows=1).select("id", "k")
         assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
+
+
+def test_greedy_dedup_ends_soon_on_unlike_texts_with_common_shingles(spark, monkeypatch):
+    """Rounds grow with the logarithm of a bucket: before, each one decided a single text of it."""
+    rows = [(i, ["c1", "c2", "c3"] + [f"{i % 40}-{j}" for j in range(4)] + [f"{i // 40}+{j}" for j in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, shingles array<string>")
+    rounds, among = [], similar._among
+    monkeypatch.setattr(similar, "_among", lambda *args: rounds.append(1) or among(*args))
+    assert similar.greedy_dedup(df, bucket_limit=4).count() == 60
+    assert len(rounds) <= 6
+
+
+def test_tokens_are_dealt_once_for_prefixes(spark):
+    rows = [(i, [i, i + 1, 100 + i, 1000]) for i in range(20)]
+    sets = spark.createDataFrame(rows, "id long, h array<long>")
+    prefixes = similar.prefix_tokens(sets, 0.5)
+    found = {(r.id, r.token, r.df, r.n, r.pos) for r in prefixes.collect()}
+    want = set()
+    count = {}
+    for _, h in rows:
+        for t in h:
+            count[t] = count.get(t, 0) + 1
+    for i, h in rows:
+        order = sorted(h, key=lambda t: (count[t] > 1 and count[t], t))
+        want |= {(i, t, count[t], 4, pos) for pos, t in enumerate(order[:3]) if count[t] > 1}
+    assert found == want
+    assert "ReusedExchange" in prefixes._jdf.queryExecution().executedPlan().toString()
