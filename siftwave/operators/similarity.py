@@ -250,11 +250,50 @@ def fingerprint_matches(
         probes = own.select("id", "own_fp", F.explode(prefix(F.col("own_fp"))).alias("token"))
         found = probes.join(F.broadcast(index), "token").join(F.broadcast(targets), "known_id")
         return found.filter(near).select("id").distinct()
-    probes = own.select("id", F.explode(prefix(F.col("own_fp"))).alias("token"))
-    salted = probes.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    repeated = index.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    pairs = salted.join(repeated, ["token", "s"]).select("id", "known_id").distinct()
-    return pairs.join(own, "id").join(targets, "known_id").filter(near).select("id").distinct()
+    return _matches_by_rarity(cut(own), targets, index, threshold)
+
+
+def _matches_by_rarity(own: DataFrame, targets: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """The same for a large index: ``own(id, own_fp)``, ``targets(known_id, known_fp)``, and the first tokens of the targets by hash.
+
+    A text that is near a target holds one of the index tokens in its own prefix, and
+    enough tokens that some target holds. What is left is joined by prefixes in the order
+    (how many targets hold it, hash), so frequent tokens meet only where they must. No
+    token is repeated by salts, and whole sets travel for the pairs found only: each id
+    first with the target it shares most prefix tokens with, the rest if that one isn't near.
+    """
+    targets = cut(targets.select("known_fp").withColumn("known_id", F.monotonically_increasing_id()))  # numbered once, as it is written
+    n = F.size("own_fp")
+    firsts = own.select("id", F.explode(F.slice("own_fp", F.lit(1), prefix_size(n, threshold))).alias("token"))
+    maybe = cut(firsts.join(index.select("token").distinct(), "token", "left_semi").select("id").distinct())
+    counts = cut(targets.select(F.explode("known_fp").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    ordered = F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered")
+
+    def prefixes(sets: DataFrame, fp: str, key: str) -> DataFrame:
+        """``(token, df, key, n, pos)``; tokens that no target holds come first and meet nothing."""
+        tokens = sets.select(F.col(key).alias("id"), F.size(fp).alias("n"), F.explode(fp).alias("token"))
+        held = tokens.join(counts, "token").groupBy("id", "n").agg(ordered)
+        alone = F.col("n") - F.size("ordered")
+        left = F.greatest(prefix_size(F.col("n"), threshold) - alone, F.lit(0))
+        rows = held.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("ordered", F.lit(1), left)).alias("i", "t"))
+        return cut(rows.select(F.col("t.token").alias("token"), "id", "n", (F.col("alone") + F.col("i")).alias("pos")))
+
+    a = prefixes(picked(own, maybe), "own_fp", "id").alias("a")
+    b = prefixes(targets, "known_fp", "known_id").alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & _may_reach(threshold))
+    pairs = cut(met.groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("known_id")).agg(F.count("*").alias("shared")))
+
+    def near(rows: DataFrame) -> DataFrame:
+        rows = cut(rows)
+        sets = picked(own, cut(rows.select("id").distinct()))
+        both = rows.join(targets, "known_id").join(sets, "id")
+        shared, total = F.size(F.array_intersect("own_fp", "known_fp")), F.size("own_fp") + F.size("known_fp")
+        return cut(both.filter(shared * F.lit(1 + threshold) >= total * F.lit(threshold) - F.lit(1e-9)).select("id").distinct())
+
+    likeliest = pairs.groupBy("id").agg(F.max_by("known_id", F.struct("shared", "known_id")).alias("known_id"))
+    found = near(likeliest)
+    others = pairs.join(found, "id", "left_anti").join(likeliest, ["id", "known_id"], "left_anti")
+    return found.unionByName(near(others.select("id", "known_id")))
 
 
 def greedy_dedup(

@@ -160,3 +160,20 @@ def test_tokens_are_dealt_once_for_prefixes(spark):
         want |= {(i, t, count[t], 4, pos) for pos, t in enumerate(order[:3]) if count[t] > 1}
     assert found == want
     assert "ReusedExchange" in prefixes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_index_of_known_sets_is_not_repeated_by_salts(spark):
+    """Both ways give the same ids; the one for a large index joins by rare tokens, without salts."""
+    rng = random.Random(5)
+    sets_ = [rng.sample(range(60), rng.randint(1, 12)) for _ in range(150)]
+    sets_ += [sorted({*s[1:], 77}) for s in sets_[:60]] + [[]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets_)], "id long, fp array<long>")
+    known = df.filter("id % 9 = 0").select("fp")
+    targets = [set(s) for i, s in enumerate(sets_) if i % 9 == 0 and s]
+    want = {i for i, s in enumerate(sets_) if any(len(set(s) & t) >= 0.8 * len(set(s) | t) - 1e-9 for t in targets)}
+    found = similar.fingerprint_matches(df, known, max_index_rows=1)
+    assert {r.id for r in found.collect()} == want
+    assert found.count() == len(want)
+    plan = found._jdf.queryExecution().toString()
+    assert "sequence(" not in plan
+    assert {r.id for r in similar.fingerprint_matches(df, known).collect()} == want
