@@ -48,7 +48,7 @@ def crawl_results(crawled: DataFrame, mode: str = "depth") -> tuple[DataFrame, D
     kind = lambda k: crawled.filter(F.col("kind") == k)
     place = crawled.select("page_id", "source", "source_ord")
     articles = kind(ARTICLE).select("page_id", "url", F.col("content").alias("html"))
-    blocks = cut(html.paragraphs(articles, mode))
+    blocks = cut(html.paragraphs(articles, mode, outside=False))
     warned = intel.warned_domains(blocks).select("page_id", F.col("url").alias("source_url"), "domain", F.col("pos").cast("long").alias("pos"), "evidence")
     quoted = html.quotes_of(blocks).select("page_id", F.col("url").alias("source_url"), F.col("pos").cast("long").alias("pos"), F.col("quote_pos").alias("part"), F.col("quote").alias("text"))
     lists = kind(DOMAIN_LIST).select(F.col("page_id").cast("string").alias("source"), F.col("url").alias("source_url"), "content")
@@ -118,7 +118,7 @@ def collect_sources(
     placed = lookup_join(pages, barred.withColumn("barred", F.lit(True)), ["host"], "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
     placed, seen = observed(placed, "pages", F.count_if(F.col("barred")).alias("barred_pages"), F.count_if(~F.col("barred") & F.col("error").isNotNull()).alias("failed_pages"))
     read = placed.filter("NOT barred AND error IS NULL")
-    told = html.quotes_of(html.paragraphs(read.select("page_id", "url", "html"), mode))
+    told = html.quotes_of(html.paragraphs(read.select("page_id", "url", "html"), mode, outside=False))
     texts = told.join(read.select("page_id", "source_name", "source_ord", "origin"), "page_id")
     offers = row_numbers(texts, [F.col(c) for c in ("source_ord", "page_id", "pos", "quote_pos")], column="ord")
     offers = offers.select("ord", F.col("quote").alias("text"), "source_name", "source_ord", "origin", F.lit("public_post").alias("source"), F.col("url").alias("source_url"))

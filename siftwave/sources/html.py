@@ -211,11 +211,26 @@ def page_links(pages: DataFrame, pattern: str = "", keep: Column | None = None)
     return rows.select("page_id", F.posexplode(F.array_distinct(matching)).alias("pos", "link"))
 
 
-def block_paragraphs(pages: DataFrame) -> DataFrame:
-    """Paragraphs cut at every content tag; no text is lost on unclosed tags."""
-    cut = lambda t: F.when(t["kind"] == "text", t["text"]).when(t["name"].isin(fv.CONTENT_TAGS), "\u0001").when(t["name"] == "br", " ").otherwise("")
-    texts = _page_texts(F.col("html"), _always, fv.SKIPPED_TAGS, cut, whole=True, gap=" ")
-    return _long_ones(pages, F.split(F.array_join(texts, ""), "\u0001"))
+def block_paragraphs(pages: DataFrame, outside: bool = True) -> DataFrame:
+    """Paragraphs cut at every content tag; no text is lost on unclosed tags. Text that no content tag is open around counts if ``outside``."""
+    cut = lambda t: F.when(t["kind"] == "text", t["text"]).when(t["name"].isin(fv.CONTENT_TAGS), _mark(t, outside)).when(t["name"] == "br", " ").otherwise("")
+    texts = F.array_join(_page_texts(F.col("html"), _always, fv.SKIPPED_TAGS, cut, whole=True, gap=" "), "")
+    return _long_ones(pages, F.split(texts, "\u0001") if outside else _inside(F.split(texts, "\u0001")))
+
+
+def _mark(token: Column, outside: bool) -> Column:
+    """A cut; where depth counts, what the tag adds to it follows."""
+    return F.lit("\u0001") if outside else F.when(token["kind"] == "open", "\u0001\u0002").when(token["kind"] == "close", "\u0001\u0003").otherwise("\u0001")
+
+
+def _inside(parts: Column) -> Column:
+    """Parts with an open content tag around them."""
+
+    def merge(acc: Column, part: Column) -> Column:
+        depth = _floor(acc["depth"] + F.when(part.startswith("\u0002"), 1).when(part.startswith("\u0003"), -1).otherwise(0))
+        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["out"], F.array(F.translate(part, "\u0002\u0003", "")))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")), merge, lambda acc: acc["out"])
 
 
 def depth_paragraphs(pages: DataFrame) -> DataFrame:
@@ -234,11 +249,11 @@ def _long_ones(pages: DataFrame, texts: Column) -> DataFrame:
     return rows.select("page_id", "url", F.posexplode(clean).alias("pos", "paragraph"))
 
 
-def paragraphs(pages: DataFrame, mode: str = "depth") -> DataFrame:
-    """``(page_id, url, pos, paragraph)``; ``mode`` is ``depth`` or ``block``."""
+def paragraphs(pages: DataFrame, mode: str = "depth", outside: bool = True) -> DataFrame:
+    """``(page_id, url, pos, paragraph)``; ``mode`` is ``depth`` or ``block``. Only blocks hold text ``outside`` content tags, as a page's title."""
     if mode not in ("depth", "block"):
         raise ValueError("mode is depth or block")
-    return depth_paragraphs(pages) if mode == "depth" else block_paragraphs(pages)
+    return depth_paragraphs(pages) if mode == "depth" else block_paragraphs(pages, outside)
 
 
 def class_texts(pages: DataFrame, class_name: str) -> DataFrame:

@@ -62,3 +62,17 @@ def test_registry_of_more_than_a_thousand_sources(spark, tmp_path):
     spark.range(3500).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     names = {r.name for r in more_queries.source_registry(spark, str(tmp_path)).collect()}
     assert names == {f"s{i}" for i in range(3500) if i % 3}
+
+
+def test_titles_and_adverts_are_not_collected(spark):
+    """A quote in the title, or in a part without a content tag, is none of the article's; an unclosed paragraph still is."""
+    from siftwave.sources import html
+
+    quote = lambda c: f"“{c * 40}”"
+    page = f"<html><head><title>{quote('a')}</title></head><body><div class=ad>{quote('b')}</div><h1>{quote('c')}</h1>{quote('d')}<ul><li>{quote('e')}<p>{quote('f')}</p>{quote('g')}</li></ul><p>{quote('h')}<br><p>{quote('i')}</p>"
+    pages = spark.createDataFrame([("s", 1, "news", "h", 1, "https://h/1", page, None)], "source_name string, source_ord int, origin string, host string, page_id long, url string, html string, error string")
+    robots, none, known = (spark.createDataFrame([], x) for x in ("host string, text string", "id string, text string, collected_at string", "key string"))
+    done = jobs.collect_sources(pages, robots, none, known, "2026-01-01", mode="block")
+    assert done.counters["invalid"] == 6 and done.report.first().invalid == 6
+    rows = html.paragraphs(pages.select("page_id", "url", "html"), "block", outside=False).orderBy("pos").collect()
+    assert [r.paragraph[1] for r in rows] == list("cefghi") and [r.pos for r in rows] == list(range(6))
