@@ -11,12 +11,14 @@ from ..session import cut
 def row_numbers(df: DataFrame, order: list[Column], start: int = 0, column: str = "n") -> DataFrame:
     """Dense numbers from ``start`` in the given order.
 
-    Rows are range-partitioned and written once to the checkpoint folder, so the
+    The rows are written first, because dealing by range reads them twice, the first
+    time for the bounds alone; what makes them would run twice. Then they are
+    range-partitioned and written again to the checkpoint folder, so the
     partition of a row cannot change when an executor is lost. Each partition
     numbers its own rows and adds the count of the partitions before it; that
     offset table has one row per partition.
     """
-    keyed = df.withColumn("_order", F.struct(*order))
+    keyed = cut(df.withColumn("_order", F.struct(*order)))
     placed = cut(keyed.repartitionByRange("_order").withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
