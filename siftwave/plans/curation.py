@@ -67,7 +67,7 @@ def collect_outcomes(offers: DataFrame, known: DataFrame, vietnamese_only: bool
     joined back on ``ord``, so copies of one text meet no hot key.
     """
     masked = offers.withColumn("text", mask_normalized(F.coalesce("text", F.lit(""))))
-    checked = masked.withColumn("problem", text_problem(F.col("text"), vietnamese_only)).withColumn("key", text_key(F.col("text")))
+    checked = cut(masked.withColumn("problem", text_problem(F.col("text"), vietnamese_only)).withColumn("key", text_key(F.col("text"))))  # masked once
     firsts = checked.filter("problem is null").groupBy("key").agg(F.min("ord").alias("ord"))
     new = firsts.join(known.select("key").distinct(), "key", "left_anti").select("ord", F.lit("added").alias("added"))
     joined = checked.join(new, "ord", "left")
