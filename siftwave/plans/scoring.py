@@ -14,6 +14,7 @@ from ..functions.text import is_blank, mask, message_error, normalize
 from ..functions.urls import link_facts, noisy_or, suffixes
 from ..operators.joins import domain_set, is_small, join_groups, lookup_join
 from ..operators.similarity import best_template
+from ..session import cut
 
 
 @dataclass
@@ -61,6 +62,7 @@ def _listed(links: DataFrame, intel: Intel) -> DataFrame | None:
 def _with_threats(links: DataFrame, intel: Intel) -> DataFrame:
     """Add ``blocked_hosts`` (first seen first), ``brand_links`` and ``url_reasons``."""
     none = F.array().cast("array<string>")
+    links = links if links.isStreaming else cut(links)  # short rows, found in the texts once
     listed = _listed(links, intel)
     if listed is None:
         joined = links.withColumn("blocked", none).withColumn("official", none)
