@@ -240,6 +240,8 @@ def fingerprint_matches(
 
     targets = known.filter(F.size("fp") > 0).select(F.sort_array(F.array_distinct("fp")).alias("known_fp"))
     targets = cut(targets.distinct().withColumn("known_id", F.sha2(F.array_join(F.col("known_fp").cast("array<string>"), " "), 256)))
+    if targets.isEmpty():  # nothing is near them, and no text is read for it
+        return df.select("id").limit(0)
     index = targets.select("known_id", F.explode(prefix(F.col("known_fp"))).alias("token"))
     own = df.filter(F.size("fp") > 0).select("id", F.sort_array(F.array_distinct("fp")).alias("own_fp"))
     n, m = F.size("own_fp"), F.size("known_fp")

@@ -12,6 +12,7 @@ from ..functions.urls import domain, domains, suffixes
 from ..operators.ids import assign_ids
 from ..operators.joins import first_by, listed_keys, lookup_join
 from ..operators.similarity import fingerprint_matches, greedy_dedup, near_sets
+from ..session import cut
 from ..sources.html import page_text
 
 
@@ -165,7 +166,8 @@ def merge_templates(
     earlier text are dropped first; a text that is near a rejected fingerprint
     has by then taken its place, so it still blocks later near copies.
     """
-    candidates = template_candidates(texts, filter_texts).withColumn("sh", shingles(F.col("text")))
+    # masked and written once: every step below reads the candidates again
+    candidates = cut(template_candidates(texts, filter_texts)).withColumn("sh", shingles(F.col("text")))
     old = existing.select(shingles(F.col("text")).alias("shingles"))
     fresh = candidates.select(F.col("ord").cast("long").alias("id"), F.col("sh").alias("shingles"))
     kept = dedup_against(old, fresh).withColumnRenamed("id", "ord")
