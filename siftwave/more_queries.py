@@ -135,8 +135,7 @@ def training_texts(spark, d):
 def prediction_checks(spark, d):
     """Held-out rows with a known label and shares that add up to one."""
     rows = labelled(spark, d)
-    ready = evaluate.training_rows(rows).join(split.split(rows.select("id", "label", "source")), "id")
-    part = lambda name: ready.filter(F.col("split") == name).select("id", "text", "label_id")
+    part = split.training_parts(evaluate.training_rows(rows), rows)
     model, _ = evaluate.train(part("train"), part("val"), grid=(0.01,))
     told = evaluate.predict(model, part("test").drop("label_id"))
     total = F.col("normal") + F.col("spam") + F.col("scam")

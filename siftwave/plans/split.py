@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def split(rows: DataFrame, stratum: str = "label", existing_test: DataFrame | No
     return train_val(rest, stratum, f"{seed}-train-val").unionByName(test.select("id", F.lit("test").alias("split")))
 
 
+def training_parts(ready: DataFrame, rows: DataFrame) -> Callable[[str], DataFrame]:
+    """Part of ``ready(id, text, label_id)`` by its name, split as ``rows(id, label, source)`` are; masked and split once for all parts."""
+    whole = cut(ready.join(split(rows.select("id", "label", "source")), "id"))
+    return lambda name: whole.filter(F.col("split") == name).select("id", "text", "label_id")
+
+
 def verify_test(test: DataFrame, rows: DataFrame) -> DataFrame:
     """``(id, error)`` of test rows that vanished, changed, or are synthetic."""
     columns = [c for c in rows.columns if c != "id"]

@@ -614,8 +614,7 @@ def largest_logit_gap(spark, d):
 @query
 def classifier_predictions(spark, d):
     rows = labelled(spark, d)
-    ready = evaluate.training_rows(rows).join(split.split(rows.select("id", "label", "source")), "id")
-    part = lambda name: ready.filter(F.col("split") == name).select("id", "text", "label_id")
+    part = split.training_parts(evaluate.training_rows(rows), rows)
     trained = epochs.train_by_epochs(part("train"), part("val"))
     return epochs.predict(trained.weights, part("test").drop("label_id"))
 
