@@ -79,21 +79,27 @@ def _gradient(weights: np.ndarray):
 
 def predict(weights: np.ndarray, rows: DataFrame) -> DataFrame:
     """``(id, normal, spam, scam, predicted)`` of ``rows(id, text)``; of equal shares the first label counts."""
+    return predict_terms(weights, hashed_terms(rows, "id"))
+
+
+def predict_terms(weights: np.ndarray, rows: DataFrame) -> DataFrame:
+    """The same of ``rows(id, terms, ...)``; further columns stay."""
 
     def run(terms: pa.Array) -> pa.Array:
         shares = probabilities(weights, terms)[0]
         return pa.array(shares.tolist(), pa.list_(pa.float64()))
 
-    told = hashed_terms(rows, "id").select("id", F.arrow_udf(run, "array<double>")("terms").alias("p"))
+    more = [c for c in rows.columns if c not in ("id", "terms")]
+    told = rows.select("id", *more, F.arrow_udf(run, "array<double>")("terms").alias("p"))
     names = F.array(*[F.lit(x) for x in fv.LABELS])
     best = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))
-    return told.select("id", *[F.element_at("p", k + 1).alias(name) for k, name in enumerate(fv.LABELS)], best.alias("predicted"))
+    return told.select("id", *[F.element_at("p", k + 1).alias(name) for k, name in enumerate(fv.LABELS)], best.alias("predicted"), *more)
 
 
 def train_by_epochs(train_rows: DataFrame, val_rows: DataFrame, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> Trained:
     """Best of ``epochs`` epochs over rows ``(id, text, label_id)``; of equal scores the earliest counts. Without validation rows the last one."""
     spark = train_rows.sparkSession
-    ready, checked = cut(hashed_terms(train_rows, "label_id")), cut(val_rows.select("id", "text", "label_id"))
+    ready, checked = cut(hashed_terms(train_rows, "label_id")), cut(hashed_terms(val_rows, "id", "label_id"))  # words are hashed once, not in every epoch
     n = max(1, ready.count())
     weights = np.zeros((FEATURES + 1, LABELS))
     squares = np.zeros_like(weights)
@@ -109,8 +115,8 @@ def train_by_epochs(train_rows: DataFrame, val_rows: DataFrame, epochs: int = EP
         squares = squares + gradient * gradient
         weights = weights - rate * gradient / (np.sqrt(squares) + 1e-10)
         if held:
-            said = predict(weights, checked.select("id", "text")).select("id", (F.array_position(names, F.col("predicted")) - 1).cast("int").alias("predicted"))
-            checked.select("id", F.col("label_id").alias("expected")).join(said, "id").write.parquet(f"{folder}/epoch={epoch}")
+            said = (F.array_position(names, F.col("predicted")) - 1).cast("int").alias("predicted")
+            predict_terms(weights, checked).select("id", F.col("label_id").alias("expected"), said).write.parquet(f"{folder}/epoch={epoch}")
             scores.append(metrics(spark.read.parquet(f"{folder}/epoch={epoch}")).first()["macro_f1"])
         if not held or not best or scores[-1] > scores[best - 1]:
             best, kept = epoch, weights
