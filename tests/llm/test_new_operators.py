@@ -228,6 +228,22 @@ def test_entropies_of_the_site_tree(spark):
             assert p not in tree or tree[p][c] is None
 
 
+def test_entropies_decide_inside_a_named_article(spark):
+    r = random.Random(4)
+    words = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(5))
+    article = lambda p, n: f"<article><h1>News</h1>{''.join(f'<p>{x}</p>' for x in p)}<table><tr><td>{'yes' if n % 3 else 'no'}</table><div class=x9>Get our app</div></article>"
+    told = [[words() for _ in range(r.randint(1, 4))] for _ in range(40)]
+    copied = [words(), words()]
+    rows = [(i, "http://told.example", article(p, i), " ".join(["News", *p, "yes" if i % 3 else "no"])) for i, p in enumerate(told)]
+    # too few pages to tell, and copies of an article beside other adverts
+    rows += [(100 + i, "http://few.example", article(p, i), " ".join(["News", *p, "yes" if i % 3 else "no", "Get our app"])) for i, p in enumerate(told[:5])]
+    rows += [(200 + i, "http://copies.example", f"<div class=ad>{words()}</div>{article(copied, 1)}", " ".join(["News", *copied, "yes Get our app"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    for known in (sitetree.KNOWN, 0):
+        for x in sitetree.extract_main(df, known=known).collect():
+            assert " ".join(x.blocks) == x.row.want
+
+
 def test_named_branches(spark):
     page = """<!doctype html><html><head><title>T &amp; T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="has-sidebar">
     <header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use cookies</div>
