@@ -229,6 +229,19 @@ def message_error(raw: Column, normalized: Column) -> Column:
     )
 
 
+def surely_too_long(c: Column) -> Column:
+    """The first characters alone show that the normalised text is longer than a message may be.
+
+    Either ``normalize`` leaves all of them alone, but for a space at either end: none is invisible,
+    beyond U+02FF or white space next to white space. Or they hold enough ASCII letters, of
+    which no step drops one or joins two.
+    """
+    limit = fv.MAX_MESSAGE_LENGTH
+    plain = (F.length(c) >= limit + 3) & ~F.substring(c, 1, limit + 3).rlike(r"[^\u0000-\u02ff]|\u00ad|[\s\x1c-\x1f\u0085\u00a0]{2}")
+    letters = F.regexp_replace(F.substring(c, 1, 2 * limit), "[^A-Za-z]+", "")
+    return F.coalesce((F.length(c) > limit) & (plain | (F.length(letters) > limit)), F.lit(False))
+
+
 def contains_keyword(c: Column, keywords: list[str] | Column | None = None) -> Column:
     """Lower-cased text holds any keyword; an empty list means the default one."""
     default = F.array(*[F.lit(k) for k in fv.WARNING_KEYWORDS])

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from siftwave.operators.ids import row_numbers
-from siftwave.plans import curation
+from siftwave.functions import text
+from siftwave.plans import curation, scoring
 
 
 def counted(spark, n, lead="Xin chào bạn, đây là tin nhắn thử nghiệm "):
@@ -26,3 +27,23 @@ def test_offers_are_masked_once(spark):
     rows, calls = counted(spark, 50)
     done = curation.collect_outcomes(rows, spark.createDataFrame([], "key string")).groupBy("outcome").count().collect()
     assert {r.outcome: r["count"] for r in done} == {"added": 10, "duplicate": 40} and calls.value == 50
+
+
+def test_messages_are_read_once_for_links_and_templates(spark):
+    rows, calls = counted(spark, 50)
+    templates = spark.createDataFrame([("t1", "Xin chào bạn, đây là tin nhắn thử nghiệm aaaaa")], "id string, text string")
+    listed = spark.createDataFrame([("bad.example",)], "domain string")
+    done = scoring.score_messages(rows.withColumnRenamed("ord", "msg_id"), scoring.Intel(listed, listed, templates)).collect()
+    assert len(done) == 50 and all(r.label == "scam" for r in done) and calls.value == 50
+
+
+def test_texts_that_are_surely_too_long(spark):
+    texts = ["a" * 2001, "a" * 2000, " a" * 2000, "a  " * 2001, "a\u200b" * 2000, "a\u0301" * 2000, "A\u0301" * 2001, "é" * 2001, "\u1100\u1161" * 2000, "1" * 2001, "", " " * 5000, None, "-" * 4001 + "b"]
+    texts += [" " + "é" * n + " " + tail for n in (1999, 2000, 2001) for tail in ("", " ", "\u200b ", "é", "\u0301")] + ["1 " * 1000 + end for end in ("", "1", " 1", "1 ", "12", "\u00a02")]
+    texts += ["é" * 1999 + x + "é" for x in ("  ", "\t\n", "\u0085 ", "\u00a0\u00a0", "\x1c ", "\u00ad\u00ad", "\u0301\u0301", "\u3000 ")] + ["é" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "msg_id int, text string")
+    plain = text.message_error(F.col("text"), text.normalize(F.col("text")))
+    want = {r.msg_id: r.error for r in rows.select("msg_id", plain.alias("error")).collect()}
+    got = {r.msg_id: (r.error, r.normalized) for r in scoring.prepared(rows).collect()}
+    assert {i: e for i, (e, _) in got.items()} == want
+    assert got[len(texts) - 1][1] is None and got[0] == ("classification.text_too_long", None) and got[5] == (None, "á" * 2000)  # not normalised, normalised
