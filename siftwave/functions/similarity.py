@@ -6,13 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import let, nfc
+from .text import beyond_latin, is_ascii, let, nfc
 
 
 def tokens(c: Column) -> Column:
     """Placeholders as they are, other letter and digit runs in lower case."""
-    found = F.regexp_extract_all(nfc(c), F.lit(fv.TOKEN), F.lit(1))
-    return F.transform(found, lambda t: F.when(t.startswith("<"), t).otherwise(F.lower(t)))
+
+    def found(x: Column) -> Column:
+        runs = F.regexp_extract_all(nfc(x), F.lit(fv.TOKEN), F.lit(1))
+        return F.transform(runs, lambda t: F.when(t.startswith("<"), t).otherwise(F.lower(t)))
+
+    def plain(x: Column, token: str) -> Column:
+        return F.regexp_extract_all(F.lower(x), F.lit(token), F.lit(0))
+
+    # Latin text without placeholders needs neither NFC nor the classes of Unicode; only the dotted capital I becomes two characters
+    return let(c, lambda x: F.when(is_ascii(x) & ~x.contains("<"), plain(x, "[a-z0-9]+")).when(
+        ~x.contains("<") & ~x.contains("\u0130") & ~beyond_latin(x), plain(x, r"[\p{L}0-9]+")
+    ).otherwise(found(x)))
 
 
 def shingles(c: Column) -> Column:
@@ -23,7 +33,7 @@ def shingles(c: Column) -> Column:
         n = F.size(words)
         windows = F.transform(
             F.sequence(F.lit(1), n - (k - 1)),
-            lambda i: F.concat_ws(" ", *[F.element_at(words, i + j) for j in range(k)]),
+            lambda i: F.concat(*[part for j in range(k) for part in (F.lit(" "), F.element_at(words, i + j))][1:]),
         )
         return (
             F.when(n >= k, F.array_distinct(windows))

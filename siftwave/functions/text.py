@@ -8,6 +8,8 @@ which keeps the expression tree small.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +26,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def is_ascii(c: Column) -> Column:
+    """One byte per character. Tests of bytes are far cheaper than any pattern, which is why they come first."""
+    return F.octet_length(c) == F.length(c)
+
+
+def beyond_latin(c: Column) -> Column:
+    """Holds a character from U+0300 on."""
+    return ~is_ascii(c) & c.rlike("[^\\u0000-\\u02ff]")
+
+
+def is_plain(c: Column) -> Column:
+    """Nothing to compose or to drop, and no white space but spaces and line feeds."""
+    others = reduce(or_, [c.contains(x) for x in "\t\x0b\f\r\u0085\u00a0\u00ad"])
+    return ~others & ~beyond_latin(c)
+
+
 def nfc(c: Column) -> Column:
     """Unicode NFC; text below U+0300 is already composed and is passed through."""
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
-    return F.when(c.rlike("[^\\u0000-\\u02ff]"), composed).otherwise(c)
+    return F.when(beyond_latin(c), composed).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
@@ -35,8 +53,20 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
+def on_one_line(c: Column) -> Column:
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
 def normalize(c: Column) -> Column:
-    return collapse(F.regexp_replace(nfc(c), fv.INVISIBLE, ""))
+    """NFC without invisible characters, white space collapsed; plain texts need no pattern for it."""
+
+    def spaced(line: Column) -> Column:
+        return F.trim(F.when(line.contains("  "), F.regexp_replace(line, " {2,}", " ")).otherwise(line))
+
+    def whole(x: Column) -> Column:
+        return collapse(F.regexp_replace(nfc(x), fv.INVISIBLE, ""))
+
+    return let(c, lambda x: F.when(is_plain(x), let(on_one_line(x), spaced)).otherwise(whole(x)))
 
 
 def stripped(c: Column) -> Column:
@@ -45,7 +75,8 @@ def stripped(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | c.rlike(r"(?U)^\s*$")
+    visible = (c >= "!") & (c < "\x7f")  # by its first character
+    return c.isNull() | (~visible & c.rlike(r"(?U)^\s*$"))
 
 
 def when_may(c: Column, possible: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
@@ -55,7 +86,11 @@ def when_may(c: Column, possible: Callable[[Column], Column], step: Callable[[Co
 
 def restore(c: Column) -> Column:
     """Undo bracketed dots and defanged schemes; keeps http and https apart."""
-    dotted = when_may(c, lambda x: x.rlike(r"[\[({]"), lambda x: F.regexp_replace(x, fv.BRACKETED_DOT, "."))
+
+    def bracketed(x: Column) -> Column:
+        return (x.contains("[") | x.contains("(") | x.contains("{")) & x.rlike(r"(?iuU)[\[({]\s?(?:\.|dot|ch)")
+
+    dotted = when_may(c, bracketed, lambda x: F.regexp_replace(x, fv.BRACKETED_DOT, "."))
     return when_may(dotted, lambda x: x.contains("//"), lambda x: F.regexp_replace(x, fv.DEFANGED_SCHEME, "http$1://"))
 
 
@@ -70,8 +105,9 @@ def mask_email(c: Column) -> Column:
 
 
 def may_hold_url(c: Column) -> Column:
-    """A scheme, or a dot between two other characters."""
-    return c.contains("://") | c.rlike(r"\S\.\S")
+    """A scheme, or a dot between two other characters; dots before a space or the end are left out first."""
+    inner_dot = F.replace(F.concat(c, F.lit(" ")), F.lit(". "), F.lit("")).contains(".")
+    return c.contains("://") | (inner_dot & c.rlike(r"\S\.\S"))
 
 
 def mask_url(c: Column) -> Column:
@@ -232,12 +268,13 @@ def message_error(raw: Column, normalized: Column) -> Column:
 def surely_too_long(c: Column) -> Column:
     """The first characters alone show that the normalised text is longer than a message may be.
 
-    Either ``normalize`` leaves all of them alone, but for a space at either end: none is invisible,
-    beyond U+02FF or white space next to white space. Or they hold enough ASCII letters, of
+    Either ``normalize`` leaves the length of all of them alone, but for a space at either end: they are
+    plain, and no white space stands next to white space. Or they hold enough ASCII letters, of
     which no step drops one or joins two.
     """
     limit = fv.MAX_MESSAGE_LENGTH
-    plain = (F.length(c) >= limit + 3) & ~F.substring(c, 1, limit + 3).rlike(r"[^\u0000-\u02ff]|\u00ad|[\s\x1c-\x1f\u0085\u00a0]{2}")
+    start = F.substring(c, 1, limit + 3)
+    plain = (F.length(c) >= limit + 3) & let(start, lambda x: ~on_one_line(x).contains("  ") & is_plain(x))
     letters = F.regexp_replace(F.substring(c, 1, 2 * limit), "[^A-Za-z]+", "")
     return F.coalesce((F.length(c) > limit) & (plain | (F.length(letters) > limit)), F.lit(False))
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from siftwave.operators.ids import row_numbers
-from siftwave.functions import text
+from siftwave.functions import fixed_values as fv
+from siftwave.functions import similarity, text
 from siftwave.plans import curation, scoring
 
 
@@ -47,3 +48,28 @@ def test_texts_that_are_surely_too_long(spark):
     got = {r.msg_id: (r.error, r.normalized) for r in scoring.prepared(rows).collect()}
     assert {i: e for i, (e, _) in got.items()} == want
     assert got[len(texts) - 1][1] is None and got[0] == ("classification.text_too_long", None) and got[5] == (None, "á" * 2000)  # not normalised, normalised
+
+
+LATIN = [chr(i) for i in range(1, 0x300)]
+ODD = ["", " ", "\n", " a", "a\n", "a  b", "a \n b", "a\n\n\nb ", "\ta", "a\u00a0b", "\u0085", "e\u0301", "a\u200bb", "tiếng Việt", "\u1100\u1161", "\U0001f600 a", "İstanbul Iı", "x İ <URL> Y", "<URL> Ab", "<ab> é", "ÀÉ_b 1²3 ªº ÷x", None]
+ODD += ["a.b", "a. b", "a .b", ". a", "a.", "a..", "a.\nb", "a.\tb", "..", "x://", "a. b.c", ".a", "a. . b", "x(.)y", "x [DOT] y", "x{chấm}y", "x (dot y", "(a) b", "x(\u00a0.\u00a0)y", "x [cham] y"]
+ODD += [a + x + b for x in LATIN for a, b in (("", ""), ("a", "B"), (" ", "\n"))]
+
+
+def test_byte_tests_leave_results_as_the_patterns_give_them(column):
+    """Normalising, blank texts, tokens, links and brackets: gates of bytes against the plain patterns."""
+    assert column(text.normalize, ODD) == column(lambda c: text.collapse(F.regexp_replace(text.nfc(c), fv.INVISIBLE, "")), ODD)
+    assert column(text.is_blank, ODD) == column(lambda c: c.isNull() | c.rlike(r"(?U)^\s*$"), ODD)
+    assert column(text.may_hold_url, ODD) == column(lambda c: c.contains("://") | c.rlike(r"\S\.\S"), ODD)
+    assert column(text.restore, ODD) == column(lambda c: F.regexp_replace(F.regexp_replace(c, fv.BRACKETED_DOT, "."), fv.DEFANGED_SCHEME, "http$1://"), ODD)
+    runs = lambda c: F.regexp_extract_all(text.nfc(c), F.lit(fv.TOKEN), F.lit(1))
+    assert column(similarity.tokens, ODD) == column(lambda c: F.transform(runs(c), lambda t: F.when(t.startswith("<"), t).otherwise(F.lower(t))), ODD)
+
+
+def test_plain_texts_meet_no_pattern_of_white_space(column, monkeypatch):
+    """They stay the same when the costly patterns would do harm, so these don't run on them."""
+    monkeypatch.setattr(text, "SPACES", "[a-z]")
+    monkeypatch.setattr(fv, "INVISIBLE", "[a-z]")
+    monkeypatch.setattr(fv, "TOKEN", "(q)")
+    assert column(text.normalize, [" Mót\nline  of text\n", "plain"]) == ["Mót line of text", "plain"]
+    assert column(similarity.tokens, ["Two Words", "Ünlike Été"]) == [["two", "words"], ["ünlike", "été"]]
