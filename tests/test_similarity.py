@@ -76,6 +76,49 @@ def test_near_pairs_equal_brute_force(spark):
     assert found == expected
 
 
+def long_texts(rng, stems, words):
+    """Long texts with near copies on both sides of the threshold, and exact ones."""
+    texts = []
+    for _ in range(stems):
+        stem = [rng.choice(words) for _ in range(rng.choice([4, 20, 60, 180]))]
+        for changes in (0, 0, 1, 2, 4, 7):
+            copy = list(stem)
+            for _ in range(changes * len(stem) // 60 + (changes > 0)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_pairs_deal_and_write_prefixes_only(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = long_texts(rng, 60, [f"w{i}" for i in range(40)])
+    sets_ = {f"t{i}": grams(t) for i, t in enumerate(texts)}
+    first = {}
+    for i in sorted(sets_):  # as strings
+        first.setdefault(frozenset(sets_[i]), i)
+    reps = sorted(first.values())
+    expected = {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if jaccard(sets_[a], sets_[b]) >= 0.8}
+    written, cut = [], similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    found = {(r.id_a, r.id_b) for r in similar.near_pairs(rows, shingles=sets.shingles(F.col("text"))).collect()}
+    assert found == expected and len(expected) > 25
+    arrays = [[n for n, kind in df.dtypes if kind.startswith("array")] for df in written]
+    assert sum(arrays, []) == ["prefix"]
+    kept = next(df for df in written if "prefix" in df.columns).agg(F.sum("n").alias("n"), F.sum(F.size("prefix")).alias("p")).first()
+    assert kept.p < 0.35 * kept.n
+
+
+def test_near_pairs_do_not_depend_on_the_counted_sets(spark, monkeypatch):
+    texts = long_texts(random.Random(9), 12, [f"w{i}" for i in range(30)])
+    pairs = lambda: {tuple(r) for r in similar.near_pairs(frame(spark, texts)).collect()}
+    found = pairs()
+    for name, value in (("COUNTED", 1), ("FREQUENT", 0)):
+        monkeypatch.setattr(similar, name, value)
+        assert pairs() == found
+
+
 def sequential(texts, threshold=0.8):
     kept = []
     for i, t in enumerate(texts):
